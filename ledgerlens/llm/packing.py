@@ -111,8 +111,8 @@ def plan_windows(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[tupl
     return plan
 
 
-def _place(plan: list[tuple[tuple[int, ...], int]], window: int):
-    """Where the piece of a rank (0, 1, ...) among those of its length goes."""
+def _place(plan: list[tuple[tuple[int, ...], int]], base: np.ndarray, window: int, buckets: int):
+    """Column function (length, bucket, number within these): where a piece goes. base: pieces of a length before each bucket."""
     begin, first_sequence, offset, used, sequence = [], [], [], np.zeros(window + 1, dtype=np.int64), 0
     for lengths, times in plan:
         at = 0
@@ -127,8 +127,9 @@ def _place(plan: list[tuple[tuple[int, ...], int]], window: int):
     begin, first_sequence, offset = (np.array(v, dtype=np.int64)[order] for v in (begin, first_sequence, offset))
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        key = (length.to_numpy(np.int64) << 44) + rank.to_numpy(np.int64)
+    def place(length: pd.Series, bucket: pd.Series, local: pd.Series) -> pd.DataFrame:
+        n = length.to_numpy(np.int64)
+        key = (n << 44) + base[n * buckets + bucket.to_numpy(np.int64)] + local.to_numpy(np.int64)
         slot = np.searchsorted(begin, key, side="right") - 1
         return pd.DataFrame({"sequence_id": first_sequence[slot] + key - begin[slot], "offset": offset[slot]})
 
@@ -162,12 +163,7 @@ def pack(documents: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe
     for length in np.nonzero(histogram)[0]:
         sizes = [parts.get((int(length), b), 0) for b in range(buckets)]
         base[length * buckets : (length + 1) * buckets] = np.cumsum([0, *sizes[:-1]])
-    place = _place(plan_windows(histogram, window), window)
-
-    @F.pandas_udf("bigint")
-    def rank_base(length: pd.Series, bucket: pd.Series) -> pd.Series:
-        return pd.Series(base[length.to_numpy(np.int64) * buckets + bucket.to_numpy(np.int64)])
-
+    place = _place(plan_windows(histogram, window), base, window, buckets)
     local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
-    placed = pieces.withColumn("local", local).withColumn("rank", F.col("local") + rank_base("length", "bucket")).withColumn("at", place("length", "rank"))
+    placed = pieces.withColumn("local", local).withColumn("at", place("length", "bucket", "local"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
