@@ -41,10 +41,10 @@ class Scratch:
         self.count = 0
 
     def table(self, df: DataFrame) -> DataFrame:
-        """Write df as Parquet and read it again."""
+        """Write df as Parquet, in a few files for each core of the cluster at most, and read it again."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.write.parquet(path)
+        df.coalesce(4 * self.spark.sparkContext.defaultParallelism).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
