@@ -1,0 +1,118 @@
+"""Table grids: placement from boxes, spans, holes, headers and renderings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerlens.functions.text import escape_html, looks_numeric
+
+
+def tolerance(boxes: DataFrame, low: str, high: str, table: str = "table_id", least: float = 0.75, share: float = 0.35) -> DataFrame:
+    """(table, tol): `share` of the 5th percentile (no interpolation) of the boxes' extents, `least` at least."""
+    sizes = boxes.select(table, (F.col(high) - F.col(low)).alias("d")).where("d > 0").groupBy(table).agg(F.array_sort(F.collect_list("d")).alias("ds"))
+    at = F.least((F.size("ds") * 0.05).cast("int"), F.size("ds") - 1) + 1
+    return sizes.select(table, F.greatest(F.lit(least), F.element_at("ds", at) * share).alias("tol"))
+
+
+def boundaries(boxes: DataFrame, low: str, high: str, table: str = "table_id") -> DataFrame:
+    """(table, idx, line): grid lines of an axis, the means of clusters of box edges whose gaps are within the tolerance."""
+    edges = boxes.select(table, F.explode(F.array(low, high)).alias("v")).join(tolerance(boxes, low, high, table), table)
+    w = Window.partitionBy(table).orderBy("v")
+    edges = edges.withColumn("new", F.coalesce((F.col("v") - F.lag("v").over(w) > F.col("tol")).cast("int"), F.lit(0)))
+    edges = edges.withColumn("idx", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return edges.groupBy(table, "idx").agg(F.avg("v").alias("line"))
+
+
+def nearest(value: Column, lines: Column) -> Column:
+    """Index of the nearest line, the lower of two."""
+    return F.array_min(F.transform(lines, lambda b, i: F.struct(F.abs(b - value).alias("d"), i.alias("i"))))["i"]
+
+
+def place_by_boxes(boxes: DataFrame, table: str = "table_id") -> DataFrame:
+    """Adds row, col, row_span, col_span from x0, y0, x1, y1, by snapping edges to the table's lines."""
+    lines = lambda lo, hi, name: boundaries(boxes, lo, hi, table).groupBy(table).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]).alias(name))
+    out = boxes.join(lines("x0", "x1", "__xs"), table).join(lines("y0", "y1", "__ys"), table)
+    out = out.withColumn("col", nearest(F.col("x0"), F.col("__xs"))).withColumn("row", nearest(F.col("y0"), F.col("__ys")))
+    out = out.withColumn("col_span", F.greatest(F.lit(1), nearest(F.col("x1"), F.col("__xs")) - F.col("col"))).withColumn("row_span", F.greatest(F.lit(1), nearest(F.col("y1"), F.col("__ys")) - F.col("row")))
+    return out.drop("__xs", "__ys")
+
+
+def conflicts(cells: DataFrame, table: str = "table_id") -> DataFrame:
+    """Slots that more than one cell claims: table, row, col, kept and dropped texts; the larger span wins, then input order (ord)."""
+    slots = grid(cells, table)
+    w = Window.partitionBy(table, "row", "col").orderBy(F.desc("area"), "ord")
+    ranked = slots.withColumn("n", F.row_number().over(w)).withColumn("kept", F.first("text").over(w))
+    return ranked.where("n > 1").select(table, "row", "col", "kept", F.col("text").alias("dropped"))
+
+
+def grid(cells: DataFrame, table: str = "table_id") -> DataFrame:
+    """One row for each slot that a cell covers: table, row, col, text, origin, area, ord."""
+    out = cells.withColumn("__r", F.explode(F.expr("sequence(row, row + row_span - 1)"))).withColumn("__c", F.explode(F.expr("sequence(col, col + col_span - 1)")))
+    order = F.col("ord") if "ord" in cells.columns else F.col("row") * 100_000 + F.col("col")
+    return out.select(table, F.col("__r").alias("row"), F.col("__c").alias("col"), "text", ((F.col("__r") == F.col("row")) & (F.col("__c") == F.col("col"))).alias("origin"), (F.col("row_span") * F.col("col_span")).alias("area"), order.alias("ord"))
+
+
+def holes(cells: DataFrame, table: str = "table_id") -> DataFrame:
+    """Slots within a table's shape that no cell covers."""
+    covered = grid(cells, table)
+    shape = covered.groupBy(table).agg(F.max("row").alias("r"), F.max("col").alias("c"))
+    every = shape.select(table, "c", F.explode(F.expr("sequence(0, r)")).alias("row")).select(table, "row", F.explode(F.expr("sequence(0, c)")).alias("col"))
+    return every.join(covered.select(table, "row", "col"), [table, "row", "col"], "left_anti")
+
+
+def header_rows(cells: DataFrame, table: str = "table_id", most: int = 3) -> DataFrame:
+    """(table, n_header): leading rows without a figure and not all blank, half of the rows and `most` at most."""
+    rows = cells.groupBy(table, "row").agg((F.bool_or(looks_numeric(F.col("text"))) | F.bool_and(F.trim("text") == "")).alias("stop"))
+    shape = rows.groupBy(table).agg((F.max("row") + 1).alias("n"), F.min(F.when(F.col("stop"), F.col("row"))).alias("first"))
+    return shape.select(table, F.least(F.coalesce("first", "n"), F.lit(most), F.greatest(F.lit(1), F.expr("cast(n div 2 as int)"))).cast("int").alias("n_header"))
+
+
+def _rows(cells: DataFrame, text: Column, separator: str, table: str) -> DataFrame:
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", text.alias("t")))), lambda x: x["t"]), separator)
+    return cells.groupBy(table, "row").agg(row.alias("line"))
+
+
+def _lines(rows: DataFrame, separator: str, table: str) -> DataFrame:
+    return rows.groupBy(table).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), separator).alias("rendered"))
+
+
+def to_tsv(cells: DataFrame, table: str = "table_id") -> DataFrame:
+    return _lines(_rows(grid(cells, table), F.col("text"), "\t", table), "\n", table)
+
+
+def to_markdown(cells: DataFrame, table: str = "table_id") -> DataFrame:
+    """A line for each row; a rule after the first; bars in texts escaped; merged texts repeated."""
+    slots = grid(cells, table).withColumn("text", F.replace("text", F.lit("|"), F.lit("\\|")))
+    rows = _rows(slots, F.col("text"), " | ", table).withColumn("line", F.concat(F.lit("| "), "line", F.lit(" |")))
+    width = slots.groupBy(table).agg((F.max("col") + 1).alias("w"))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("w")))
+    rows = rows.join(width, table).withColumn("line", F.when(F.col("row") == 0, F.concat("line", rule)).otherwise(F.col("line")))
+    return _lines(rows, "\n", table)
+
+
+def to_html(cells: DataFrame, headers: DataFrame, table: str = "table_id") -> DataFrame:
+    """thead and tbody, spans as attributes, texts escaped; headers as header_rows gives them."""
+    c = cells.join(headers, table)
+    tag = F.when(F.col("row") < F.col("n_header"), "th").otherwise("td")
+    spans = F.concat(F.when(F.col("row_span") > 1, F.concat(F.lit(' rowspan="'), "row_span", F.lit('"'))).otherwise(""), F.when(F.col("col_span") > 1, F.concat(F.lit(' colspan="'), "col_span", F.lit('"'))).otherwise(""))
+    c = c.withColumn("cell", F.concat(F.lit("<"), tag, spans, F.lit(">"), F.replace(escape_html(F.col("text")), F.lit("\n"), F.lit("<br/>")), F.lit("</"), tag, F.lit(">")))
+    rows = _rows(c, F.col("cell"), "", table).join(headers, table).withColumn("line", F.concat(F.lit("<tr>"), "line", F.lit("</tr>")))
+    parts = rows.groupBy(table, "n_header").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("ls"))
+    part = lambda keep: F.array_join(F.transform(F.filter("ls", keep), lambda x: x["line"]), "")
+    head, body = part(lambda x: x["row"] < F.col("n_header")), part(lambda x: x["row"] >= F.col("n_header"))
+    return parts.select(table, F.concat(F.lit("<table><thead>"), head, F.lit("</thead><tbody>"), body, F.lit("</tbody></table>")).alias("rendered"))
+
+
+def to_records(cells: DataFrame, headers: DataFrame, table: str = "table_id") -> DataFrame:
+    """(table, row, field, text) for the body: a field is the header texts over its column, joined by ' / ', else col_<n>."""
+    slots = grid(cells, table).join(headers, table)
+    over = slots.where("row < n_header and trim(text) <> ''").groupBy(table, "col").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"])), " / ").alias("label"))
+    body = slots.where("row >= n_header and origin").join(over, [table, "col"], "left")
+    return body.select(table, "row", F.coalesce("label", F.concat(F.lit("col_"), "col")).alias("field"), "text")
+
+
+def reading_order(boxes: DataFrame, page: list[str], band: float = 6.0) -> DataFrame:
+    """Adds rank: by bands of y0, then x0, then input order (ord); boxes without place last."""
+    w = Window.partitionBy(*page).orderBy(F.col("y0").isNull(), F.bround(F.col("y0") / band), "x0", "ord")
+    return boxes.withColumn("rank", F.row_number().over(w))
