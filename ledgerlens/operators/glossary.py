@@ -43,17 +43,24 @@ def title_phrases(text: Column) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TITLE), F.lit(0))), lambda p: F.length(p).between(6, 60))
 
 
-def hits(texts: DataFrame, terms: DataFrame, text_col: str, words: int = 3, cap: int | None = None) -> DataFrame:
+def hits(texts: DataFrame, terms: DataFrame, text_col: str, cap: int | None = None) -> DataFrame:
     """Terms that occur in texts as whole words: texts' columns without the text, term columns, position.
 
-    A term of up to `words` words meets the texts through an equi-join on n-grams, not by trying all terms on all texts. `terms` has column key in lower case.
+    The terms meet the texts through an equi-join on n-grams, of the lengths that terms really have, not by trying all terms on
+    all texts. `terms` has column key: lower-case words with one space between. With `cap` a text keeps its longest terms.
     """
     low = F.regexp_extract_all(F.lower(text_col), F.lit(r"[a-z0-9]+"), F.lit(0))
     rest = [c for c in texts.columns if c != text_col]
-    t = texts.select(*rest, low.alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("key"), i.alias("at")))).otherwise(F.array().cast("array<struct<key:string,at:int>>"))))
-    at = t.select(*rest, F.explode(grams).alias("g")).select(*rest, "g.key", "g.at").groupBy(*rest, "key").agg(F.min("at").alias("position"))
-    out = at.join(terms, "key")
+    lengths = sorted(terms.agg(F.collect_set(F.size(F.split("key", " ")))).first()[0])  # a few numbers
+    out = None
+    for n in lengths:
+        t = texts.select(*rest, low.alias("w")).where(F.size("w") >= n)
+        gram = "w[i]" if n == 1 else "concat_ws(' ', " + ", ".join(f"w[i + {k}]" for k in range(n)) + ")"
+        at = t.select(*rest, F.posexplode(F.expr(f"transform(sequence(0, size(w) - {n}), i -> {gram})")).alias("position", "key"))
+        found = at.join(terms.where(F.size(F.split("key", " ")) == n), "key").groupBy(*rest, *terms.columns).agg((F.min("position") + 1).alias("position"))
+        out = found if out is None else out.union(found)
+    if out is None:
+        return texts.select(*rest).crossJoin(terms.limit(0)).withColumn("position", F.lit(0)).limit(0)
     if cap is None:
         return out
     w = Window.partitionBy(*rest).orderBy(F.desc(F.length("key")), "key")
@@ -64,3 +71,23 @@ def violations(pairs: DataFrame, terms: DataFrame, source: str, target: str) ->
     """Terms (key, target_term) whose source occurs but whose target is not in the target text: pairs' columns and key."""
     found = hits(pairs, terms.select("key", "target_term"), source)
     return found.where(~F.contains(F.lower(target), F.lower("target_term")))
+
+
+#: Forms in which a text gives both names of a thing; the groups are the first and the second name.
+BILINGUAL = (
+    r"([一-鿿]{2,30})\s*[（(]\s*([A-Za-z][A-Za-z &/.'-]{2,60}?)\s*[）)]",
+    r"([A-Za-z][A-Za-z &/.'-]{2,60}?)\s*[（(]\s*([一-鿿]{2,30})\s*[）)]",
+)
+
+
+def bilingual_pairs(texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, source, target): Latin name and CJK name that stand together, one beside the other in brackets; of a source the first target counts."""
+    parts = []
+    for i, pattern in enumerate(BILINGUAL):
+        first, second = (F.regexp_extract_all(text_col, F.lit(pattern), F.lit(g)) for g in (1, 2))
+        pair = texts.select(key, F.lit(i).alias("form"), F.posexplode(F.arrays_zip(first.alias("a"), second.alias("b"))).alias("at", "x"))
+        latin, cjk = ("x.b", "x.a") if i == 0 else ("x.a", "x.b")
+        parts.append(pair.select(key, "form", "at", F.regexp_replace(F.trim(latin), "^(?i:and|or|nor) +", "").alias("source"), F.trim(cjk).alias("target")))
+    both = parts[0].union(parts[1])
+    w = Window.partitionBy(key, F.lower("source")).orderBy("form", "at")
+    return both.withColumn("n", F.row_number().over(w)).where("n = 1").select(key, "source", "target")

@@ -29,7 +29,7 @@ def factors(features: list[str], weights: dict[str, float] | None = None, satura
         else:
             v = F.least(F.lit(1.0), v)
         out.append(F.struct(F.lit(name).alias("name"), F.round(v * weights[name], 4).alias("contribution")))
-    return F.filter(F.array(*out), lambda f: f["contribution"] > 0)
+    return F.filter(F.array(*out).cast("array<struct<name: string, contribution: double>>"), lambda f: f["contribution"] > 0)
 
 
 def score(df: DataFrame, features: list[str], financial: Column | None = None, hard: Column | None = None) -> DataFrame:

@@ -61,24 +61,27 @@ def body_font(blocks: DataFrame, doc: list[str]) -> DataFrame:
 
 def pack_chunks(blocks: DataFrame, doc: str, pos: str, tokens: str, max_tokens: int = 1400, min_tokens: int = 60) -> DataFrame:
     """(doc, pos, chunk): blocks of a document in order, a new chunk where the budget would be passed; a block is never split, and a tail of
-    under `min_tokens` joins the chunk before it if both fit. Greedy packing is a fold, so each document is one Arrow group."""
+    under `min_tokens` joins the chunk before it if both fit. Greedy packing is a fold over a document's block sizes, so these (two numbers
+    a block, no texts) are gathered by document and folded in Arrow batches of many documents."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(pos)
-        chunk, held, out = 0, 0, []
-        sizes: list[int] = []
-        for n in rows[tokens]:
+    def fold(sizes: list[int]) -> list[int]:
+        chunk, held, before, out = 0, 0, None, []
+        for n in sizes:
             if held and held + n > max_tokens:
-                sizes.append(held)
-                chunk, held = chunk + 1, 0
+                chunk, held, before = chunk + 1, 0, held
             held += n
             out.append(chunk)
-        if sizes and held < min_tokens and sizes[-1] + held <= max_tokens:
+        if before is not None and held < min_tokens and before + held <= max_tokens:
             out = [min(c, chunk - 1) for c in out]
-        return pd.DataFrame({doc: rows[doc], pos: rows[pos], "chunk": out})
+        return out
 
-    kinds = dict(blocks.dtypes)
-    return blocks.select(doc, pos, tokens).groupBy(doc).applyInPandas(fold, f"{doc} {kinds[doc]}, {pos} {kinds[pos]}, chunk int")
+    @F.pandas_udf("array<int>")
+    def folded(sizes: pd.Series) -> pd.Series:
+        return sizes.map(fold)
+
+    gathered = blocks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(tokens).cast("int").alias("n")))).alias("b"))
+    packed = gathered.select(doc, F.col("b.p").alias("p"), folded(F.col("b.n")).alias("c"))
+    return packed.select(doc, F.explode(F.arrays_zip("p", "c")).alias("x")).select(doc, F.col("x.p").alias(pos), F.col("x.c").alias("chunk"))
 
 
 def map_batches(df: DataFrame, call, schema: str) -> DataFrame:
