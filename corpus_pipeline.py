@@ -17,24 +17,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go."""
+    docs = docs.select(COLUMNS)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return drop_toxic(docs, model).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates are cut out of the texts; n_chars follows."""
-    cut = drop_recurring_lines(docs)
+    cut = drop_recurring_lines(docs.select(COLUMNS))
     return cut.selectExpr("doc_id", "text", "lang", "source", "if(size(dropped) > 0, cast(char_length(text) as bigint), n_chars) as n_chars")
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, agreement 0.8 or more) the smallest doc_id stays."""
-    return near_dedup(docs).select(COLUMNS)
+    return near_dedup(docs.select(COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat, or go, as their fitted rates say."""
-    return apply_mix(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
+    return apply_mix(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,9 +80,10 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, trust: fl
     given = np.where(gold == 1, np.log(trust / (1 - trust)), np.log((1 - trust) / trust))
     post = 1 / (1 + np.exp(-(given + np.log(prior / (1 - prior)))))
     onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    weight = np.ones(votes.shape[1])
+    usual = 2 * (onehot.mean(axis=0) + 1e-3)[:, :, None] if len(votes) else np.ones((votes.shape[1], 3, 1))
     for _ in range(rounds):
-        table = np.stack([np.einsum("nvk,n->vk", onehot, 1 - post), np.einsum("nvk,n->vk", onehot, post)], axis=2) + 1.0
+        table = np.stack([np.einsum("nvk,n->vk", onehot, 1 - post), np.einsum("nvk,n->vk", onehot, post)], axis=2)
+        table += usual  # two rows of each voter's usual votes, so that a voter that says one thing only tells nothing
         table /= table.sum(axis=1, keepdims=True)
         mean = np.einsum("nl,vkl->nvk", np.stack([1 - post, post], axis=1), table)
         rest = (onehot - mean)[:, :, 2] - (onehot - mean)[:, :, 1]
@@ -105,7 +106,7 @@ def features_of(counts: np.ndarray, n_terms: int, n_learned: int) -> np.ndarray:
     return np.hstack([np.log1p(s) for s in sums] + dense + [np.minimum(s, 2) for s in sums] + kinds + [np.log1p(patterns), np.ones((len(counts), 1))])
 
 
-def fit_linear(x: np.ndarray, soft: np.ndarray, steps: int = 60, ridge: float = 1.0) -> np.ndarray:
+def fit_linear(x: np.ndarray, soft: np.ndarray, steps: int = 60, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
