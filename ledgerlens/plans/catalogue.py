@@ -235,10 +235,10 @@ def q_header_rows(spark, sf):
 
 def boxes(spark, sf):
     j = F.expr("(table_id + row * 3 + col) % 5 - 2")
-    return cells(spark, sf).where("table_id % 4 = 0").select("table_id", "text", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("col") * 120.0 + j).alias("x0"), (F.col("row") * 40.0 + j).alias("y0"), (F.col("col") * 120.0 + 120.0 + j).alias("x1"), (F.col("row") * 40.0 + 40.0 + j).alias("y1"))
+    return cells(spark, sf).select("table_id", "text", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("col") * 120.0 + j).alias("x0"), (F.col("row") * 40.0 + j).alias("y0"), (F.col("col") * 120.0 + 120.0 + j).alias("x1"), (F.col("row") * 40.0 + 40.0 + j).alias("y1"))
 
 
-_BOXES = _CELLS + ", boxes AS (SELECT table_id, text, row, col, col * 120.0::DOUBLE + (table_id + row * 3 + col) % 5 - 2 AS x0, row * 40.0::DOUBLE + (table_id + row * 3 + col) % 5 - 2 AS y0 FROM cells WHERE table_id % 4 = 0)"
+_BOXES = _CELLS + ", boxes AS (SELECT table_id, text, row, col, col * 120.0::DOUBLE + (table_id + row * 3 + col) % 5 - 2 AS x0, row * 40.0::DOUBLE + (table_id + row * 3 + col) % 5 - 2 AS y0 FROM cells)"
 
 
 @query("WITH " + _BOXES + """, e AS (SELECT table_id, x0 AS v FROM boxes UNION ALL SELECT table_id, x0 + 120 FROM boxes), g AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY table_id ORDER BY v) > 42 THEN 1 ELSE 0 END AS nw FROM e),
@@ -247,7 +247,7 @@ def q_boundaries(spark, sf):
     return tables.boundaries(boxes(spark, sf), "x0", "x1").withColumn("line", F.round("line", 4))
 
 
-@query("WITH " + _CELLS + ", b AS (SELECT *, row - min(row) OVER (PARTITION BY table_id) AS r0 FROM cells WHERE table_id % 4 = 0) SELECT table_id, r0::INT AS row, col, 1 AS row_span, 1 AS col_span, text FROM b")
+@query("WITH " + _CELLS + ", b AS (SELECT *, row - min(row) OVER (PARTITION BY table_id) AS r0 FROM cells) SELECT table_id, r0::INT AS row, col, 1 AS row_span, 1 AS col_span, text FROM b")
 def q_grid_rebuild(spark, sf):
     return tables.place_by_boxes(boxes(spark, sf)).select("table_id", "row", "col", "row_span", "col_span", "text")
 
@@ -314,9 +314,9 @@ def q_prefix_context(spark, sf):
 # ---- terms
 
 
-@query("SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS terms FROM (SELECT doc_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(regexp_extract_all(regexp_replace(text, '[^ -~]', '#', 'g'), '\\b[A-Z]{2,6}\\b'), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS terms FROM (SELECT doc_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(regexp_extract_all(regexp_replace(text, '[^ -~]', '#', 'g'), '\\b[A-Z]{2,6}\\b'), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered FROM documents)")
 def q_acronyms(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.array_join(glossary.acronyms(F.regexp_replace("text", "[^ -~]", "#")), "|").alias("terms"))
 
 
@@ -347,36 +347,36 @@ def terms(spark, sf):
     return table(spark, sf, "benchmark").select(F.array_join(F.slice(w, 1, 2), " ").alias("key")).distinct()
 
 
-@query("WITH " + _TERMS + ", d AS (SELECT doc_id, " + _NORMAL + " AS t FROM documents WHERE lang = 'en') SELECT doc_id, key FROM d JOIN terms ON contains(d.t, ' ' || key || ' ')")
+@query("WITH " + _TERMS + ", d AS (SELECT doc_id, " + _NORMAL + " AS t FROM documents) SELECT doc_id, key FROM d JOIN terms ON contains(d.t, ' ' || key || ' ')")
 def q_glossary_hits(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return glossary.hits(d, terms(spark, sf), "text").select("doc_id", "key")
 
 
-@query("WITH " + _TERMS + ", d AS (SELECT doc_id, " + _NORMAL + " AS t, text FROM documents WHERE lang = 'en') SELECT doc_id, key FROM d JOIN terms ON contains(d.t, ' ' || key || ' ') WHERE NOT contains(lower(text), right(key, 4))")
+@query("WITH " + _TERMS + ", d AS (SELECT doc_id, " + _NORMAL + " AS t, text FROM documents) SELECT doc_id, key FROM d JOIN terms ON contains(d.t, ' ' || key || ' ') WHERE NOT contains(lower(text), right(key, 4))")
 def q_term_violations(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text", F.col("text").alias("target"))
+    d = table(spark, sf, "documents").select("doc_id", "text", F.col("text").alias("target"))
     return glossary.violations(d, terms(spark, sf).withColumn("target_term", F.expr("right(key, 4)")), "text", "target").select("doc_id", "key")
 
 
 _TOK = "list_concat(regexp_extract_all(lower(text), '[a-z][a-z0-9''.-]+'), regexp_extract_all(lower(text), '[0-9]+(?:\\.[0-9]+)?'))"
 
 
-@query(f"""WITH p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents WHERE lang = 'en') GROUP BY ALL), q AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_TOK}) AS token FROM benchmark) GROUP BY ALL),
+@query(f"""WITH p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY ALL), q AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_TOK}) AS token FROM benchmark) GROUP BY ALL),
   n AS (SELECT count(DISTINCT doc_id) AS n FROM p), idf AS (SELECT token, ln((1 + max(n.n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM p, n GROUP BY token), dw AS (SELECT doc_id, token, tf * idf AS w FROM p JOIN idf USING (token)), qw AS (SELECT item_id, token, tf * coalesce(idf, 1.0) AS w FROM q LEFT JOIN idf USING (token)),
   dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY item_id), s AS (SELECT item_id, doc_id, sum(qw.w * dw.w) AS dot FROM qw JOIN dw USING (token) GROUP BY ALL),
   r AS (SELECT item_id, doc_id, round(dot / (dn.n * qn.n), 6) AS score FROM s JOIN dn USING (doc_id) JOIN qn USING (item_id)), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0) SELECT item_id, doc_id, score, rank FROM k WHERE rank <= 5""")
 def q_tfidf_topk(spark, sf):
-    d = retrieval.postings(table(spark, sf, "documents").where("lang = 'en'"), "doc_id", tx.tokenize(F.col("text")))
+    d = retrieval.postings(table(spark, sf, "documents"), "doc_id", tx.tokenize(F.col("text")))
     q = retrieval.postings(table(spark, sf, "benchmark"), "item_id", tx.tokenize(F.col("text")))
     return retrieval.tfidf_search(d, q, "doc_id", "item_id").select("item_id", "doc_id", "score", "rank")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) AS score FROM v, v q WHERE q.vec_id < 10),
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) AS score FROM v, v q WHERE q.vec_id % 100 = 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 5""")
 def q_vector_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return retrieval.vector_search(e, e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "vec_id", "embedding", "query_id").select("query_id", "vec_id", "score", "rank")
+    return retrieval.vector_search(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "vec_id", "embedding", "query_id").select("query_id", "vec_id", "score", "rank")
 
 
 # ---- model payloads
