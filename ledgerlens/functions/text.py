@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +75,30 @@ def looks_numeric(text: Column) -> Column:
     """A lone figure, with sign, brackets, currency mark or percent, or a mark for none."""
     t = F.trim(normalize_width(text))
     return t.isin(*NIL) | t.rlike(r"^[(]?[-+−]?[$€£¥]? ?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)?(?:\.[0-9]+)?[)]?%?$") & t.rlike("[0-9]")
+
+
+def format_number(value: Column) -> Column:
+    """Grouped digits: whole numbers without a fraction, others with up to four places, no closing zeros; a dash for null."""
+    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+    digits = F.when(whole, F.format_number(value, 0)).otherwise(F.regexp_replace(F.format_number(value, 4), r"\.?0+$", ""))
+    return F.coalesce(digits, F.lit("-"))
+
+
+def unescape_html(text: Column) -> Column:
+    """All character references of HTML decoded (the table of names is the standard library's)."""
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return decode(text)
+
+
+def display_width(text: Column) -> Column:
+    """Columns on a terminal: wide characters count two, full-width forms as their ASCII; 0 for null."""
+
+    @F.pandas_udf("int")
+    def width(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in t)).astype("int32")
+
+    return width(F.coalesce(normalize_width(text), F.lit("")))

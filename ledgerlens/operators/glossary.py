@@ -43,6 +43,22 @@ def title_phrases(text: Column) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TITLE), F.lit(0))), lambda p: F.length(p).between(6, 60))
 
 
+def candidates(text: Column, stop: tuple[str, ...] = (), limit: int = 400) -> Column:
+    """Term candidates of a text: acronyms that are not in `stop`, then title phrases; each once whatever its case, at most `limit`."""
+    known = F.filter(acronyms(text), lambda a: ~a.isin(*stop)) if stop else acronyms(text)
+    found = F.concat(known, title_phrases(text))
+    low = F.transform(found, F.lower)
+    first = F.filter(found, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+    return F.coalesce(F.slice(first, 1, limit), F.array().cast("array<string>"))
+
+
+def prompt_block(pairs: Column, limit: int = 60) -> Column:
+    """Text block of the first `limit` pairs (struct of source, target), one line for each; empty without any."""
+    lines = F.transform(F.slice(pairs, 1, limit), lambda p: F.concat(F.lit("- "), p["source"], F.lit(" => "), p["target"]))
+    head = F.lit("Approved terminology (use these exact translations):\n")
+    return F.when(F.size(lines) > 0, F.concat(head, F.array_join(lines, "\n"))).otherwise("")
+
+
 def hits(texts: DataFrame, terms: DataFrame, text_col: str, cap: int | None = None) -> DataFrame:
     """Terms that occur in texts as whole words: texts' columns without the text, term columns, position.
 

@@ -220,3 +220,45 @@ def test_readers(spark, tmp_path):
     assert layout.read_images(spark, str(tmp_path / "*.png")).select("width", "height").first() == (640, 480)
     (tmp_path / "q.jsonl").write_text('{"item_id":"a","seq":1,"status":"pending"}\n{"item_id":"a","seq":2,"status":"approved"}\n')
     assert [r["status"] for r in layout.read_queue(spark, str(tmp_path / "q.jsonl")).collect()] == ["approved"]
+
+
+def test_image_sizes_of_all_forms(spark, tmp_path):
+    frame = b"\xff\xc2\x00\x0b\x08" + (33).to_bytes(2, "big") + (55).to_bytes(2, "big") + b"\x01\x01\x11\x00"
+    riff = lambda form, rest: b"RIFF\0\0\0\0WEBP" + form + b"\0\0\0\0" + rest
+    files = {
+        "a.jpg": b"\xff\xd8\xff\xe0\x00\x06\xff\xc0ab\xff" + frame,
+        "b.jpg": b"\xff\xd8\xff\xda\x00\x02" + bytes(20),
+        "c.webp": riff(b"VP8X", bytes(4) + (639).to_bytes(3, "little") + (479).to_bytes(3, "little")),
+        "d.webp": riff(b"VP8L", b"\x2f" + ((3 << 28) | 99 | (199 << 14)).to_bytes(4, "little")),
+        "e.webp": riff(b"VP8 ", bytes(3) + b"\x9d\x01\x2a" + (0x4000 | 320).to_bytes(2, "little") + (240).to_bytes(2, "little")),
+        "f.gif": b"GIF89a" + (7).to_bytes(2, "little") + (9).to_bytes(2, "little"),
+        "g.bin": b"\xff",
+        "h.bin": b"",  # no row
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = layout.read_images(spark, str(tmp_path)).select(F.regexp_extract("path", "[^/]*$", 0), "width", "height").collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {"a.jpg": (55, 33), "b.jpg": (None, None), "c.webp": (640, 480), "d.webp": (100, 200), "e.webp": (320, 240), "f.gif": (7, 9), "g.bin": (None, None)}
+
+
+def test_chart_points(spark, tmp_path):
+    import json
+
+    series = [{"name": "Revenue", "points": {"2022": 1.5, "2023": "n/a"}}, {"label": "Cost", "value": 3}]
+    (tmp_path / "c.json").write_text(json.dumps({"pages": [{"page": 2, "regions": [{"label": "chart", "chart": {"chart_type": "bar", "series": series}}, {"label": "text"}]}]}))
+    got = layout.chart_points(layout.read_layouts(spark, str(tmp_path))).collect()
+    assert {(r["page_index"], r["series"], r["category"], r["value"]) for r in got} == {(2, "Revenue", "2022", 1.5), (2, "Cost", None, 3.0)}
+
+
+def test_term_candidates_and_small_texts(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    text = F.lit("EBITDA and IFRS of the Deferred Tax Asset; EBITDA again, Deferred Tax Asset")
+    assert one(glossary.candidates(text, ("IFRS",))) == ["EBITDA", "Deferred Tax Asset"]
+    assert one(glossary.candidates(F.lit(None).cast("string"))) == []
+    pairs = F.array(F.struct(F.lit("a").alias("source"), F.lit("b").alias("target")))
+    assert one(glossary.prompt_block(pairs)).endswith("\n- a => b") and one(glossary.prompt_block(F.slice(pairs, 1, 0))) == ""
+    for v, want in {1234567.0: "1,234,567", 1234.5: "1,234.5", -0.25: "-0.25", 100.0: "100", 0.12345: "0.1235"}.items():
+        assert one(tx.format_number(F.lit(v))) == want
+    assert one(tx.format_number(F.lit(None).cast("double"))) == "-"
+    assert one(tx.unescape_html(F.lit("a &amp; &eacute;&#x27;"))) == "a & é'" and one(tx.unescape_html(F.lit(None).cast("string"))) is None
+    assert one(tx.display_width(F.lit("ab利Ａ"))) == 5 and one(tx.display_width(F.lit(None).cast("string"))) == 0
