@@ -347,6 +347,22 @@ def test_line_dedup(spark):
     assert len(got) == len(rows)
 
 
+def test_a_line_of_very_many_documents_goes_and_lines_of_near_copies_stay(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 10)) for _ in range(40)]
+    common = "subscribe " + " ".join(vocabulary[:9])
+    rows = [(i, "\n".join([" ".join(rng.choice(vocabulary, 40)), common, " ".join(rng.choice(vocabulary, 40))])) for i in range(300)]
+    base = [["".join(rng.choice(list("qrstuvwxyz"), 10)) for _ in range(30)] for _ in range(6)]
+    for i in range(200):
+        edited = [list(line) for line in base]
+        for _ in range(4):
+            edited[rng.integers(6)][rng.integers(30)] = f"edit{rng.integers(10**9)}"
+        rows.append((1000 + i, "\n".join(map(" ".join, edited))))
+    for some in (rows[:10], rows):
+        got = {r["doc_id"]: r["dropped"] for r in line_report(rows_of(spark, some)).collect()}
+        assert all(got[i] == ("1" if i < 1000 else "") for i, _ in some)
+
+
 def test_line_templates_against_brute_force(docs):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     from ledgerlens.llm.line_dedup import sketch
