@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +95,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = 40, pul
 
     N is the number of tokens and T = N * targets. Projected gradient steps in the metric of the documents' tokens:
     each step is one distributed sum of as many numbers as there are domains, of which alone the driver
-    knows; a document's rate is what the steps so far make of its posterior, so no state is kept for it, and a lost executor costs nothing but its part of a sum.
+    knows (mix takes the minimum itself, from solve_rates); a document's rate is what the steps so far make of its posterior, so no state is kept for it, and a lost executor costs nothing but its part of a sum.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -122,12 +123,55 @@ def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = 40, pul
     return rate(), history
 
 
-def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, seed: int = 17, max_rows: int = 8000) -> DataFrame:
+def solve_rates(members: DataFrame, targets: np.ndarray, pull: float = 0.002, tolerance: float = 1e-9, limit: int = 100) -> tuple[Column, np.ndarray]:
+    """(rate column over p, missed share of each domain) at the minimum that fit_rates steps towards.
+
+    There a rate is max(0, 1 - p.e / pull), e being the missed shares, so Newton steps with halving find e as the minimum of
+    the dual |e|^2 / 2 + targets.e + pull / 2 * sum_d n_d r_d^2 / N, in one distributed sum of numbers of pairs of domains
+    each. They end when its gradient is below `tolerance`; more than `limit` sums are an error.
+    """
+    k = len(targets)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    total = float(members.agg(F.sum("tokens")).first()[0] or 1)
+
+    def rate(e: np.ndarray) -> Column:
+        inner = F.aggregate(F.zip_with("p", F.array(*[F.lit(float(v)) for v in e]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return F.greatest(F.lit(0.0), 1 - inner / pull)
+
+    def dual(e: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        r, n, p = F.col("r"), F.col("tokens"), F.col("p")
+        sums = members.withColumn("r", rate(e)).agg(
+            F.sum(n * r * r), *[F.sum(n * r * p[i]) for i in range(k)], *[F.sum(F.when(r > 0, n * p[i] * p[j])) for i, j in pairs]
+        ).first()
+        sums = np.array([(v or 0.0) / total for v in sums])
+        hessian = np.eye(k)
+        for (i, j), v in zip(pairs, sums[k + 1 :], strict=True):
+            hessian[i, j] += v / pull
+            hessian[j, i] = hessian[i, j]
+        return float(e @ e / 2 + targets @ e + pull / 2 * sums[0]), e + targets - sums[1 : k + 1], hessian
+
+    e, used = np.zeros(k), 1
+    value, gradient, hessian = dual(e)
+    while np.abs(gradient).max() > tolerance:
+        step, size = -np.linalg.solve(hessian, gradient), 1.0
+        while True:
+            if used == limit:
+                raise RuntimeError(f"rates not settled after {limit} sums; gradient {np.abs(gradient).max()}")
+            found, used = dual(e + size * step), used + 1
+            # near the minimum the value's rounding hides its fall, the gradient's does not
+            if found[0] <= value + 1e-4 * size * (gradient @ step) or np.abs(found[1]).max() <= 0.5 * np.abs(gradient).max():
+                break
+            size /= 2
+        e, (value, gradient, hessian) = e + size * step, found
+    return rate(e), e
+
+
+def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, seed: int = 17, max_rows: int = 8000, warn_above: float = 0.005) -> DataFrame:
     """One row for each row: doc_id, doc, tokens, p (posteriors, in the order of the targets), rate, copies.
 
-    A classifier fitted on the label table gives each document its posteriors over the domains; projected-gradient least squares
-    gives it a rate, so that the expected tokens of each domain come near their target share of all tokens while
-    rates stay near 1. copies is the rate rounded up or down by a hash of the document, so that it is the rate in expectation, and alike in every run.
+    A classifier fitted on the label table gives each document its posteriors over the domains; nonnegative least squares
+    (solved to its minimum) gives it a rate, so that the expected tokens of each domain come near their target share of all tokens while
+    rates stay near 1; a warning names the shares if one is over `warn_above` from its target. copies is the rate rounded up or down by a hash of the document, so that it is the rate in expectation, and alike in every run.
 
     Cases: a null text is an empty one (one token); without labels all posteriors are equal; null identifiers stay null;
     repeated rows each get their row; an empty table gives no rows; other columns are ignored.
@@ -137,7 +181,10 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     scratch = Scratch(documents.sparkSession)
     weights = fit_posteriors(documents, labels, domains, label_domain() if domain is None else domain, max_rows)
     members = scratch.table(posteriors(documents, weights))
-    rate, _ = fit_rates(members, np.array(list(targets.values())) / sum(targets.values()))
+    shares = np.array(list(targets.values())) / sum(targets.values())
+    rate, missed = solve_rates(members, shares)
+    if np.abs(missed).max() > warn_above:
+        warnings.warn("mixing misses its targets: " + ", ".join(f"{d} {t + e:.4f} for {t:.4f}" for d, t, e in zip(domains, shares, missed, strict=True)), stacklevel=2)
     chance = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 

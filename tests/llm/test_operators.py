@@ -404,6 +404,28 @@ def test_mixing_equals_a_dense_solution(docs, spark):
     assert np.abs(history[-1]).max() < 0.05
 
 
+@pytest.mark.parametrize("rare", [0.02, 0.01, 0.0])
+def test_rates_are_the_minimum_for_rare_domains(spark, rare):
+    from ledgerlens.llm.mixing import solve_rates
+
+    rng = np.random.default_rng(1)
+    poor = np.where(np.arange(1000) < 1000 * rare, 0.99, 0.001) + rng.uniform(-0.001, 0.001, 1000)
+    p, n = np.stack([1 - poor, poor], axis=1), rng.integers(50, 150, 1000)
+    target = np.array([0.92, 0.08])
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "tokens bigint, p array<double>").coalesce(1)
+    rate, missed = solve_rates(members, target)
+    r = np.array([x[0] for x in members.select(rate).collect()])
+    e = (r * n) @ p / n.sum() - target
+    slope = p @ e + 0.002 * (r - 1)
+    assert np.allclose(e, missed, atol=1e-8) and np.abs(np.minimum(r, slope)).max() < 1e-8 and slope.min() > -1e-8
+    assert rare < 0.01 or target[1] + e[1] > 0.066
+
+
+def test_mix_warns_of_missed_targets(docs, spark):
+    with pytest.warns(UserWarning, match="good .* for 0.0100"):
+        mix(docs.where("false").union(docs.limit(3)), spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), {"good": 0.01, "poor": 0.99})
+
+
 def test_url_filter(spark):
     rows = [(1, "http://A.example.com/en/7x?q"), (2, "http://a.example.com/en/6"), (3, "x://h.net/de/8#f"), (4, "x://example.net/de/8/9"), (5, None), (6, "nothing"), (7, "s://site.org/es/"), (8, "s://notcom/en/"), (9, "s://com/en/"), (10, "s://a.b://c/d"), (11, "s://farm.io/x"), (12, "s://good.io/x")]
     pages = spark.createDataFrame([(i, u, '<a href="http://bad.org/x">' if i == 11 else None, 1) for i, u in rows] + [(13, "s://bad.org/es/1", None, 1), (14, "s://h.net/de/1", '<A HREF=//good.io/y>', 1)], "page_id bigint, url string, html string, trust int")
