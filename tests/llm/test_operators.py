@@ -271,6 +271,19 @@ def test_packing_ids_equal_the_tokenizers_library(docs):
         assert packing.encoder().encode_to_numpy(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_finds_added_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end of one<|endoftext|>start of two", "<|endoftext|>", " a <|endoftext|> \n<|endoftext|><|endoftext|>b", "<|endoftext", "it's plain"]
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pack(rows_of(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+
+
 def test_packing(docs, odd):
     for df in (docs, odd):
         texts = defaultdict(list)
