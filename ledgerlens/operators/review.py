@@ -51,8 +51,18 @@ def csv_rows(queue: DataFrame, cut: int = 500) -> DataFrame:
     return queue.select("item_id", "chunk_id", F.format_string("%.3f", F.col("risk").cast("double")).alias("risk"), "status", F.substring("target_text", 1, cut).alias("target_text"))
 
 
-def sheet(queue: DataFrame) -> DataFrame:
-    """A Markdown line for each item, by rank of risk."""
-    w = Window.orderBy(F.desc("risk"), "item_id")
-    ranked = queue.orderBy(F.desc("risk"), "item_id").limit(1000).withColumn("n", F.row_number().over(w))  # a sheet for people, not a table
+def sheet(queue: DataFrame, parts: int = 64) -> DataFrame:
+    """A Markdown line for each item, by rank of risk.
+
+    Numbered within ranges of (risk, item_id) that begin at the `parts` rows of the smallest hashes, and on from the ranges' sizes.
+    """
+    q = queue.withColumns({"__r": F.coalesce(F.col("risk").cast("double"), F.lit(float("-inf"))), "__i": F.coalesce(F.col("item_id").cast("string"), F.lit(""))})
+    begins = q.select("__r", "__i").distinct().orderBy(F.xxhash64("__i", "__r"), "__i", "__r").limit(parts).collect()  # bounded by parts
+    starts = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(i).alias("i")) for r, i in begins]) if begins else None
+    before = lambda b: (b["r"] > F.col("__r")) | ((b["r"] == F.col("__r")) & (b["i"] <= F.col("__i")))
+    q = q.withColumn("__part", F.lit(0) if starts is None else F.size(F.filter(starts, before)))
+    sizes = dict(q.groupBy("__part").count().collect())  # at most parts + 1 rows
+    base = F.element_at(F.array(*[F.lit(sum(n for p, n in sizes.items() if p < part)).cast("bigint") for part in range(parts + 1)]), F.col("__part") + 1)
+    w = Window.partitionBy("__part").orderBy(F.desc("__r"), "__i")
+    ranked = q.withColumn("n", base + F.row_number().over(w))
     return ranked.select("n", F.format_string("## %s (risk %.3f, %s)", "item_id", F.col("risk").cast("double"), "status").alias("line"))

@@ -183,6 +183,13 @@ def test_review_keeps_and_reopens_decisions(spark):
     assert review.sheet(done).count() == 4
 
 
+def test_sheet_has_every_item(spark):
+    rows = [(f"rv-{i * 7919 % 2500:04d}", None if i == 5 else (i % 3) / 2, "pending") for i in range(2500)]
+    got = review.sheet(spark.createDataFrame(rows, "item_id string, risk double, status string")).orderBy("n").collect()
+    order = sorted(rows, key=lambda r: (9 if r[1] is None else -r[1], r[0]))
+    assert [r["n"] for r in got] == list(range(1, 2501)) and [r["line"].split()[1] for r in got] == [r[0] for r in order]
+
+
 def test_faults_are_exactly_as_many_and_are_found(spark):
     df = spark.createDataFrame([(i, f"value {i + 1}") for i in range(30)], "k int, t string")
     for n in (0, 1, 5):
