@@ -16,6 +16,9 @@ DEFAULT_RULES = (
     ("block", "org", "/es/"),
 )
 
+#: Steps of the ranks from one written table to the next.
+STEPS = 8
+
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
@@ -54,13 +57,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(tree).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = 8, damping: float = 0.85) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-9, damping: float = 0.85, limit: int = 2000) -> DataFrame:
     """(host, trust, distrust): two personalised PageRanks at once.
 
     seeds has (host, trust, distrust), the restart mass of each. Trust follows the links from trusted
     seeds; distrust follows them backwards from blocked ones: who links to a bad host is suspect. A host
-    without a link keeps its restart mass. The steps are joins and sums by host; the ranks are written to
-    the shared folder after every second one.
+    without a link keeps its restart mass. Each step is a join and a sum by host; the ranks are written to the shared folder after every
+    STEPS of them. They end when all hosts' ranks together grow by less than `tolerance` in these and neither rank
+    reaches a further host; more than `limit` steps are an error.
     """
     scratch = Scratch(edges.sparkSession)
     out_n = edges.groupBy("src").agg(F.sum("n").alias("all"))
@@ -69,25 +73,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = 8, damping:
     back = edges.join(in_n, "dst").select(F.col("dst").alias("host"), F.col("src").alias("target"), F.lit(0.0).alias("f"), (F.col("n") / F.col("all")).alias("b"))
     links = scratch.table(forward.union(back).groupBy("host", "target").agg(F.sum("f").alias("f"), F.sum("b").alias("b")))
     nodes = links.select("host").union(seeds.select("host")).distinct()
-    start = scratch.table(nodes.join(seeds, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("t0"), F.coalesce("distrust", F.lit(0.0)).alias("d0")))
-    ranks, old = start.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust")), None
-    for i in range(iterations):
-        sent = links.join(ranks, "host").groupBy("target").agg(F.sum(F.col("trust") * F.col("f")).alias("t"), F.sum(F.col("distrust") * F.col("b")).alias("d"))
-        keep, gain = 1 - damping, damping
-        ranks = start.join(sent, F.col("host") == F.col("target"), "left").select(
-            "host",
-            (keep * F.col("t0") + gain * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            (keep * F.col("d0") + gain * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-        )
-        if i % 2 or i == iterations - 1:
-            ranks = scratch.table(ranks)
-            if old is not None:
-                scratch.drop(old)
-            old = ranks
-    return ranks
-
-
-def url_filter(pages: DataFrame, rules=DEFAULT_RULES, threshold: float = 1.0, iterations: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    keep = 1 - damping
+    start = nodes.join(seeds, "host", "left").select("host", (keep * F.coalesce("trust", F.lit(0.0))).alias("trust"), (keep * F.coalesce("distrust", F.lit(0.0))).alias("distrust"))
+    start = scratch.table(start)
+    ranks, old, before, sums = start, None, None, (0.0, 0.0)
+    for _ in range(0, limit, STEPS):
+        for _ in range(STEPS):
+            sent = links.join(ranks, "host").select(F.col("target").alias("host"), (damping * F.col("trust") * F.col("f")).alias("trust"), (damping * F.col("distrust") * F.col("b")).alias("distrust"))
+            ranks = start.union(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        ranks = scratch.table(ranks)
+        if old is not None:
+            scratch.drop(old)
+        old, last = ranks, sums
+        *reached, t, d = ranks.agg(F.count_if(F.col("trust") > 0), F.count_if(F.col("distrust") > 0), F.sum("trust"), F.sum("distrust")).first()
+        # from the restart masses alone no host's rank ever falls, so the sums' growth is the total change
+        sums = (t or 0.0, d or 0.0)
+        grown = sum(sums) - sum(last)
+        if grown < tolerance and reached == before:
+            return ranks
+        before = reached
+    raise RuntimeError(f"host ranks still grow by {grown} after {limit} steps")
+
+
+def url_filter(pages: DataFrame, rules=DEFAULT_RULES, threshold: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, trust, distrust.
 
     A fitting rule decides (the longest one); every other page gets the verdict of its host: block if the
@@ -108,7 +116,7 @@ def url_filter(pages: DataFrame, rules=DEFAULT_RULES, threshold: float = 1.0, it
     masses = scratch.table(masses)
     all_a, all_b = masses.agg(F.sum("a"), F.sum("b")).first()
     seeds = masses.select("host", (F.col("a") / F.lit(float(all_a or 1))).alias("trust"), (F.col("b") / F.lit(float(all_b or 1))).alias("distrust"))
-    ranks = propagate(edges, seeds, iterations)
+    ranks = propagate(edges, seeds)
     out = salted_join(judged, ranks, ["host"])
     spread = F.when(F.col("distrust") > threshold * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.when(F.col("host") == "", F.coalesce("action", F.lit("allow"))).otherwise(F.coalesce("action", spread)).alias("verdict"), "trust", "distrust")

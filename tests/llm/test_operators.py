@@ -439,6 +439,32 @@ def test_mix_warns_of_missed_targets(docs, spark):
         mix(docs.where("false").union(docs.limit(3)), spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), {"good": 0.01, "poor": 0.99})
 
 
+def test_url_ranks_equal_long_iteration_and_reach_far_hosts(spark):
+    from ledgerlens.llm.url_filter import propagate
+
+    rng = np.random.default_rng(2)
+    far = [(f"c{i}", f"c{i + 1}") for i in range(30)]
+    links = sorted({(f"h{a}", f"h{b}") for a, b in rng.integers(0, 300, (700, 2)) if a != b}) + far
+    at = {h: i for i, h in enumerate(sorted({x for e in links for x in e}))}
+    seed = np.zeros((2, len(at)))
+    for s, h in ((0, "h1"), (0, "h2"), (1, "h3"), (1, "c30")):
+        seed[s, at[h]] = 0.5
+    m = np.zeros((len(at), len(at)))
+    for a, b in links:
+        m[at[a], at[b]] = 1
+    forward, back = m / np.maximum(1, m.sum(axis=1, keepdims=True)), m.T / np.maximum(1, m.T.sum(axis=1, keepdims=True))
+    t, d = seed
+    for _ in range(400):
+        t, d = 0.15 * seed[0] + 0.85 * t @ forward, 0.15 * seed[1] + 0.85 * d @ back
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in links], "src string, dst string, n double")
+    seeds = spark.createDataFrame([(h, float(seed[0, i]), float(seed[1, i])) for h, i in at.items()], "host string, trust double, distrust double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in propagate(edges, seeds).collect()}
+    assert got.keys() == at.keys() and all(np.allclose(got[h], (t[i], d[i]), atol=1e-8) for h, i in at.items())
+    assert got["c0"][1] > got["c0"][0] == 0
+    with pytest.raises(RuntimeError, match="after 8 steps"):
+        propagate(edges, seeds, limit=8)
+
+
 def test_url_filter(spark):
     rows = [(1, "http://A.example.com/en/7x?q"), (2, "http://a.example.com/en/6"), (3, "x://h.net/de/8#f"), (4, "x://example.net/de/8/9"), (5, None), (6, "nothing"), (7, "s://site.org/es/"), (8, "s://notcom/en/"), (9, "s://com/en/"), (10, "s://a.b://c/d"), (11, "s://farm.io/x"), (12, "s://good.io/x")]
     pages = spark.createDataFrame([(i, u, '<a href="http://bad.org/x">' if i == 11 else None, 1) for i, u in rows] + [(13, "s://bad.org/es/1", None, 1), (14, "s://h.net/de/1", '<A HREF=//good.io/y>', 1)], "page_id bigint, url string, html string, trust int")
