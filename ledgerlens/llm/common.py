@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
-from pyspark import cloudpickle
+from py4j.protocol import Py4JError
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,27 +28,39 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and all runs on this machine (local master), as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
+        if current.isDefined():
+            found = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Input bytes of one file of a scratch table at most, where there is more than a few files for each core.
+FILE_BYTES = 32 << 20
+_open: list["Scratch"] = []
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage: each is computed once and survives lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/ledgerlens-{uuid.uuid4().hex}"
         self.count = 0
+        _open.append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
-        """Write df as Parquet, in a few files for each core of the cluster at most, and read it again."""
+        """Write df as Parquet and read it again: small tables in a few files for each core, others in tasks of FILE_BYTES or more."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.coalesce(4 * self.spark.sparkContext.defaultParallelism).write.parquet(path)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        df.coalesce(min(1 << 20, max(4 * self.spark.sparkContext.defaultParallelism, size // FILE_BYTES))).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -52,8 +68,53 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def close(self) -> None:
+        """Delete all tables."""
+        self._delete(self.root)
+        if self in _open:
+            _open.remove(self)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Scratch tables begun within go at its end: for work whose results are written elsewhere by then."""
+    before = list(_open)
+    try:
+        yield
+    finally:
+        for scratch in [s for s in _open if s not in before]:
+            scratch.close()
+
+
+def release() -> None:
+    """Delete the scratch tables of all results so far, which can't be read any more then."""
+    for scratch in list(_open):
+        scratch.close()
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        with suppress(Py4JError, OSError):
+            release()
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
@@ -67,7 +128,3 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     left = left.withColumn("__salt", salt)
     spread = left.select(*keys, "__salt").distinct().join(right, keys)
     return left.join(spread, [*keys, "__salt"]).drop("__salt")
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
