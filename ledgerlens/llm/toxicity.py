@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import Scratch
+
+LOG = logging.getLogger(__name__)
+
 #: Words of abuse, by kind. Each kind is a voter, as is each pattern below.
 LEXICONS = {
-    "insult": "idiot idiots moron morons stupid dumb dumbass imbecile fool fools clown loser losers pathetic worthless useless ignorant cretin dunce halfwit nitwit retard retarded".split(),
-    "contempt": "scum trash garbage filth filthy vermin disgusting disgrace pig pigs rat rats parasite parasites subhuman degenerate worm coward creep freak".split(),
+    "wits": "idiot idiots moron morons stupid dumb dumbass imbecile fool fools ignorant cretin dunce halfwit nitwit retard retarded".split(),
+    "standing": "clown loser losers pathetic worthless useless coward creep freak".split(),
+    "dirt": "scum trash garbage filth filthy".split(),
+    "beast": "vermin pig pigs rat rats parasite parasites worm subhuman".split(),
+    "disgust": "disgusting disgrace degenerate".split(),
     "hate": "hate hated hateful despise loathe racist bigot nazi bastard bastards".split(),
     "profane": "fuck fucking fucked fucker shit shitty bullshit asshole assholes bitch bitches crap damn dick whore slut cunt piss".split(),
     "threat": "kill die murder hang shoot beat destroy burn rape strangle".split(),
@@ -33,7 +42,9 @@ TERMS = {w: i for i, w in enumerate(sorted({w for words in LEXICONS.values() for
 GROUPS = {name: np.array([TERMS[w] for w in words]) for name, words in LEXICONS.items()}
 WORD = re.compile(r"[^\W\d_]+")
 #: Voters that abstain unless they find something; a voter pair correlates beyond the label above this.
-CORRELATED = 0.4
+CORRELATED = 0.6
+#: Standard deviations by which an induced term is over-represented in toxic rows at least, and the lexicons that such terms are dealt to.
+Z_TELLING, LISTS = 5.5, 4
 
 
 def counts_of(text: str, terms: dict[str, int], learned: dict[str, int]) -> np.ndarray:
@@ -54,47 +65,58 @@ def counts_of(text: str, terms: dict[str, int], learned: dict[str, int]) -> np.n
     return out
 
 
-def votes_of(counts: np.ndarray, n_terms: int, n_learned: int) -> np.ndarray:
+def votes_of(counts: np.ndarray, n_terms: int, lists: np.ndarray) -> np.ndarray:
     """Votes (1 toxic, 0 clean, -1 none) of the voters, one column each.
 
-    Lexicon kinds and patterns vote once for toxic when found, and abstain else; the learned terms vote by one
-    and by two hits, the whole lexicon by two distinct terms; two voters see no term at all and vote for clean.
+    Lexicon kinds, patterns and the LISTS induced lexicons (`lists` names each induced term's) vote for toxic when found, and abstain
+    else; the last voter votes for clean where no term at all is found.
     """
-    terms, learned, patterns = counts[:, :n_terms] > 0, counts[:, n_terms : n_terms + n_learned], counts[:, n_terms + n_learned : -1] > 0
-    found = [terms[:, g].any(axis=1) for g in GROUPS.values()] + list(patterns.T)
-    found += [terms.sum(axis=1) >= 2, terms.sum(axis=1) >= 4, learned.sum(axis=1) >= 1, learned.sum(axis=1) >= 2]
+    terms, learned, patterns = counts[:, :n_terms] > 0, counts[:, n_terms : n_terms + len(lists)] > 0, counts[:, n_terms + len(lists) : -1] > 0
+    found = [terms[:, g].any(axis=1) for g in GROUPS.values()] + list(patterns.T) + [learned[:, lists == k].any(axis=1) for k in range(LISTS)]
     votes = [np.where(f, 1, -1) for f in found]
-    votes.append(np.where(terms.any(axis=1), -1, 0))
-    votes.append(np.where(learned.sum(axis=1) == 0, 0, -1))
+    votes.append(np.where(terms.any(axis=1) | learned.any(axis=1), -1, 0))
     return np.stack(votes, axis=1)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, trust: float = 0.97) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic for each row, accuracy table [voter, vote + 1, label], correlation matrix of the voters).
+def label_model(votes: np.ndarray, prior: float = 0.1, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of toxic for each row, accuracy of each voter, correlation matrix of the voters), from the votes alone.
 
-    A latent label makes each voter's vote (toxic, clean or none), with accuracies found by EM. The known label of a training row
-    is one more voter, right with chance `trust`. Voters that agree beyond what the label explains (their
-    residuals correlate by more than CORRELATED) share their weight: each is divided by one plus its excess correlations.
+    A latent label, toxic for a share `prior` of the rows, makes each vote; no known label enters, and an abstention tells nothing. A
+    voter for toxic is right as often as the other voters, without it, find its rows toxic: one that nobody bears out has the prior as
+    its accuracy and moves no posterior. A voter for clean is right by the posteriors. Voters that agree beyond what the label
+    explains (their residuals then correlate by more than CORRELATED) share their weight: each is divided by one plus its excess correlations.
     """
-    prior = np.clip(gold.mean() if len(gold) else 0.1, 0.01, 0.99)
-    given = np.where(gold == 1, np.log(trust / (1 - trust)), np.log((1 - trust) / trust))
-    post = 1 / (1 + np.exp(-(given + np.log(prior / (1 - prior)))))
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    usual = 2 * (onehot.mean(axis=0) + 1e-3)[:, :, None] if len(votes) else np.ones((votes.shape[1], 3, 1))
+    n, voters = votes.shape
+    prior = min(max(prior, 0.01), 0.99)
+    base = np.log(prior / (1 - prior))
+    toxic, fired = (votes == 1).any(axis=0), (votes >= 0).astype(float)
+    for_toxic = (votes == 1).astype(float)
+    own = np.where(toxic, 2.0, -2.0)
+    squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    logit = base + fired @ own
+    post, accuracy, given_toxic, given_clean = squash(logit), *(np.full(voters, p) for p in (prior, prior, 1 - prior))
     for _ in range(rounds):
-        table = np.stack([np.einsum("nvk,n->vk", onehot, 1 - post), np.einsum("nvk,n->vk", onehot, post)], axis=2)
-        table += usual  # two rows of each voter's usual votes, so that a voter that says one thing only tells nothing
-        table /= table.sum(axis=1, keepdims=True)
-        mean = np.einsum("nl,vkl->nvk", np.stack([1 - post, post], axis=1), table)
-        rest = (onehot - mean)[:, :, 2] - (onehot - mean)[:, :, 1]
-        scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        corr = (rest / scale).T @ (rest / scale) / max(1, len(rest))
-        np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.where(np.abs(corr) > CORRELATED, np.abs(corr), 0).sum(axis=1))
-        odds = np.log(table[:, :, 1] / table[:, :, 0]) * weight[:, None]
-        logit = np.einsum("nvk,vk->n", onehot, odds) + given + np.log(prior / (1 - prior))
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, table, corr
+        others = squash(logit[:, None] - own[None, :])
+        borne_out = ((others * for_toxic).sum(axis=0) + 2 * prior) / (for_toxic.sum(axis=0) + 2)  # two rows more at the prior
+        given_toxic = (post @ fired + 2 * prior) / (post.sum() + 2)
+        given_clean = ((1 - post) @ fired + 2 * (1 - prior)) / ((1 - post).sum() + 2)
+        accuracy = np.where(toxic, borne_out, given_clean * (1 - prior) / (given_clean * (1 - prior) + given_toxic * prior))
+        own = np.clip(np.where(toxic, np.log(borne_out / (1 - borne_out)) - base, np.log(given_toxic / given_clean)), -5, 5)
+        logit = base + fired @ own
+        before, post = post, squash(logit)
+        if np.abs(post - before).max(initial=0) < 1e-6:
+            break
+    rest = fired - (post[:, None] * given_toxic + (1 - post)[:, None] * given_clean)
+    rest /= np.sqrt((rest**2).mean(axis=0)) + 1e-9
+    corr = rest.T @ rest / max(1, n)
+    np.fill_diagonal(corr, 0)
+    weight = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
+    return squash(base + fired @ (own * weight)), accuracy, corr
+
+
+def voting(votes: np.ndarray) -> np.ndarray:
+    """Which voters vote for toxic, or clean, on some row but not alike on all: the others tell nothing and are left out."""
+    return (votes != votes[:1]).any(axis=0) if len(votes) else np.ones(votes.shape[1], dtype=bool)
 
 
 def features_of(counts: np.ndarray, n_terms: int, n_learned: int) -> np.ndarray:
@@ -122,8 +144,11 @@ def fit_linear(x: np.ndarray, soft: np.ndarray, steps: int = 60, ridge: float =
 
 @dataclass
 class ToxicityModel:
+    """learned: induced terms; weights: of the linear classifier; agreement: share of the fitted rows whose posterior and known label agree (measured, not used)."""
+
     learned: dict[str, int]
     weights: np.ndarray
+    agreement: float | None = None
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -136,11 +161,13 @@ def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_learned: int = 150, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_learned: int = 300, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on at most `max_rows` labelled rows (those whose hash is smallest) outside the held-out third.
 
-    Terms beyond the lexicons are learned from those rows: words of 4 letters or more that stand in at least 1 % of the toxic ones and
-    30 times as often there as in the others. With no usable row the model falls back on the lexicons: its labels are the votes.
+    The voters' accuracies and correlations, and the posteriors, come from their votes alone. The known labels serve for the share
+    of toxic rows, for inducing lexicons in whatever language (words of 4 letters or more that are over-represented in the toxic rows by
+    Z_TELLING standard deviations or more and stand mostly there), and afterwards to measure how far posteriors agree with them.
+    With no usable row the model falls back on the lexicons: its labels are the votes.
     """
     labels = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     labels = labels.where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -148,37 +175,40 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most max_rows pairs of numbers: their size is bounded by that parameter
     rows = texts.join(F.broadcast(chosen), "id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
-    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("w"))
-    tally = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    rows = Scratch(documents.sparkSession).table(rows)
     totals = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    toxic, clean = float(totals[0] or 0), float((totals[1] or 0) - (totals[0] or 0))
-    least = max(3.0, 0.01 * toxic)
-    rate = lambda hits, all_: (hits + 0.5) / (all_ + 1)
-    telling = tally.where(F.col("t") >= least).where(rate(F.col("t"), toxic) > 30 * rate(F.col("n") - F.col("t"), clean))
-    learned = {r["w"]: i for i, r in enumerate(telling.orderBy(F.desc("t"), "w").limit(max_learned).collect())}
+    n_terms = len(TERMS)
+    if not totals[1]:  # one made-up row for each outcome of the lexicon
+        counts = np.zeros((40, n_terms + len(PATTERNS) + 1))
+        counts[:, -1] = 100
+        for i in range(20):
+            counts[i, i : i + 3] = 1
+        return ToxicityModel({}, fit_linear(features_of(counts, n_terms, 0), np.repeat([1.0, 0.0], 20)))
+    prior = min(max(totals[0] / totals[1], 0.01), 0.99)
+    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("w"))
+    tally = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where("t >= 3 and 2 * t >= n")
+    z = (F.col("t") - F.col("n") * prior) / F.sqrt(F.col("n") * prior * (1 - prior))
+    telling = tally.withColumn("z", z).where(F.col("z") >= Z_TELLING).where(~F.col("w").isin(sorted(TERMS))).orderBy(F.desc("z"), "w").limit(max_learned).collect()
+    learned, lists = {r["w"]: i for i, r in enumerate(telling)}, np.array([crc32(r["w"].encode()) % LISTS for r in telling], dtype=int)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "c": [counts_of(t, TERMS, learned).tolist() for t in batch["text"]]})
 
     got = rows.mapInPandas(count, "toxic int, c array<double>").collect()  # bounded by max_rows
-    n_terms, n_learned = len(TERMS), len(learned)
-    if got:
-        counts, gold = np.array([r["c"] for r in got]), np.array([r["toxic"] for r in got])
-    else:  # one made-up row for each outcome of the lexicon
-        counts = np.zeros((40, n_terms + n_learned + len(PATTERNS) + 1))
-        counts[:, -1], gold = 100, np.repeat([1, 0], 20)
-        for i in range(20):
-            counts[i, i : i + 3] = 1
-    post, _, _ = label_model(votes_of(counts, n_terms, n_learned), gold)
-    return ToxicityModel(learned, fit_linear(features_of(counts, n_terms, n_learned), post))
+    counts, gold = np.array([r["c"] for r in got]), np.array([r["toxic"] for r in got])
+    votes = votes_of(counts, n_terms, lists)
+    post, _, _ = label_model(votes[:, voting(votes)], prior)
+    agreement = float(((post > 0.5) == (gold == 1)).mean())
+    LOG.info("posteriors of %d rows agree with their known labels on %.4f", len(gold), agreement)
+    return ToxicityModel(learned, fit_linear(features_of(counts, n_terms, len(learned)), post), agreement)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
     The whole text alone makes the score. Cases: a null text is an empty one and gets a score; a null
-    identifier stays null and is not held out; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
+    identifier stays null and is not held out; a very long text is read whole; equal texts have equal scores; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
     """
     kind = dict(documents.dtypes)[id_col]
     rows = documents.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -193,7 +223,11 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of documents, with all columns, whose score is under the threshold."""
+    """The rows of documents, with all columns, whose score is under the threshold.
+
+    Cases: a null text is scored as an empty one and stays null; a very long text is read whole; null identifiers and repeated rows are
+    judged by their texts alike; an empty table gives no rows; no column name clashes with the operator's own.
+    """
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
