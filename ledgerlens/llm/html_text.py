@@ -13,13 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.DOTALL | re.IGNORECASE,
-)
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag: quotes count only as the begin of a value; a quote that is not closed is part of the value.
+REST = re.compile(r"""((?>[^>=]+|=\s*+(?:"[^"]*"|'[^']*')|=)*+)>""")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+")
-#: Fixed values of HTML.
+#: Fixed values of HTML: elements whose content is not text of the page, elements without content, and so on.
+SCRIPTS = frozenset(("script", "style"))
+ASIDE = frozenset(("noscript", "template", "svg", "iframe", "object", "title"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img map".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -28,16 +29,112 @@ HIDDEN = 20
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("path", "leaf", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: bytes, leaf: str, text: str, linked: int):
+        self.path, self.leaf, self.text, self.linked = path, leaf, text, linked
+
+
+class OpenTags:
+    """The elements that are open, and their names and marks hashed: how many different ones each dimension has, two at most.
+
+    Opening and closing change what an element itself brings, so that depth costs nothing.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, set[str]]] = []
+        self.names: dict[str, int] = {}
+        self.held: dict[str, int] = {}
+        self.counts, self.path = [0] * PATH_DIMS, bytearray(PATH_DIMS)
+
+    @property
+    def leaf(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def _hold(self, mark: str, by: int) -> None:
+        before = self.held.get(mark, 0)
+        self.held[mark] = before + by
+        if not before or not before + by:
+            d = _mark_dim(mark)
+            self.counts[d] += by
+            self.path[d] = min(2, self.counts[d])
+
+    def open(self, name: str, marks: set[str]) -> None:
+        self.stack.append((name, marks))
+        self.names[name] = self.names.get(name, 0) + 1
+        for mark in (name, *marks):
+            self._hold(mark, 1)
+
+    def close(self) -> str:
+        name, marks = self.stack.pop()
+        self.names[name] -= 1
+        for mark in (name, *marks):
+            self._hold(mark, -1)
+        return name
+
+
+@functools.lru_cache(maxsize=20_000)
+def _mark_dim(mark: str) -> int:
+    return crc32(mark.encode("utf-8", "surrogatepass")) % PATH_DIMS
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of all that is markup, in order, in time that grows as the page's length; the name is empty for what only is to be passed over.
+
+    That is comments, declarations, and elements whose content is no text of the page: scripts and styles (to the end of the page, if
+    not closed) and, if they are closed, ASIDE and head. A `<` that begins no tag is text, and so is a tag that never ends.
+    """
+    at, ends, quotes, absent = 0, True, True, set()
+    while ends and (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        named = NAME.match(page, at)
+        if not named and not page.startswith(("<!", "<?"), at):
+            at += 1
+            continue
+        rest = REST.match(page, named.end()) if named and quotes else None
+        if rest is None:
+            # no end outside quoted values, here or in any later tag: from here on the next > ends a tag
+            quotes = quotes and not named
+            end = page.find(">", at)
+            ends = end >= 0
+            if not ends:
+                return
+            end, attributes = end + 1, page[named.end() : end] if named else ""
+        else:
+            end, attributes = rest.end(), rest[1]
+        name = named[1].lower() if named else ""
+        closing = page[at + 1] == "/"
+        if not closing and name in SCRIPTS:
+            end, name = _after(page, name, end) or len(page), ""
+        elif not closing and (name in ASIDE and not attributes.endswith("/") or name == "head") and name not in absent:
+            if (found := _after(page, name, end)) is None:
+                absent.add(name)
+            else:
+                end, name = found, ""
+        yield at, end, name, closing, attributes
+        at = end
+
+
+@functools.lru_cache(maxsize=64)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>|(?=<body[\s>])" if name == "head" else rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE)
+
+
+def _after(page: str, name: str, at: int) -> int | None:
+    """Where the element that is open at `at` has ended; a head ends where the body begins, too."""
+    found = _closing(name).search(page, at)
+    return found.end() if found else None
 
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks with text, in page order: references decoded, white space inside turned into one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    tags = OpenTags()
     text: list[str] = []
     linked, in_link = 0, 0
 
@@ -46,67 +143,61 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append(Block(stack[-1][1], whole, linked))
+                out.append(Block(bytes(tags.path), tags.leaf, whole, linked))
             text.clear()
         linked = 0
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
+    for start, end, name, closing, attributes in tags_of(page):
+        if start > at:
+            text.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        name = m[3]
-        if name is None:
+                linked += start - at
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name == "br":
             text.append(" ")
         elif name in INLINE:
             if name == "a":
-                in_link = 0 if m[2] else 1
-        elif m[2]:
+                in_link = 0 if closing else 1
+        elif closing:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    in_link = 0
-                    break
+            if tags.names.get(name):
+                while tags.close() != name:
+                    pass
+                in_link = 0
         else:
             flush()
-            if name in CLOSES_P and stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "dt", "dd", "td", "th", "option"):
-                stack.pop()
-            if name == "tr" and stack[-1][0] in ("td", "th"):
-                stack.pop()
-            marks = {f".{w}" for _, a, b, c in NAMES.findall(m[4]) for w in PART.findall((a or b or c).lower())} if m[4] else ()
+            if name in CLOSES_P and tags.leaf == "p" or name == tags.leaf and name in ("li", "dt", "dd", "td", "th", "option"):
+                tags.close()
+            if name == "tr" and tags.leaf in ("td", "th"):
+                tags.close()
             if name not in VOID:
-                stack.append((name, (*stack[-1][1], name, *sorted(marks))))
+                tags.open(name, {f".{w}" for _, a, b, c in NAMES.findall(attributes) for w in PART.findall((a or b or c).lower())} if attributes else set())
     if at < len(page):
         text.append(page[at:])
     flush()
     return out
 
 
-@functools.lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIMS, dtype=np.float32)
-    for mark in set(path):
-        v[crc32(mark.encode()) % PATH_DIMS] += 1
-    leaf = next((p for p in reversed(path) if p[0] != "."), "")
-    v[crc32(f"leaf {leaf}".encode()) % PATH_DIMS] += 1
-    return np.minimum(v, 2)
+@functools.lru_cache(maxsize=200_000)
+def _word_dim(word: str) -> int:
+    return crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_DIMS
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: hashed tag path, hashed words, and its shape (length, links, marks, place)."""
+    """A row for each block: hashed tag path, all its words hashed (counts, scaled to length one), and its shape (length, links, marks, place)."""
     out = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + EXTRA), dtype=np.float32)
+    if blocks:
+        paths = np.frombuffer(b"".join(b.path for b in blocks), dtype=np.uint8).reshape(len(blocks), PATH_DIMS).copy()
+        paths[np.arange(len(blocks)), [_mark_dim(f"leaf {b.leaf}") for b in blocks]] += 1
+        out[:, :PATH_DIMS] = np.minimum(paths, 2)
     for i, b in enumerate(blocks):
         row = out[i]
-        row[:PATH_DIMS] = _path_vector(b.path)
         words = b.text.split(" ")
-        for w in words if len(words) <= 12 else words[:6] + words[-6:]:
-            row[PATH_DIMS + crc32(w.lower().encode()) % WORD_DIMS] = 0.5
+        counts = np.bincount([_word_dim(w) for w in words], minlength=WORD_DIMS)
+        row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.sqrt((counts**2).sum())
         n = len(b.text)
         row[-EXTRA:] = (np.log1p(n) / 6, min(1.0, b.linked / n), len(words) < 4, b.text[-1] in ".!?", b.text.count(",") / len(words), i / len(blocks), 1 / (1 + i), 1.0)
     return out
@@ -340,7 +431,7 @@ def main_text(pages: DataFrame, labeller: Labeller | None = None, id_col: str =
     keeps those of the main text, which are joined by a line feed in page order.
 
     Cases: null html is an empty page, with empty text; a page without markup is one block; broken markup is read as
-    far as it goes; null identifiers and urls stay null; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
+    far as it goes, without loss of text; a very long page takes time as its length; null identifiers and urls stay null; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
     """
     labeller = labeller or trained()
     kind = dict(pages.dtypes)[id_col]
