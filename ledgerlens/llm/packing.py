@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,37 +18,39 @@ from ledgerlens.llm.common import Scratch
 
 WINDOW = 2048
 END_ID = 1
+
+
 @functools.cache
-def encoder(name: str = "byte_bpe_50k", added: bool = False):
+def encoder(name: str = "byte_bpe_50k"):
     """The byte-level vocabulary of the tokenizers library's <name>.json, run from the same vocabulary's ranks.
 
     The ids are equal (the tests hold them against the tokenizers library) and come 2.5 times as fast as
-    from the library itself, which re-encodes each of the many words that occur once. With `added` it knows the added tokens
-    of <name>.json, which the library finds in texts too; without, their strings are ordinary text.
+    from the library itself, which re-encodes each of the many words that occur once. The added tokens of <name>.json are
+    special ones here: encode with allowed_special="all" to find them in texts, as the library does.
     """
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    special = {}
-    if added:
-        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
-            special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in special.values()}, special_tokens=special)
 
 
 def _pieces(vocabulary: str, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = functools.partial(encoder(vocabulary, added=True).encode_to_numpy, allowed_special="all")
+        encode = functools.partial(encoder(vocabulary).encode_to_numpy, allowed_special="all")
+        part, seen = TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in batches:
             out = []
             for key, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.append(encode(text), END_ID).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
-                    out.append((key, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    out.append((key, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, seen[len(piece)]))
+                    seen[len(piece)] += 1
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local"])
 
     return run
 
@@ -116,8 +119,8 @@ def plan_windows(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[tupl
     return plan
 
 
-def _place(plan: list[tuple[tuple[int, ...], int]], base: np.ndarray, window: int, buckets: int):
-    """Column function (length, bucket, number within these): where a piece goes. base: pieces of a length before each bucket."""
+def _place(plan: list[tuple[tuple[int, ...], int]], window: int):
+    """Column function (length, number among the pieces of that length): where a piece goes."""
     begin, first_sequence, offset, used, sequence = [], [], [], np.zeros(window + 1, dtype=np.int64), 0
     for lengths, times in plan:
         at = 0
@@ -132,43 +135,36 @@ def _place(plan: list[tuple[tuple[int, ...], int]], base: np.ndarray, window: in
     begin, first_sequence, offset = (np.array(v, dtype=np.int64)[order] for v in (begin, first_sequence, offset))
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
-    def place(length: pd.Series, bucket: pd.Series, local: pd.Series) -> pd.DataFrame:
-        n = length.to_numpy(np.int64)
-        key = (n << 44) + base[n * buckets + bucket.to_numpy(np.int64)] + local.to_numpy(np.int64)
+    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        key = (length.to_numpy(np.int64) << 44) + number.to_numpy(np.int64)
         slot = np.searchsorted(begin, key, side="right") - 1
         return pd.DataFrame({"sequence_id": first_sequence[slot] + key - begin[slot], "offset": offset[slot]})
 
     return place
 
 
-def pack(documents: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:
+def pack(documents: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents are tokenised once and cut at multiples of the window; the histogram of piece lengths (at
-    most `window` numbers, whatever the input) goes to the driver, which plans windows from it; pieces of a
-    length are numbered in parallel, within `buckets` parts of each length and by the parts' totals, and
-    the number gives sequence and offset.
+    Documents are tokenised once and cut at multiples of the window; each task numbers its pieces of each length as it makes them, and
+    the tasks' totals, summed up in the order of the tasks, number all pieces of a length without sorting any. The histogram of piece lengths (at
+    most `window` numbers, whatever the input) goes to the driver, which plans windows from it; a piece's number gives sequence and offset.
 
-    Cases: a null text is an empty one (the closing id alone); a null identifier stays null; repeated rows are
+    Cases: a null text is an empty one (the closing id alone); a very long one fills windows of its own; a null identifier stays null; repeated rows are
     documents of their own; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession)
     kind = dict(documents.dtypes)[id_col]
     texts = documents.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = texts.mapInPandas(_pieces(vocabulary, window), "doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
-    pieces = pieces.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("row", F.monotonically_increasing_id())
-    pieces = scratch.table(pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")))
-    counts = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    pieces = texts.mapInPandas(_pieces(vocabulary, window), "doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, local bigint")
+    pieces = scratch.table(pieces.withColumn("doc_id", F.col("doc_id").cast(kind)))
+    # one row for each length and task
+    totals = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = scratch.table(totals.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = np.zeros(window + 1, dtype=np.int64)
-    parts: dict[tuple[int, int], int] = {}
-    for length, bucket, n in counts.collect():  # at most window x buckets rows
-        histogram[length] += n
-        parts[length, bucket] = n
-    base = np.zeros((window + 1) * buckets, dtype=np.int64)
-    for length in np.nonzero(histogram)[0]:
-        sizes = [parts.get((int(length), b), 0) for b in range(buckets)]
-        base[length * buckets : (length + 1) * buckets] = np.cumsum([0, *sizes[:-1]])
-    place = _place(plan_windows(histogram, window), base, window, buckets)
-    local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
-    placed = pieces.withColumn("local", local).withColumn("at", place("length", "bucket", "local"))
+    for length, n in totals.groupBy("length").agg(F.sum("n")).collect():  # at most window rows
+        histogram[length] = n
+    place = _place(plan_windows(histogram, window), window)
+    placed = pieces.join(totals.select("length", "part", "base"), ["length", "part"]).withColumn("at", place("length", F.col("base") + F.col("local")))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
