@@ -18,6 +18,8 @@ DEFAULT_RULES = (
 
 #: Steps of the ranks from one written table to the next.
 STEPS = 8
+#: Links (rows of a host, a host and two numbers) up to which the ranks are computed in one task, without shuffles; beyond, links of a host are dealt over SALTS tasks.
+ONE_TASK, SALTS = 400_000, 64
 
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -57,21 +59,26 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(tree).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-9, damping: float = 0.85, limit: int = 2000) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-9, damping: float = 0.85, limit: int = 2000, one_task: int = ONE_TASK) -> DataFrame:
     """(host, trust, distrust): two personalised PageRanks at once.
 
     seeds has (host, trust, distrust), the restart mass of each. Trust follows the links from trusted
     seeds; distrust follows them backwards from blocked ones: who links to a bad host is suspect. A host
-    without a link keeps its restart mass. Each step is a join and a sum by host; the ranks are written to the shared folder after every
+    without a link keeps its restart mass. Each step is a join and a sum by host, in one task for up to `one_task` links and over a hub host's
+    salted links beyond; the ranks are written to the shared folder after every
     STEPS of them. They end when all hosts' ranks together grow by less than `tolerance` in these and neither rank
     reaches a further host; more than `limit` steps are an error.
     """
     scratch = Scratch(edges.sparkSession)
     out_n = edges.groupBy("src").agg(F.sum("n").alias("all"))
     in_n = edges.groupBy("dst").agg(F.sum("n").alias("all"))
-    forward = edges.join(out_n, "src").select(F.col("src").alias("host"), F.col("dst").alias("target"), (F.col("n") / F.col("all")).alias("f"), F.lit(0.0).alias("b"))
-    back = edges.join(in_n, "dst").select(F.col("dst").alias("host"), F.col("src").alias("target"), F.lit(0.0).alias("f"), (F.col("n") / F.col("all")).alias("b"))
-    links = scratch.table(forward.union(back).groupBy("host", "target").agg(F.sum("f").alias("f"), F.sum("b").alias("b")))
+    forward = salted_join(edges, out_n, ["src"]).select(F.col("src").alias("host"), F.col("dst").alias("target"), (F.col("n") / F.col("all")).alias("f"), F.lit(0.0).alias("b"))
+    back = salted_join(edges, in_n, ["dst"]).select(F.col("dst").alias("host"), F.col("src").alias("target"), F.lit(0.0).alias("f"), (F.col("n") / F.col("all")).alias("b"))
+    links = forward.union(back).groupBy("host", "target").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
+    links = scratch.table(links.withColumn("salt", F.pmod(F.xxhash64("target"), F.lit(SALTS)).cast("int")))
+    small = links.count() <= one_task
+    met = (lambda df: df.coalesce(1)) if small else (lambda df: df)  # one partition meets another without a shuffle
+    pairs = None if small else scratch.table(links.select("host", "salt").distinct())
     nodes = links.select("host").union(seeds.select("host")).distinct()
     keep = 1 - damping
     start = nodes.join(seeds, "host", "left").select("host", (keep * F.coalesce("trust", F.lit(0.0))).alias("trust"), (keep * F.coalesce("distrust", F.lit(0.0))).alias("distrust"))
@@ -79,8 +86,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-9, dampi
     ranks, old, before, sums = start, None, None, (0.0, 0.0)
     for _ in range(0, limit, STEPS):
         for _ in range(STEPS):
-            sent = links.join(ranks, "host").select(F.col("target").alias("host"), (damping * F.col("trust") * F.col("f")).alias("trust"), (damping * F.col("distrust") * F.col("b")).alias("distrust"))
-            ranks = start.union(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+            joined = met(links).join(met(ranks).hint("merge"), "host") if small else links.join(pairs.join(ranks, "host"), ["host", "salt"])
+            sent = joined.select(F.col("target").alias("host"), (damping * F.col("trust") * F.col("f")).alias("trust"), (damping * F.col("distrust") * F.col("b")).alias("distrust"))
+            ranks = met(start.union(sent)).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         ranks = scratch.table(ranks)
         if old is not None:
             scratch.drop(old)
@@ -103,7 +111,8 @@ def url_filter(pages: DataFrame, rules=DEFAULT_RULES, threshold: float = 1.0, id
     are the shares of all allowed and of all blocked pages that it has, so both sum to one.
 
     Cases: a null url, or one without `://`, has empty host and path, fits no rule with a path and is
-    allowed; null html has no links; repeated rows each get their row; an empty table gives no rows;
+    allowed; null html has no links; a very long page is read whole; of rules of equal length the one that sorts last wins; distrust equal
+    to `threshold` times the trust (so none of either) allows; repeated rows each get their row; an empty table gives no rows;
     other columns are ignored.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
