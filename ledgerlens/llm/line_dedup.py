@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ledgerlens.llm.common import Scratch
+from ledgerlens.llm.common import Scratch, salted_join, spare_names
 
 VARIABLE = re.compile(r"\d")
 MARK = "<*>"
@@ -26,8 +26,8 @@ MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 MIXES = np.array([0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(SAMPLES)], dtype=np.uint64)
 
 
-def templates(line: str, lead: int = 3, min_tokens: int = 3, hole_tokens: int = 8) -> list[int]:
-    """Template numbers of a line: leaves of the tree that it belongs to; none if it has under `min_tokens` tokens.
+def templates(line: str, lead: int = 3, hole_tokens: int = 8) -> list[int]:
+    """Template numbers of a line: leaves of the tree that it belongs to; none without a token that is no variable field.
 
     The first level of the tree is the token count, the next `lead` levels are the leading tokens, a token with a
     digit standing as a variable field. Below, the first template has the other tokens as they are (variable fields again
@@ -36,9 +36,9 @@ def templates(line: str, lead: int = 3, min_tokens: int = 3, hole_tokens: int =
     """
     tokens = line.split()
     n = len(tokens)
-    if n < min_tokens:
-        return []
     masked = [MARK if VARIABLE.search(t) else t for t in tokens] if VARIABLE.search(line) else tokens
+    if all(t is MARK for t in masked):
+        return []
     digest = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
     head = f"{n} {' '.join(masked[:lead])}"
     out = [digest(f"{head}|{' '.join(masked[lead:])}")]
@@ -48,13 +48,6 @@ def templates(line: str, lead: int = 3, min_tokens: int = 3, hole_tokens: int =
     return out
 
 
-def sketch(text: str) -> int:
-    """The smallest CRC of a text's long words: the former rule's sketch, which unlike texts share too; only a test of that rule reads it."""
-    words = set(text.split())
-    long = [w for w in words if len(w) >= 9] or words
-    return min((crc32(w.encode()) for w in long), default=0)
-
-
 def line_minima(lines: list[list[str]]) -> np.ndarray:
     """(SAMPLES, lines): the smallest hash of each line's word pairs (its words, at its end) under each of SAMPLES mixes; NOTHING for a line without words."""
     out = np.full((SAMPLES, len(lines)), NOTHING)
@@ -143,28 +136,28 @@ def recurring_lines(documents: DataFrame, min_docs: int = 3, id_col: str = "doc_
         ends = left.groupBy("template").agg(F.min(F.struct("low", "high")).alias("m"), F.max(F.struct("low", "high")).alias("n"))
         # holders of one sketch, as of most templates, have no unlike one
         taken = ends.where("m <> n").select("template", F.col("m.low").alias("l"), F.col("m.high").alias("h"))
-        left = left.join(taken, "template").where(~alike(F.col("low"), F.col("high"), F.col("l"), F.col("h"))).select("template", "low", "high")
+        left = salted_join(left, taken, ["template"]).where(~alike(F.col("low"), F.col("high"), F.col("l"), F.col("h"))).select("template", "low", "high")
         left = scratch.table(left)
     recurring = scratch.table(left.select("template").distinct())
     at = keyed.select("doc", F.explode(F.arrays_zip("lines", "templates")).alias("x")).select("doc", F.col("x.lines").alias("line"), F.col("x.templates").alias("template"))
-    return at.join(recurring, "template").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    return salted_join(at, recurring, ["template"]).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
-def drop_recurring_lines(documents: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents with all their columns, recurring lines cut out of the text, and array column `dropped` with their numbers.
+def drop_recurring_lines(documents: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", report_col: str = "dropped") -> DataFrame:
+    """documents with all their columns, recurring lines cut out of the text, and array column `report_col` with their numbers.
 
     A document of which no word would be left stays whole (whole documents are near-dedup's matter). Cases: a null text
-    stays null; empty lines and lines of under 3 words are never dropped; repeated rows count once and are treated alike; null identifiers are
-    kept; an empty table gives no rows; a column named dropped is replaced.
+    stays null; empty lines and lines of which all words are variable fields are never dropped; repeated rows count once and are treated alike; null identifiers are
+    kept; a very long text is read whole; an empty table gives no rows; a column named as `report_col` is replaced, and no other name clashes.
     """
-    found = recurring_lines(documents, min_docs, id_col, text_col).withColumnRenamed("doc", "__doc").withColumnRenamed("dropped", "__dropped")
+    doc, gone, cut = spare_names(documents, "doc", "gone", "cut")
+    found = recurring_lines(documents, min_docs, id_col, text_col).toDF(doc, gone)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = documents.withColumn("__doc", F.xxhash64(F.col(id_col).cast("string"), text)).join(found, "__doc", "left")
-    cut = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(_without(text, F.col("__dropped")))
-    out = out.withColumn("__cut", cut)
-    whole = F.trim(F.regexp_replace("__cut", r"\s+", " ")) == ""
-    out = out.withColumn("dropped", F.when(whole | F.col("__dropped").isNull(), F.array().cast("array<int>")).otherwise(F.col("__dropped")))
-    return out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.col("__cut"))).drop("__doc", "__dropped", "__cut")
+    out = documents.withColumn(doc, F.xxhash64(F.col(id_col).cast("string"), text)).join(found, doc, "left")
+    out = out.withColumn(cut, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(_without(text, F.col(gone))))
+    whole = F.trim(F.regexp_replace(cut, r"\s+", " ")) == ""
+    out = out.withColumn(report_col, F.when(whole | F.col(gone).isNull(), F.array().cast("array<int>")).otherwise(F.col(gone)))
+    return out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.col(cut))).drop(doc, gone, cut)
 
 
 def line_report(documents: DataFrame) -> DataFrame:
