@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Scratch
+from ledgerlens.llm.common import Scratch, spare_names
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Target share of expected tokens for each domain of the label table.
-DEFAULT_TARGETS = {"good": 0.92, "poor": 0.08}
+DEFAULT_TARGETS = {"good": 0.97, "poor": 0.03}
 
 
 def shape_features(text: str) -> list[float]:
@@ -30,7 +30,7 @@ def shape_features(text: str) -> list[float]:
     marked = sum(marks[m] for m in ("$$$", "***", "###", "&&&", "%%%")) / n
     return [
         1.0, np.log(n), np.log(len(unique) or 1) - np.log(n), repeats, letters, upper, min(2, 10 * marks["!!"] / n), marked, marks[" | "] / n,
-        marks["http"] / n, text.count("\n") / n, min(3, sum(map(len, unique)) / max(1, len(unique)) / 8), sum(c.isdigit() for c in text[:1]) * 1.0, float(n < 5), text.count(".") / n, text.count(",") / n,
+        marks["http"] / n, text.count("\n") / n, min(3, sum(map(len, unique)) / max(1, len(unique)) / 8), float(n < 5), text.count(".") / n, text.count(",") / n,
     ]
 
 
@@ -123,7 +123,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = 40, pul
     return rate(), history
 
 
-def solve_rates(members: DataFrame, targets: np.ndarray, pull: float = 0.002, tolerance: float = 1e-9, limit: int = 100) -> tuple[Column, np.ndarray]:
+def solve_rates(members: DataFrame, targets: np.ndarray, pull: float = 1e-4, tolerance: float = 1e-9, limit: int = 100) -> tuple[Column, np.ndarray]:
     """(rate column over p, missed share of each domain) at the minimum that fit_rates steps towards.
 
     There a rate is max(0, 1 - p.e / pull), e being the missed shares, so Newton steps with halving find e as the minimum of
@@ -196,8 +196,12 @@ def mix_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def apply_mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """documents with all columns, each row as often as its copies say."""
-    mixed = mix(documents, labels, targets).groupBy("doc").agg(F.first("copies").alias("__copies")).withColumnRenamed("doc", "__doc")
+    """documents with all columns, each row as often as its copies say.
+
+    Cases: as in mix; rows of equal identifier and text repeat alike; null texts stay null; no column name clashes with the operator's own.
+    """
+    doc, copies, i = spare_names(documents, "doc", "copies", "i")
+    mixed = mix(documents, labels, targets).groupBy("doc").agg(F.first("copies")).toDF(doc, copies)
     text = F.coalesce("text", F.lit(""))
-    out = documents.withColumn("__doc", F.xxhash64(F.col("doc_id").cast("string"), text)).join(mixed, "__doc")
-    return out.withColumn("__i", F.explode(F.expr("sequence(1, greatest(__copies, 1))"))).where("__copies > 0").drop("__doc", "__copies", "__i")
+    out = documents.withColumn(doc, F.xxhash64(F.col("doc_id").cast("string"), text)).join(mixed.where(F.col(copies) > 0), doc)
+    return out.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(doc, copies, i)
