@@ -36,7 +36,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, width=1, blocks=6)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, width=1, blocks="auto")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

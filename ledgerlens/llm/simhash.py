@@ -176,6 +176,11 @@ def bit_masks(radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - radius)]
 
 
+def blocks_for(n: int, radius: int, crowd: int = 32) -> int:
+    """The fewest blocks, radius + 2 at least, of which a choice has bits enough to leave `crowd` of n random fingerprints to a bucket; at most radius + 8."""
+    return next((b for b in range(radius + 2, radius + 8) if n <= crowd << 64 * (b - radius) // b), radius + 8)
+
+
 def _linker(radius: int, masks: list[int] | None):
     names = ["choice", "key", "low", "high"]
 
@@ -228,22 +233,24 @@ def link_fingerprints(keyed: DataFrame, radius: int, masks: list[int] | None, sc
     return dealt.mapInPandas(_linker(radius, masks), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, radius: int = 51, width: int = 4, blocks: int | None = None, bucket: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 5, radius: int = 51, width: int = 4, blocks: int | str | None = None, bucket: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: doc_id, fingerprint (16 hex digits for each of `width` words), component_id (the smallest doc_id reachable over links).
 
     Fingerprints link if they differ in at most `radius` of 64 x `width` bits; the default is an agreement of 0.8, and
     256 bits tell it with half the error of 64. With `blocks` (more than the radius; width 1) the search is exact: two such fingerprints agree in at least `blocks` - `radius` of the blocks, and those that agree in
     a choice of blocks are compared, all with all, bit-sliced. More blocks make more but smaller buckets, which a
-    larger corpus needs. Without `blocks`, for a radius that no blocks can serve, those are compared that share one of SAMPLES sampled shingles, which two documents
+    larger corpus needs: "auto" takes the fewest that leave some dozens of random fingerprints to a bucket (exact at any number). Without `blocks`, for a radius that no blocks can serve, those are compared that share one of SAMPLES sampled shingles, which two documents
     of shingle similarity s miss with chance (1 - s) ** SAMPLES (0.00006 at 0.8).
 
     Equal fingerprints are one in all that is compared, and copies are joined back in salted parts. Cases: a null
-    text is an empty one, with fingerprint zero, linked like any other; a text of fewer words is one shingle; a null
+    text is an empty one, with fingerprint zero, linked like any other; a text of fewer words is one shingle; a very long one is read whole; a null
     identifier is never the smallest; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession)
     docs = scratch.table(fingerprints(documents, words, width, blocks is None, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     prints = docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits"))
+    if blocks == "auto":
+        blocks = blocks_for(prints.count(), radius)
     if blocks is None:
         masks = None
         keyed = docs.select("fp", "bits", F.posexplode("keys").alias("choice", "key"))
@@ -264,9 +271,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, radius: int = 51, widt
 def near_dedup(documents: DataFrame, words: int = 5, radius: int = 51, width: int = 4) -> DataFrame:
     """The rows of documents with all columns, one for each component of near_duplicates: the one with the smallest doc_id.
 
-    Rows without doc_id can't be named and all stay; of rows that repeat the smallest doc_id, one stays.
+    Cases: a null text is an empty one in all comparisons and stays null; empty texts are copies of one another; rows without doc_id can't be
+    named and all stay; of rows that repeat the smallest doc_id, the one with the smallest text stays (of equal texts any one); a very long text is
+    read whole; an empty table gives no rows; no column name clashes with the operator's own.
     """
-    found = near_duplicates(documents, words, radius, width)
-    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keepers = near_duplicates(documents, words, radius, width).where("doc_id = component_id").select("doc_id").distinct()
+    kept = documents.join(keepers, "doc_id", "left_semi")
+    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in documents.columns]), F.struct(F.col("text").isNull(), "text")).alias("row")).select("row.*")
     return kept.unionByName(documents.where(F.col("doc_id").isNull()))
