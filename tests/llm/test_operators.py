@@ -2,15 +2,17 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import catalogue, html_text, media, packing, secrets, simhash, toxicity
+from ledgerlens.llm import catalogue, common, html_text, media, mixing, packing, secrets, simhash, toxicity
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.line_dedup import drop_recurring_lines, line_report, templates
 from ledgerlens.llm.mixing import mix, mix_report
@@ -265,10 +267,9 @@ def test_packing_ids_equal_the_tokenizers_library(docs):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = [r["text"] or "" for r in docs.collect()] + ["  a \x85\xa0 ½² 's I'LL <|endoftext|> \x1c\n\n z", "日本語 123 ١٢٣ é́ 😀 ", "\t\t \n", ""]
     for text in texts:
-        assert packing.encoder().encode_to_numpy(text).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert packing.encoder().encode_to_numpy(text, allowed_special="all").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_finds_added_tokens_as_the_library_does(spark):
@@ -335,16 +336,28 @@ def test_toxicity_cases(odd, spark):
 
 def test_label_model_finds_the_better_voters():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.3
-    right = [0.95, 0.8, 0.6]
-    votes = np.stack([np.where(rng.random(4000) < a, y, ~y) for a in right] + [rng.integers(0, 2, 4000)], axis=1).astype(int)
-    votes = np.concatenate([votes, votes[:, 1:2]], axis=1)  # a voter that copies another
-    post, table, corr = toxicity.label_model(votes, np.where(rng.random(4000) < 0.97, y, ~y).astype(int))
-    assert ((post > 0.5) == y).mean() > 0.95
-    assert table[0, 2, 1] > table[1, 2, 1] > table[2, 2, 1]
+    y = rng.random(6000) < 0.2
+    fires = [(0.8, 0.01), (0.6, 0.03), (0.5, 0.05), (0.3, 0.3)]  # given toxic, given clean; the last one tells nothing
+    votes = np.stack([np.where(rng.random(6000) < np.where(y, a, b), 1, -1) for a, b in fires], axis=1)
+    votes = np.concatenate([votes, votes[:, 1:2], np.where((votes == 1).any(axis=1), -1, 0)[:, None]], axis=1)  # a voter that copies another, and one for clean
+    post, accuracy, corr = toxicity.label_model(votes, 0.2)
+    assert ((post > 0.5) == y).mean() > 0.92
+    assert accuracy[0] > accuracy[3] + 0.3 and accuracy[2] > accuracy[3] + 0.2
     assert corr[1, 4] > 0.9 > toxicity.CORRELATED > abs(corr[0, 2])
 
 
+def test_posteriors_come_from_the_votes(spark, caplog):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    with caplog.at_level("INFO"):
+        models = [toxicity.fit_toxicity(docs, t) for t in (labels, flipped)]
+    assert "agree with their known labels" in caplog.text
+    assert models[0].agreement > 0.95 and models[1].agreement < 0.92  # flipped labels are not followed
+    scores = [{r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, m).collect()} for m in models]
+    assert sum(scores[0][i] != scores[1][i] for i in scores[0]) / len(scores[0]) < 0.05
+
+
 def test_line_dedup(spark):
     rng = np.random.default_rng(5)
     letters = np.array(list("abcdefghijklmnop"))
@@ -377,19 +390,82 @@ def test_a_line_of_very_many_documents_goes_and_lines_of_near_copies_stay(spark)
 
 
 def test_line_templates_against_brute_force(docs):
-    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
-    from ledgerlens.llm.line_dedup import sketch
+    """Lines as they are (no digits), and the exact similarity of the word pairs of all other lines, in place of templates and sketches."""
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    dropped = {r["doc_id"]: set(r["dropped"]) for r in drop_recurring_lines(docs).collect()}
+
+    def pairs(text, without):
+        lines = [x.split() for x in text.split("\n") if x.split() != without]
+        return {p for w in lines for p in zip(w, w[1:], strict=False)}
 
     holders = defaultdict(list)
-    for _, t in set(rows):
-        for k in {k for line in t.split("\n") for k in templates(line)}:
-            holders[k].append(sketch(t))
-    bad = {k for k, v in holders.items() if len(set(v)) >= 3 and len(set(v)) >= 0.5 * len(v)}
-    for r in drop_recurring_lines(docs).collect():
-        text = next(t for i, t in rows if i == r["doc_id"])
-        lines = text.split("\n")
-        kept = [x for x in lines if not set(templates(x)) & bad]
-        assert r["text"] == ("\n".join(kept) if "".join(kept).strip() else text)
+    for i, t in texts.items():
+        for n, line in enumerate(t.split("\n")):
+            if line.split() and not re.search(r"\d", line):
+                holders[tuple(line.split())].append((i, n))
+    checked = [0, 0]
+    for line, where in holders.items():
+        rests = {i: pairs(texts[i], list(line)) for i, _ in where}
+        sim = lambda a, b: len(a & b) / max(1, len(a | b))
+        unlike, alike = [], []
+        for i, r in rests.items():
+            if r and all(sim(r, rests[j]) < 0.005 for j in unlike):
+                unlike.append(i)
+            if all(sim(r, rests[j]) < 0.7 for j in alike):
+                alike.append(i)
+        for i, n in where:
+            if len(unlike) >= 12:  # so many that chance hits of the sketches don't matter
+                whole = len({x for x in texts[i].split("\n") if x.strip()}) == 1
+                checked[0] += 1
+                assert n in dropped[i] or not dropped[i] and (whole or len(rests[i]) < 20)
+            if len(alike) < 3 and len(line) < 8:  # longer lines have templates with fields
+                checked[1] += 1
+                assert n not in dropped[i]
+    assert min(checked) > 20
+
+
+def test_names_may_clash(spark):
+    rows = [(i, f"word{i} and more\nthis very line stands in all of them\nalso {'x' * i} y", 1, 2, 3, 4, 5, 6, "k") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __doc int, __cut int, doc int, gone int, cut int, __copies int, dropped string")
+    got = drop_recurring_lines(df, report_col="numbers")
+    assert got.columns == [*df.columns, "numbers"]
+    assert all((r["__doc"], r["__cut"], r["doc"], r["gone"], r["cut"], r["dropped"]) == (1, 2, 3, 4, 5, "k") for r in got.collect())
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    mixed = mixing.apply_mix(df.withColumn("copies", F.lit(9)).withColumn("i", F.lit(8)), labels, {"good": 0.5, "poor": 0.5})
+    assert mixed.columns == [*df.columns, "copies", "i"] and {(r["copies"], r["i"], r["__copies"]) for r in mixed.collect()} <= {(9, 8, 6)}
+    near = simhash.near_dedup(df)
+    assert near.columns == df.columns
+
+
+def test_near_dedup_of_one_identifier_with_two_texts(spark):
+    rows = [(1, "b " * 30), (1, "a " * 30), (1, None), (2, "a " * 30)]
+    got = simhash.near_dedup(rows_of(spark, rows)).collect()
+    assert [(r["doc_id"], r["text"]) for r in got] == [(1, "a " * 30)]
+
+
+def test_hostile_texts_take_time_as_their_length(spark):
+    size = 1_000_000
+    for unit in ("<script ", '<a "', "<a x='", '<a x="y">', '<a x=">"', "<!", "<svg>", "<head><title>", "<p ="):
+        began = time.time()
+        html_text.blocks_of(unit * (size // len(unit)))
+        assert time.time() - began < 15, unit
+    for unit in ("eyJ", "eyJabcdefghij.", "token", "AKIA", "ab12", "password = ", "xoxa-", "a://b:"):
+        began = time.time()
+        secrets.scan(unit * (size // len(unit)))
+        assert time.time() - began < 15, unit
+
+
+def test_scratch_tables_go(spark, docs):
+    common.release()
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("ledgerlens-*"))
+    got = exact_dedup(docs)
+    assert got.count() and set(folder.glob("ledgerlens-*")) > before
+    with common.passing():
+        mix_report(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")).count()
+    assert got.count()
+    common.release()
+    assert set(folder.glob("ledgerlens-*")) == before
 
 
 def test_mixing_meets_the_targets(spark):
@@ -461,6 +537,8 @@ def test_url_ranks_equal_long_iteration_and_reach_far_hosts(spark):
     got = {r["host"]: (r["trust"], r["distrust"]) for r in propagate(edges, seeds).collect()}
     assert got.keys() == at.keys() and all(np.allclose(got[h], (t[i], d[i]), atol=1e-8) for h, i in at.items())
     assert got["c0"][1] > got["c0"][0] == 0
+    salted = {r["host"]: (r["trust"], r["distrust"]) for r in propagate(edges, seeds, one_task=0).collect()}
+    assert all(np.allclose(salted[h], got[h], atol=1e-12) for h in at)
     with pytest.raises(RuntimeError, match="after 8 steps"):
         propagate(edges, seeds, limit=8)
 
@@ -500,6 +578,23 @@ def test_html_text_of_the_pages(spark, sf):
     assert same / len(got) > 0.98
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p title=don't>It is a day</p><p>can't go</p><p>end</p></article>", ["It is a day", "can't go", "end"]),
+        ('<p a="x>y" b=\'>\'>one</p><p c="unclosed>two</p>', ["one", "two"]),
+        ("<html><head><title>t</title><body><p>x", ["x"]),
+        ("<head><meta a><p>no head end", ["no head end"]),
+        ("a <b>c</b> < d <3 e", ["a c < d <3 e"]),
+        ("<p>x<svg/>y<svg><text>z</text></svg></p><noscript>n<p>open", ["xy", "n", "open"]),
+        ("<p>x <a href", ["x <a href"]),
+        ("<SCRIPT>a<p>b</Script >c<!-- d -->e<!DOCTYPE f>g", ["ceg"]),
+    ],
+)
+def test_blocks_of_broken_markup(page, want):
+    assert [b.text for b in html_text.blocks_of(page)] == want
+
+
 def test_html_cases(spark):
     pages = spark.createDataFrame([(None, None, None), (1, "u", ""), (2, "u", "<p>a<p>b</div></p><<>"), (2, "u", "<article><p>x&nbsp;&amp; y\n z</p><script>no</script></article>")], "page_id bigint, url string, html string")
     got = html_text.main_text(pages).collect()
