@@ -128,3 +128,16 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     left = left.withColumn("__salt", salt)
     spread = left.select(*keys, "__salt").distinct().join(right, keys)
     return left.join(spread, [*keys, "__salt"]).drop("__salt")
+
+
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, most: int = 10_000) -> DataFrame:
+    """left inner-joined to right, which has one row for each key and, in column `n`, no fewer than the key's rows of left.
+
+    Keys that hold more than 1 / `most` of these rows are `most` at the most: they are broadcast, and left's rows of them stay where they are.
+    All other rows are joined by a shuffle, in which no key is hot. left is read twice. Keys must not be null.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.where(F.col(n) * most > total)
+    held = F.broadcast(hot.select(*keys))  # at most `most` rows
+    cold = left.join(held, keys, "left_anti").join(right.where(F.col(n) * most <= total), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cold).drop(n)

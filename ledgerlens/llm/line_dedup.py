@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ledgerlens.llm.common import Scratch, salted_join, spare_names
+from ledgerlens.llm.common import Scratch, counted_join, spare_names
 
 VARIABLE = re.compile(r"\d")
 MARK = "<*>"
@@ -125,22 +125,27 @@ def recurring_lines(documents: DataFrame, min_docs: int = 3, id_col: str = "doc_
     doc is a hash of identifier and text. A template recurs if at least `min_docs` documents hold it of which no two are
     alike in their other lines, at whatever size of the table: a line that only copies and near copies share is theirs,
     and near-dedup's matter. Of each template's holders the one of the smallest sketch is taken and those alike to it go, and so
-    on `min_docs` times; each round is a smallest value by template and a join with one row for each template on its small side.
+    on `min_docs` times; each round is a smallest value by template and a join in which templates of very many holders stay in place.
     """
+    if min_docs < 2:
+        raise ValueError("a line recurs in two documents at least")
     scratch = Scratch(documents.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("doc"), text.alias("text"))
     keyed = scratch.table(rows.mapInPandas(_keys, "doc bigint, lines array<int>, templates array<bigint>, low array<bigint>, high array<bigint>"))
     left = keyed.select(F.explode(F.arrays_zip("templates", "low", "high")).alias("x")).select(F.col("x.templates").alias("template"), "x.low", "x.high")
+    counts = None
     for _ in range(min_docs - 1):
-        ends = left.groupBy("template").agg(F.min(F.struct("low", "high")).alias("m"), F.max(F.struct("low", "high")).alias("n"))
+        ends = left.groupBy("template").agg(F.min(F.struct("low", "high")).alias("m"), F.max(F.struct("low", "high")).alias("n"), F.count(F.lit(1)).alias("rows"))
         # holders of one sketch, as of most templates, have no unlike one
-        taken = ends.where("m <> n").select("template", F.col("m.low").alias("l"), F.col("m.high").alias("h"))
-        left = salted_join(left, taken, ["template"]).where(~alike(F.col("low"), F.col("high"), F.col("l"), F.col("h"))).select("template", "low", "high")
+        taken = scratch.table(ends.where("m <> n").select("template", F.col("m.low").alias("l"), F.col("m.high").alias("h"), "rows"))
+        left = counted_join(left, taken, ["template"], "rows").where(~alike(F.col("low"), F.col("high"), F.col("l"), F.col("h"))).select("template", "low", "high")
         left = scratch.table(left)
-    recurring = scratch.table(left.select("template").distinct())
+        counts = taken.select("template", "rows") if counts is None else counts
+    # counts are of all rows, so those of the templates that recur too
+    recurring = scratch.table(left.select("template").distinct().join(counts, "template"))
     at = keyed.select("doc", F.explode(F.arrays_zip("lines", "templates")).alias("x")).select("doc", F.col("x.lines").alias("line"), F.col("x.templates").alias("template"))
-    return salted_join(at, recurring, ["template"]).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    return counted_join(at, recurring, ["template"], "rows").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def drop_recurring_lines(documents: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", report_col: str = "dropped") -> DataFrame:
