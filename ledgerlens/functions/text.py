@@ -20,7 +20,7 @@ def normalize_width(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column, keep_newlines: bool = False) -> Column:
-    """Runs of blanks to one space, trimmed; line breaks too unless kept (then each line trimmed and at most one empty line)."""
+    """Runs of blanks to one space, trimmed; line breaks too unless kept (then each line trimmed and at most one empty line). Null stays null."""
     text = normalize_width(text)
     if not keep_newlines:
         return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -71,10 +71,23 @@ def tokenize(text: Column) -> Column:
 NIL = ("-", "–", "—", "/", "N/A", "n/a", "不适用", "无")
 
 
+#: Fixed value: what a cell with a figure alone consists of.
+NUMERIC_CELL = r"^[\s\-+()]*[0-9,.\u2014\u2013%-]+[\s%()]*$"
+FOOTNOTES = ("注：", "注:", "Note:", "Notes:", "(*", "（*")
+
+
 def looks_numeric(text: Column) -> Column:
-    """A lone figure, with sign, brackets, currency mark or percent, or a mark for none."""
-    t = F.trim(normalize_width(text))
-    return t.isin(*NIL) | t.rlike(r"^[(]?[-+−]?[$€£¥]? ?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)?(?:\.[0-9]+)?[)]?%?$") & t.rlike("[0-9]")
+    """A lone figure, with sign, brackets or percent, or a mark for none."""
+    t = F.trim(normalize_width(F.coalesce(text, F.lit(""))))
+    return t.isin(*NIL) | t.rlike(NUMERIC_CELL) & t.rlike("[0-9]")
+
+
+def is_footnote(text: Column) -> Column:
+    t = F.ltrim(F.coalesce(text, F.lit("")))
+    out = F.lit(False)
+    for mark in FOOTNOTES:
+        out |= t.startswith(mark)
+    return out
 
 
 def format_number(value: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import normalize_width
+
 MONEY, COUNT, RATIO, UNKNOWN = "money", "count", "ratio", "unknown"
 
 #: Unit -> (dimension, multiplier to yuan, pieces or fractions).
@@ -35,47 +39,66 @@ def _first(chain: list[tuple[Column, Column]]) -> Column:
     return out
 
 
-def _longest() -> list[str]:
-    return sorted(UNITS, key=lambda u: (-len(u), u))
+LONGEST = sorted(UNITS, key=lambda u: (-len(u), u))
+
+
+def _units() -> Column:
+    """Map from each unit to its entry, a constant."""
+    return F.create_map(*[x for u in UNITS for x in (F.lit(u), _entry(u, *UNITS[u]))])
 
 
 def parse_unit(text: Column) -> Column:
     """The longest unit that occurs anywhere in the text (one letter only as a word), else a currency mark, else null."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = lambda u: low.rlike(rf"(?<![a-z]){u}(?![a-z])") if len(u) == 1 and u.isascii() and u.isalpha() else F.contains(low, F.lit(u))
-    chain = [(found(u), _entry(u, *UNITS[u])) for u in _longest()]
-    return _first(chain + [(F.contains(low, F.lit(c)), _entry(c, MONEY, 1.0)) for c in CURRENCIES])
+    low = F.lower(normalize_width(F.coalesce(text, F.lit(""))))
+    held = lambda u: F.when(u == "k", low.rlike("(?<![a-z])k(?![a-z])")).otherwise(F.contains(low, u))
+    unit = F.get(F.filter(F.array(*[F.lit(u) for u in LONGEST]), held), F.lit(0))
+    mark = F.get(F.filter(F.array(*[F.lit(c) for c in CURRENCIES]), lambda c: F.contains(low, c)), F.lit(0))
+    money = F.struct(mark.alias("unit"), F.lit(MONEY).alias("dimension"), F.lit(1.0).alias("multiplier"))
+    return F.coalesce(F.try_element_at(_units(), unit), F.when(mark.isNotNull(), money))
 
 
 def unit_from_note(note: Column) -> Column:
-    """The unit that a table's note states for its figures."""
-    note = F.coalesce(note, F.lit(""))
-    return _first([(F.contains(note, F.lit("000")), _entry("'000", MONEY, 1e3)), (F.lower(note).rlike(r"\bmillions?\b"), _entry("million", MONEY, 1e6)), (F.lit(True), parse_unit(note))])
+    """The unit that a table's note states for its figures; null without one."""
+    note = normalize_width(F.coalesce(note, F.lit("")))
+    thousand, million = note.rlike(r"'\s*000") | note.rlike(r"\b000\b"), note.rlike(r"(?i)\bmillion\b")
+    return _first([(thousand, _entry("thousand", MONEY, 1e3)), (million, _entry("million", MONEY, 1e6)), (F.lit(True), parse_unit(note))])
+
+
+#: What tells, in the other language, that a note of this multiplier is kept.
+EQUIVALENTS = {1e3: ("千元", "千", "thousand", "'000", "000"), 1e4: ("万元", "万"), 1e6: ("百万元", "million", "mn"), 1e8: ("亿元", "亿"), 1.0: ("元", "yuan", "rmb")}
+
+
+def mentions_note(target: Column, note: Column) -> Column:
+    """Whether a text holds a unit note, or an equivalent of its multiplier; a note without a unit counts as held."""
+    unit = unit_from_note(note)
+    out = F.lit(False)
+    for multiplier, marks in EQUIVALENTS.items():
+        found = F.lit(False)
+        for mark in marks:
+            found |= F.contains(target, F.lit(mark))
+        out |= (unit["multiplier"] == multiplier) & found
+    return unit.isNull() | F.contains(target, F.trim(note)) | out
+
+
+#: The units as alternatives, the longest first; `k` only before what is no letter or digit.
+LEADING = r"^\s*(" + "|".join("k(?![A-Za-z0-9])" if u == "k" else re.escape(u) for u in LONGEST) + ")"
 
 
 def leading_unit(after: Column) -> Column:
     """The longest unit that the text after a figure begins with; case counts."""
-    t = F.ltrim(after)
-    begins = lambda u: t.rlike(f"^{u}(?![A-Za-z0-9])") if u == "k" else F.startswith(t, F.lit(u))
-    return _first([(begins(u), _entry(u, *UNITS[u])) for u in _longest()])
+    return F.try_element_at(_units(), F.nullif(F.regexp_extract(after, LEADING, 1), F.lit("")))
 
 
 def resolve_unit(raw: Column, before: Column, after: Column, hint: Column) -> Column:
     """Unit of a figure: percent, basis points, a unit right after, a currency mark before (with the hint's scale), the hint, a small decimal as a ratio, or unknown."""
-    lead, scale = leading_unit(after), F.when(hint["dimension"] == MONEY, hint["multiplier"]).otherwise(F.lit(1.0))
+    scale = F.when(hint["dimension"] == MONEY, hint["multiplier"]).otherwise(F.lit(1.0))
     small = F.contains(raw, F.lit(".")) & (F.abs(F.try_to_number(F.regexp_replace(raw, r"[^0-9.]", ""), F.lit("999999999999.999999"))) < 1000)
     money = F.struct(F.lit("currency").alias("unit"), F.lit(MONEY).alias("dimension"), scale.alias("multiplier"))
-    marks = "|".join(c.replace("$", r"\$") for c in CURRENCIES)
-    return _first(
-        [
-            (F.ltrim(after).startswith("%") | F.contains(before, F.lit("百分之")), _entry("%", RATIO, 0.01)),
-            (lead.isNotNull(), lead),
-            (F.lower(before).rlike(marks), money),
-            (hint.isNotNull(), hint),
-            (small, _entry("", RATIO, 1.0)),
-            (F.lit(True), _entry("", UNKNOWN, 1.0)),
-        ]
-    )
+    marks = "(?i)" + "|".join(re.escape(c) for c in CURRENCIES)
+    none = F.struct(F.lit("").alias("unit"), F.when(small, RATIO).otherwise(UNKNOWN).alias("dimension"), F.lit(1.0).alias("multiplier"))
+    percent = F.when(after.rlike(r"(?i)^\s*(?:%|％|percent|per cent)") | before.rlike(r"百分之\s*$"), _entry("%", RATIO, 0.01))
+    points = F.when(after.rlike(r"(?i)^\s*(?:bps?|个?基点)(?![A-Za-z0-9])"), _entry("bp", RATIO, 1e-4))
+    return F.coalesce(percent, points, leading_unit(after), F.when(before.rlike(marks), money), hint, none)
 
 
 def chinese_numeral(text: Column) -> Column:

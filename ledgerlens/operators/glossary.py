@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import cjk_ratio, normalize_whitespace
+
 #: Authorities by rank, the strongest first.
-AUTHORITIES = ("manual", "source_gloss", "seed", "model")
+AUTHORITIES = ("source_gloss", "curated", "seed", "model")
 TITLE = r"(?:[A-Z][a-z]+(?: (?:of|and|the|for))? ){1,4}[A-Z][a-z]+"
 
 
@@ -85,25 +89,219 @@ def hits(texts: DataFrame, terms: DataFrame, text_col: str, cap: int | None = No
 
 def violations(pairs: DataFrame, terms: DataFrame, source: str, target: str) -> DataFrame:
     """Terms (key, target_term) whose source occurs but whose target is not in the target text: pairs' columns and key."""
-    found = hits(pairs, terms.select("key", "target_term"), source)
-    return found.where(~F.contains(F.lower(target), F.lower("target_term")))
+    row = "__row"
+    rows = pairs.withColumn(row, F.xxhash64(source, target))
+    found = hits(rows.select(row, source).distinct(), terms.select("key", "target_term"), source)
+    rest = [c for c in pairs.columns if c != source]
+    return rows.select(row, *rest).join(found, row).where(~F.contains(F.lower(target), F.lower("target_term"))).drop(row)
 
 
-#: Forms in which a text gives both names of a thing; the groups are the first and the second name.
+#: Forms in which a text gives both names of a thing, the groups being the first and the second name; and what in brackets is no name.
 BILINGUAL = (
-    r"([一-鿿]{2,30})\s*[（(]\s*([A-Za-z][A-Za-z &/.'-]{2,60}?)\s*[）)]",
-    r"([A-Za-z][A-Za-z &/.'-]{2,60}?)\s*[（(]\s*([一-鿿]{2,30})\s*[）)]",
+    r"([A-Za-z][A-Za-z0-9 ,&/'\-]{1,60}?)\s*[（(]\s*([一-鿿][一-鿿0-9A-Za-z、，,\.\-]{0,40}?)\s*[）)]",
+    r"([一-鿿][一-鿿0-9、，,\.\-]{1,30}?)\s*[（(]\s*[\"'“”]([^)\"'“”]{1,30})[\"'“”]\s*[）)]",
+    r"([一-鿿][一-鿿0-9、，,\.\-]{1,30}?)\s*[（(]\s*([A-Z][A-Za-z0-9 ,&/'\-]{1,60}?)\s*[）)]",
+    r"([一-鿿]{2,30}?)\s*[（(]\s*([A-Z]{2,8})\s*[）)]",
 )
+NO_NAME = r"(?i)^(?:注|note|see|第|共|单位|元|%|rmb|in\s|as\s|以下|上述|[0-9])"
 
 
 def bilingual_pairs(texts: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, source, target): Latin name and CJK name that stand together, one beside the other in brackets; of a source the first target counts."""
+    """(key, source, target): Latin name and CJK name that stand together, one of them in brackets; of a source the first target counts, in the order of the forms.
+
+    Names of under two characters, cross-references, units and numbers are none; both names must not be of one script. "and", "or" and "nor" before a name go.
+    """
     parts = []
     for i, pattern in enumerate(BILINGUAL):
         first, second = (F.regexp_extract_all(text_col, F.lit(pattern), F.lit(g)) for g in (1, 2))
         pair = texts.select(key, F.lit(i).alias("form"), F.posexplode(F.arrays_zip(first.alias("a"), second.alias("b"))).alias("at", "x"))
-        latin, cjk = ("x.b", "x.a") if i == 0 else ("x.a", "x.b")
-        parts.append(pair.select(key, "form", "at", F.regexp_replace(F.trim(latin), "^(?i:and|or|nor) +", "").alias("source"), F.trim(cjk).alias("target")))
-    both = parts[0].union(parts[1])
+        left = F.regexp_replace(F.trim(normalize_whitespace(F.col("x.a")), F.lit(" -–—:：")), r"^(?i:and|or|nor)\s+", "")
+        parts.append(pair.select(key, "form", "at", left.alias("a"), F.trim(normalize_whitespace(F.col("x.b")), F.lit(" -–—:：“”\"'")).alias("b")))
+    both = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    both = both.where("length(a) >= 2 and length(b) >= 2").where(~F.col("a").rlike(NO_NAME) & ~F.col("b").rlike(NO_NAME))
+    a_cjk, b_cjk = cjk_ratio(F.col("a")) > 0.5, cjk_ratio(F.col("b")) > 0.5
+    both = both.where(a_cjk != b_cjk).select(key, "form", "at", F.when(a_cjk, F.col("b")).otherwise(F.col("a")).alias("source"), F.when(a_cjk, F.col("a")).otherwise(F.col("b")).alias("target"))
     w = Window.partitionBy(key, F.lower("source")).orderBy("form", "at")
     return both.withColumn("n", F.row_number().over(w)).where("n = 1").select(key, "source", "target")
+
+
+# ---- terms in texts, by substrings
+
+
+def _parts_of(terms: DataFrame, most: int) -> list[list[dict]]:
+    """Rows (source, target, aliases) in lists of at most `most`, so that what a task holds is bounded however large the glossary is."""
+    n = terms.count()
+    k = -(-n // most) if n else 0
+    part = F.pmod(F.xxhash64("source"), F.lit(max(1, k)))
+    return [[r.asDict() for r in terms.where(part == i).collect()] for i in range(k)]
+
+
+def _with_aliases(terms: DataFrame) -> DataFrame:
+    aliases = F.col("aliases") if "aliases" in terms.columns else F.array().cast("array<string>")
+    return terms.select("source", "target", F.coalesce(aliases, F.array().cast("array<string>")).alias("aliases"))
+
+
+def term_rows(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame, most: int = 50_000) -> DataFrame:
+    """(keys, source, target): the terms (source, target, aliases) of which the source or an alias occurs in a text, whatever the case and the script.
+
+    Each text is read once by an automaton of all names (in lists of `most` terms), so the time does not grow with their number.
+    """
+    kinds = ", ".join(f"{k} {dict(texts.dtypes)[k]}" for k in keys)
+    rows = texts.select(*keys, F.coalesce(text_col, F.lit("")).alias("__text"))
+    out = texts.select(*keys, F.lit("").alias("source"), F.lit("").alias("target")).where("false")
+    for part in _parts_of(_with_aliases(terms), most):
+
+        def search(batches, part=part):
+            import ahocorasick
+
+            names: dict[str, list[int]] = {}
+            for i, t in enumerate(part):
+                for name in {t["source"].lower(), *(a.lower() for a in t["aliases"])} - {""}:
+                    names.setdefault(name, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for name, owners in names.items():
+                automaton.add_word(name, owners)
+            if names:
+                automaton.make_automaton()
+            for batch in batches:
+                found = [sorted({i for _, owners in automaton.iter(t.lower()) for i in owners}) if names else [] for t in batch["__text"]]
+                at = [n for n, f in enumerate(found) for _ in f]
+                which = [i for f in found for i in f]
+                columns = {k: batch[k].to_numpy(dtype=object)[at] for k in keys}
+                columns |= {name: np.array([part[i][name] for i in which], dtype=object) for name in ("source", "target")}
+                yield pd.DataFrame(columns, dtype=object)
+
+        out = out.union(rows.mapInPandas(search, f"{kinds}, source string, target string"))
+    return out
+
+
+def text_terms(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame) -> DataFrame:
+    """(keys, found): array of (source, target) in each text, the longest source first; texts without a term are left out."""
+    found = F.array_sort(F.collect_list(F.struct((-F.length("source")).alias("n"), F.struct("source", "target").alias("t"))))
+    return term_rows(texts, keys, text_col, terms).groupBy(*keys).agg(F.transform(found, lambda x: x["t"]).alias("found"))
+
+
+def missing_terms(pairs: DataFrame, keys: list[str], source: str, target: str, terms: DataFrame, around: int = 40) -> DataFrame:
+    """(keys, source, target, context): terms in the source text whose target does not stand in the target text, with what is around the first place."""
+    found = term_rows(pairs, keys, source, terms)
+    joined = found.join(pairs.select(*keys, F.col(source).alias("__s"), F.col(target).alias("__t")), keys)
+    at = F.position(F.lower("source"), F.lower("__s"))
+    start = F.greatest(at - around, F.lit(1))
+    context = F.when(at > 0, normalize_whitespace(F.substr("__s", start, at - start + F.length("source") + around))).otherwise("")
+    return joined.where("source <> '' and target <> ''").where(~F.contains(F.coalesce("__t", F.lit("")), F.col("target"))).select(*keys, "source", "target", context.alias("context"))
+
+
+# ---- the glossary as a table
+
+
+def fold_events(events: list[dict]) -> dict:
+    """What a term's events (target, authority, frequency, aliases), in order, come to: the entry that stands, and conflicts.
+
+    Agreement adds frequencies and aliases and keeps the stronger authority; a stronger authority replaces; otherwise the first stands. Every clash is recorded.
+    """
+    rank = {a: i for i, a in enumerate(AUTHORITIES)}
+    held, clashes = None, []
+    for e in events:
+        e = dict(e) | {"aliases": list(e["aliases"] if e["aliases"] is not None else [])}
+        strength = rank.get(e["authority"], 99)
+        if held is None:
+            held = e
+            continue
+        standing = rank.get(held["authority"], 99)
+        if held["target"] == e["target"]:
+            if strength < standing:
+                held["authority"] = e["authority"]
+            held["frequency"] += e["frequency"]
+            held["aliases"] += [a for a in e["aliases"] if a not in held["aliases"]]
+        elif strength < standing:
+            clashes.append({"existing": held["target"], "incoming": e["target"], "reason": f"replaced {held['authority']} with higher-authority {e['authority']}"})
+            held = e
+        else:
+            why = "superseded by higher authority" if strength > standing else "equal-authority disagreement; kept first entry"
+            clashes.append({"existing": held["target"], "incoming": e["target"], "reason": why})
+    return {k: held[k] for k in ("source", "target", "authority", "frequency", "aliases")} | {"conflicts": clashes}
+
+
+def fold(events: DataFrame, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, conflicts) of events (seq, source, target, authority, frequency, aliases), keyed by the lower-cased source, folded in order of seq within scope.
+
+    Exact repeats in a row of one key first become one event with their frequencies' sum, so that a term of very many events is no large group.
+    """
+    key = [*(scope or []), "key"]
+    e = events.withColumn("key", F.lower("source"))
+    if "aliases" not in e.columns:
+        e = e.withColumn("aliases", F.array().cast("array<string>"))
+    w = Window.partitionBy(*key).orderBy("seq")
+    same = F.struct("target", "authority", F.array_sort(F.coalesce("aliases", F.array().cast("array<string>"))))
+    e = e.withColumn("__same", same).withColumn("__new", (~F.lag("__same").over(w).eqNullSafe(F.col("__same"))).cast("int")).withColumn("__run", F.sum("__new").over(w))
+    runs = e.groupBy(*key, "__run").agg(F.min("seq").alias("seq"), F.min_by("source", "seq").alias("source"), F.first("target").alias("target"), F.first("authority").alias("authority"), F.sum("frequency").cast("bigint").alias("frequency"), F.first("aliases").alias("aliases"))
+    gathered = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "source", "target", "authority", "frequency", "aliases"))).alias("e"))
+
+    @F.pandas_udf("source string, target string, authority string, frequency bigint, aliases array<string>, conflicts array<struct<existing: string, incoming: string, reason: string>>")
+    def folded(keys: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fold_events(list(k)) for k in keys], columns=["source", "target", "authority", "frequency", "aliases", "conflicts"])
+
+    out = gathered.select(*key, folded("e").alias("f")).select(*key, "f.*")
+    return out.drop("conflicts"), out.select(*key, "source", F.inline("conflicts"))
+
+
+def build(texts: DataFrame, doc: str, text_col: str, seeds: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(entries, conflicts) for each document of its texts (doc, seq, text): the seed lexicon (source, target), pairs that the texts give themselves, and a count for each text that holds a seed.
+
+    A seed counts only while no stronger authority has taken its place, so counts of seeds whose pair the document gives are left out from then on.
+    """
+    docs = texts.select(doc).distinct()
+    base = docs.join(F.broadcast(seeds.select("source", "target").limit(10_000)), how="cross")  # a seed lexicon is a parameter of at most 10,000 terms
+    t = texts.withColumn("__id", F.struct(doc, "seq"))
+    given = bilingual_pairs(t.select("__id", text_col), "__id", text_col).select(F.col(f"__id.{doc}").alias(doc), F.col("__id.seq").cast("double").alias("seq"), "source", "target", F.lit("source_gloss").alias("authority"))
+    counted = term_rows(t, [doc, "seq"], text_col, seeds).select(doc, (F.col("seq") + 0.5).alias("seq"), "source", "target", F.lit("seed").alias("authority"))
+    taken = given.groupBy(doc, F.lower("source").alias("k")).agg(F.min("seq").alias("from"))
+    counted = counted.withColumn("k", F.lower("source")).join(taken, [doc, "k"], "left").where("from is null or seq < from").drop("k", "from")
+    events = base.select(doc, F.lit(-1.0).alias("seq"), "source", "target", F.lit("seed").alias("authority")).union(given).union(counted)
+    entries, clashes = fold(events.withColumn("frequency", F.lit(1)), [doc])
+    return prune(entries, least), clashes
+
+
+def prune(entries: DataFrame, least: int = 1, drop_seed: bool = False) -> DataFrame:
+    """Entries of at least this frequency, and without those of the seed lexicon if asked for."""
+    return entries.where((F.col("frequency") >= least) & (F.lit(not drop_seed) | (F.col("authority") != "seed")))
+
+
+def lookup(df: DataFrame, term: str, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """df with `translation`: the target of the entry for column `term`, whatever its case; the term itself without one."""
+    e = entries.select(*(scope or []), F.lower("source").alias("__k"), F.col("target").alias("__t"))
+    out = df.withColumn("__k", F.lower(term)).join(e, [*(scope or []), "__k"], "left")
+    return out.withColumn("translation", F.coalesce("__t", term)).drop("__k", "__t")
+
+
+def coverage(texts: DataFrame, keys: list[str], text_col: str, entries: DataFrame) -> DataFrame:
+    """(keys, coverage): share of a text's candidates that have an entry; 1 without candidates."""
+    c = texts.select(*keys, F.explode_outer(candidates(F.col(text_col))).alias("term"))
+    known = c.join(entries.select(F.lower("source").alias("k"), F.lit(1).alias("hit")).distinct(), F.lower("term") == F.col("k"), "left")
+    return known.groupBy(*keys).agg(F.coalesce(F.count("hit") / F.nullif(F.count("term"), F.lit(0)), F.lit(1.0)).alias("coverage"))
+
+
+def by_authority(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("authority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def save(entries: DataFrame, clashes: DataFrame, path: str) -> None:
+    """Entries (sorted by source) and conflicts as JSON Lines, in two folders under path."""
+    entries.orderBy("source").write.mode("overwrite").json(f"{path}/entries")
+    clashes.write.mode("overwrite").json(f"{path}/conflicts")
+
+
+ENTRY = "struct<source: string, term: string, target: string, translation: string, authority: string, frequency: bigint, aliases: array<string>>"
+
+
+def load(spark, path: str) -> DataFrame:
+    """Events (seq, source, target, authority, frequency, aliases) of a glossary: a folder that `save` wrote, or JSON files that are a list of entries or an object with `entries`."""
+    raw = spark.read.text(path, wholetext=False) if path.rstrip("/").endswith("entries") else spark.read.text(path, wholetext=True)
+    at = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    entries = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{ENTRY}>")).when(F.get_json_object("value", "$.entries").isNotNull(), F.from_json("value", f"struct<entries: array<{ENTRY}>>")["entries"]).otherwise(F.array(F.from_json("value", ENTRY)))
+    e = raw.select(at.alias("at"), F.posexplode(entries).alias("i", "e"))
+    w = Window.orderBy("at", "i")  # a glossary is small: its entries are read in the order of the file
+    return e.select(
+        F.row_number().over(w).alias("seq"), F.trim(F.coalesce("e.source", "e.term", F.lit(""))).alias("source"), F.trim(F.coalesce("e.target", "e.translation", F.lit(""))).alias("target"), F.coalesce("e.authority", F.lit("curated")).alias("authority"),
+        F.coalesce("e.frequency", F.lit(1)).alias("frequency"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"),
+    )

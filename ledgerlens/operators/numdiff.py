@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import defaultdict
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.figures import figures
+from ledgerlens.functions.units import UNKNOWN, mentions_note, unit_from_note
+
+#: Digits of a slip at most, and relative change up to which two figures are one that was changed.
+SLIP, NEAR = 2, 0.02
+FINDING = "array<struct<kind: string, source_at: int, target_at: int, edits: int, change: double>>"
+KINDS = ("matched", "mismatched", "missing", "added")
+
 
 def match_exact(source: DataFrame, target: DataFrame, owner: list[str]) -> DataFrame:
     """Multiset join of figures on (owner, dimension, base_value): owner, bucket (matched, missing, added), source and target raw text and ordinal.
@@ -51,6 +62,153 @@ def drift(counts: DataFrame) -> DataFrame:
     return counts.withColumn("drift", F.when(total == 0, 0.0).otherwise(F.least(F.lit(1.0), (F.col("missing") + F.col("mismatched")) / total)))
 
 
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def pair_figures(source: list[dict], target: list[dict], near: float = NEAR) -> list[dict]:
+    """Findings of the figures (dimension, base_value, digits) of an owner.
+
+    Equal values meet in order, whatever the dimension if one is unknown; what is left meets what has the same dimension and as many
+    digits, the closest first; the rest is missing or added. Targets are looked up by value, and only leftovers are compared with each other.
+    """
+    waiting: dict[float, list[int]] = defaultdict(list)
+    for j in range(len(target) - 1, -1, -1):
+        waiting[target[j]["base_value"]].append(j)
+    out, left, free = [], [], set(range(len(target)))
+    for i, s in enumerate(source):
+        same = waiting[s["base_value"]]
+        k = next((k for k in range(len(same) - 1, -1, -1) if s["dimension"] == target[same[k]]["dimension"] or UNKNOWN in (s["dimension"], target[same[k]]["dimension"])), None)
+        if k is None:
+            left.append(i)
+        else:
+            j = same.pop(k)
+            free.discard(j)
+            out.append({"kind": "matched", "source_at": i, "target_at": j, "edits": 0, "change": 0.0})
+    alike = defaultdict(list)
+    for j in sorted(free):
+        alike[target[j]["dimension"], len(target[j]["digits"])].append(j)
+    close = []
+    for i in left:
+        s = source[i]
+        for j in alike[s["dimension"], len(s["digits"])]:
+            a, b = s["base_value"], target[j]["base_value"]
+            change = abs(b - a) / abs(a) if a else (float("inf") if b else 0.0)
+            edits = _edits(s["digits"], target[j]["digits"])
+            if edits <= SLIP or change <= near:
+                close.append((edits, change, i, j))
+    met = set()
+    for edits, change, i, j in sorted(close):
+        if i not in met and j in free:
+            met.add(i)
+            free.discard(j)
+            out.append({"kind": "mismatched", "source_at": i, "target_at": j, "edits": edits, "change": change})
+    out += [{"kind": "missing", "source_at": i, "target_at": None, "edits": None, "change": None} for i in left if i not in met]
+    return out + [{"kind": "added", "source_at": None, "target_at": j, "edits": None, "change": None} for j in sorted(free)]
+
+
+def compare(source: DataFrame, target: DataFrame, owner: list[str], near: float = NEAR) -> DataFrame:
+    """Findings (owner, kind, source_raw, target_raw, reason) of all figures of two sides, as pair_figures gives them.
+
+    An owner is one text or one slot, so its figures are few; they are gathered by owner (one exchange a side) and paired in Arrow batches of many owners.
+    """
+    facts = F.struct("ordinal", "raw", "dimension", "base_value", "digits")
+    side = lambda df, name: df.groupBy(*owner).agg(F.array_sort(F.collect_list(facts)).alias(name))
+    kind = "array<struct<ordinal: int, raw: string, dimension: string, base_value: double, digits: string>>"
+
+    @F.pandas_udf(FINDING)
+    def paired(source: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([pair_figures(list(s), list(t), near) for s, t in zip(source, target, strict=True)], dtype=object)
+
+    none = F.array().cast(kind)
+    both = side(source, "s").join(side(target, "t"), owner, "full_outer").select(*owner, F.coalesce("s", none).cast(kind).alias("s"), F.coalesce("t", none).cast(kind).alias("t"))
+    found = both.select(*owner, "s", "t", F.explode(paired("s", "t")).alias("f"))
+    slip = F.format_string("digit slip (edit distance %d)", "f.edits")
+    reason = F.when(F.col("f.kind") != "mismatched", "").when(F.col("f.edits") <= SLIP, slip).otherwise(F.format_string("value changed by %.3f%%", F.col("f.change") * 100))
+    return found.select(*owner, "f.kind", F.get("s", F.col("f.source_at"))["raw"].alias("source_raw"), F.get("t", F.col("f.target_at"))["raw"].alias("target_raw"), reason.alias("reason"))
+
+
+def structural(df: DataFrame, owner: list[str], reason: Column) -> DataFrame:
+    return df.select(*owner, F.lit("structural").alias("kind"), F.lit(None).cast("string").alias("source_raw"), F.lit(None).cast("string").alias("target_raw"), reason.alias("reason"))
+
+
+def check_texts(pairs: DataFrame, keys: list[str], source: str, target: str, note: str | None = None, near: float = NEAR) -> DataFrame:
+    """Findings (keys, kind, source_raw, target_raw, reason) of texts against their counterparts.
+
+    The note of a table about (column `note`) gives both sides' bare figures their unit. A note that the target's first 200 characters
+    do not state, and that has no equivalent in the target, is a structural finding: all bare figures may be rescaled.
+    """
+    rows = pairs.select(*keys, F.coalesce(source, F.lit("")).alias("s"), F.coalesce(target, F.lit("")).alias("t"), (F.coalesce(F.col(note), F.lit("")) if note else F.lit("")).alias("n"))
+    hint = unit_from_note(F.col("n"))
+    found = compare(figures(rows, "s", keys, hint), figures(rows, "t", keys, hint), keys, near)
+    if not note:
+        return found
+    lost = rows.where((F.trim("n") != "") & hint.isNotNull() & unit_from_note(F.substring("t", 1, 200)).isNull() & ~mentions_note(F.col("t"), F.col("n")))
+    return found.union(structural(lost, keys, F.concat(F.lit("unit note not found in the target: "), F.col("n"))))
+
+
+def check_table_pairs(source: DataFrame, target: DataFrame, source_tables: DataFrame, target_tables: DataFrame, table: str = "table_id", near: float = NEAR) -> DataFrame:
+    """Findings (table, row, col, kind, source_raw, target_raw, reason) of tables against their counterparts, slot by slot.
+
+    cells: (table, row, col, text); tables: (table, n_rows, n_cols, units_note). Structural findings (null row and col for those of a whole table):
+    another shape, a slot of one side only, a dropped unit note. Figures are compared in each slot that both have; the target's take its own note, else the source's.
+    """
+    slot = [table, "row", "col"]
+    shape = lambda df, p: df.select(table, F.col("n_rows").alias(f"{p}r"), F.col("n_cols").alias(f"{p}c"), F.trim(F.coalesce("units_note", F.lit(""))).alias(f"{p}n"))
+    shapes = shape(source_tables, "s").join(shape(target_tables, "t"), table)
+    s = source.select(*slot, F.col("text").alias("s")).withColumn("in_s", F.lit(True))
+    t = target.select(*slot, F.col("text").alias("t")).withColumn("in_t", F.lit(True))
+    both = s.join(t, slot, "full_outer").join(shapes.select(table, "sn", "tn"), table)
+    met = both.where("in_s and in_t")
+    owner = F.nullif("tn", F.lit(""))
+    found = compare(figures(met, "s", slot, unit_from_note(F.col("sn"))), figures(met, "t", slot, unit_from_note(F.coalesce(owner, "sn"))), slot, near)
+    lone = both.where("in_s is null or in_t is null")
+    whole = shapes.withColumn("row", F.lit(None).cast("int")).withColumn("col", F.lit(None).cast("int"))
+    changed = whole.where("sr <> tr or sc <> tc")
+    dropped = whole.where("sn <> '' and tn = ''")
+    parts = [
+        structural(lone, slot, F.when(F.col("in_t").isNull(), "cell exists in the source but not the target").otherwise("cell exists in the target but not the source")),
+        structural(changed, slot, F.format_string("shape changed %dx%d -> %dx%d", "sr", "sc", "tr", "tc")),
+        structural(dropped, slot, F.concat(F.lit("table unit note dropped in the target: "), F.col("sn"))),
+    ]
+    for part in parts:
+        found = found.union(part)
+    return found
+
+
+def report(findings: DataFrame, owner: list[str], every: DataFrame | None = None) -> DataFrame:
+    """One row for each owner (for each of `every`, too): matched, mismatched, missing, added, structural, source_total, target_total, drift, ok, note.
+
+    Reports of parts add up to the report of the whole, drift being taken of the sums. Added figures alone never fail a report; a note names them.
+    """
+    count = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    out = findings.groupBy(*owner).agg(*[count(k) for k in (*KINDS, "structural")])
+    if every is not None:
+        out = every.select(*owner).distinct().join(out, owner, "left").na.fill(0, [*KINDS, "structural"])
+    out = drift(out).withColumn("source_total", F.col("matched") + F.col("mismatched") + F.col("missing")).withColumn("target_total", F.col("matched") + F.col("mismatched") + F.col("added"))
+    out = out.withColumn("ok", F.expr("missing + mismatched + structural = 0"))
+    extra = F.expr("missing + mismatched = 0 and added > 0")
+    return out.withColumn("note", F.when(extra, "counts differ only by extra figures in the target; check for duplicated values").otherwise(""))
+
+
+def merge_reports(reports: DataFrame, owner: list[str]) -> DataFrame:
+    """Reports of parts added up by owner."""
+    sums = [F.sum(k).alias(k) for k in (*KINDS, "structural", "source_total", "target_total")]
+    return drift(reports.groupBy(*owner).agg(*sums)).withColumn("ok", F.expr("missing + mismatched + structural = 0"))
+
+
+def chart_figures(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Points of charts (keys, series, category, value) as figures of unknown unit, so that charts join the same comparison."""
+    w = Window.partitionBy(*keys).orderBy("series", "category", "value")
+    raw = F.regexp_replace(F.format_string("%.6f", "value"), r"\.?0+$", "")
+    return points.select(*keys, (F.row_number().over(w) - 1).alias("ordinal"), raw.alias("raw"), F.lit(UNKNOWN).alias("dimension"), F.col("value").alias("base_value"), F.regexp_replace(raw, "[^0-9]", "").alias("digits"), F.col("category").alias("context"))
+
+
 def check_tables(source: DataFrame, target: DataFrame, table: str = "table_id") -> DataFrame:
     """Slot by slot: table, row, col, source_text, target_text, finding (same, changed, missing, extra)."""
     s = source.select(table, "row", "col", F.col("text").alias("source_text"), F.lit(True).alias("__s"))

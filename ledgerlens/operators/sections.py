@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import normalize_width
+from ledgerlens.functions.text import normalize_whitespace
 
 #: Fixed values, most reliable first: rule, pattern, level (none: by the depth of the number).
 HEADINGS = (
@@ -26,17 +26,21 @@ HEADINGS = (
 
 
 def heading(text: Column, font: Column | None = None, body_font: Column | None = None) -> Column:
-    """Struct (level, rule, confidence) or null: the first rule that fits one line of up to 140 characters; else a font of 1.25 times the body's."""
-    t = F.trim(normalize_width(text))
+    """Struct (level, rule, confidence) or null: the first rule that fits a text of up to 140 characters; else a font of 1.25 times the body's."""
+    t = normalize_whitespace(text)
     none = F.lit(None).cast("struct<level: int, rule: string, confidence: double>")
     entry = lambda level, rule, c: F.struct(level.cast("int").alias("level"), F.lit(rule).alias("rule"), F.lit(c).alias("confidence"))
     out = none
     if font is not None:
-        out = F.when((font >= 1.25 * body_font) & (F.length(t) <= 60), entry(F.lit(2), "font", 0.6)).otherwise(none)
+        out = F.when((font >= 1.25 * body_font) & (F.length(t) <= 60), entry(F.lit(2), "font-size", 0.6)).otherwise(none)
     for rule, pattern, level in reversed(HEADINGS):
         depth = F.lit(level) if level else F.least(F.lit(6), F.length(F.regexp_replace(F.regexp_extract(t, r"^[\d.]*\d", 0), r"[^.]", "")) + 1)
-        out = F.when(t.rlike(pattern) & (F.length(t) <= 80), entry(depth, rule, 0.75 if rule in ("allcaps", "numbered") else 0.9)).otherwise(out)
-    refused = (t == "") | F.contains(t, F.lit("\n")) | (F.length(t) > 140) | ((F.length(t) > 24) & t.rlike("[.;。；!！?？]$"))
+        fits = t.rlike(pattern) & (F.length(t) <= 80)
+        if rule == "numbered":  # with a comma at its begin and no dot it is an item of a list
+            start = F.substring(t, 1, 12)
+            fits &= ~(F.contains(start, F.lit(",")) & ~F.contains(start, F.lit(".")))
+        out = F.when(fits, entry(depth, rule, 0.75 if rule in ("allcaps", "numbered") else 1.0)).otherwise(out)
+    refused = (t == "") | (F.length(t) > 140) | ((F.length(t) > 24) & t.rlike("[.;:。；：]$"))
     return F.when(refused, none).otherwise(out)
 
 

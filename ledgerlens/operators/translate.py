@@ -6,8 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.figures import MONTH
 from ledgerlens.functions.text import looks_numeric
 
+#: What marks a text as one with a date.
+DATED = "[年月日号]|" + MONTH
+
 
 def payload(cells: DataFrame, table: str = "table_id") -> DataFrame:
     """(table, payload, n_labels, n_numeric): JSON of the label cells alone; figures are copied by code and never sent."""
@@ -29,10 +33,13 @@ def apply_translations(cells: DataFrame, translations: DataFrame, keys: list[str
 
 
 def corrupt(texts: DataFrame, key: str, text: str, faults: int) -> DataFrame:
-    """Adds target_text, in which one digit of the first figure is changed, for the `faults` eligible rows of the smallest hash; and fault."""
-    eligible = F.col(text).rlike("[1-9]")
-    order = Window.orderBy(F.xxhash64(key), key)
-    chosen = texts.where(eligible).select(key).orderBy(F.xxhash64(key), key).limit(faults).withColumn("fault", F.row_number().over(order))
+    """Adds target_text, in which one digit of a figure is changed, for the `faults` eligible rows of the smallest hash (MD5 of the key); and fault.
+
+    Eligible are texts with a digit above 0 in a figure that is no part of a date.
+    """
+    eligible = F.col(text).rlike("[1-9]") & ~F.col(text).rlike(DATED)
+    order = Window.orderBy(F.md5(F.col(key).cast("string")), key)
+    chosen = texts.where(eligible).select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(faults).withColumn("fault", F.row_number().over(order))
     first = F.regexp_extract(text, "[1-9]", 0)
     changed = F.regexp_replace(F.col(text), F.lit("^([^1-9]*)[1-9]"), F.concat(F.lit("$1"), F.translate(first, "123456789", "234567891")))
     out = texts.join(chosen, key, "left")

@@ -77,8 +77,8 @@ _CHECK = _TARGET + """, chk AS (SELECT coalesce(s.table_id, t.table_id) AS table
   CASE WHEN t.table_id IS NULL THEN 'missing' WHEN s.table_id IS NULL THEN 'extra' WHEN s.text = t.text THEN 'same' ELSE 'changed' END AS finding FROM cells s FULL JOIN target t ON s.table_id = t.table_id AND s.row = t.row AND s.col = t.col)"""
 _COUNTS = _CHECK + """, counts AS (SELECT table_id, count(*) FILTER (finding = 'same') AS matched, count(*) FILTER (finding = 'missing') AS missing, count(*) FILTER (finding = 'changed') AS mismatched FROM chk GROUP BY table_id),
   drifts AS (SELECT *, CASE WHEN matched + missing + mismatched = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, (missing + mismatched)::DOUBLE / (matched + missing + mismatched)) END AS drift FROM counts)"""
-_RISK = _COUNTS + """, parts AS (SELECT *, round(least(1, drift) * 1.0, 4) AS f1, round(least(1, mismatched / 2.0::DOUBLE) * 0.55::DOUBLE, 4) AS f2, round(least(1, missing / 3.0::DOUBLE) * 0.30::DOUBLE, 4) AS f3 FROM drifts),
-  risks AS (SELECT table_id, round(least(1.0::DOUBLE, f1 + f2 + f3), 4) AS risk, CASE WHEN table_id % 2 = 0 THEN 0.30::DOUBLE ELSE 0.45::DOUBLE END AS threshold FROM parts),
+_RISK = _COUNTS + """, parts AS (SELECT *, least(1, drift) * 1.0 AS f1, least(1, mismatched / 2.0::DOUBLE) * 0.55::DOUBLE AS f2, least(1, missing / 3.0::DOUBLE) * 0.30::DOUBLE AS f3 FROM drifts),
+  risks AS (SELECT table_id, round(least(1.0::DOUBLE, f1 + f2 + f3), 6) AS risk, CASE WHEN table_id % 2 = 0 THEN 0.30::DOUBLE ELSE 0.45::DOUBLE END AS threshold FROM parts),
   scored AS (SELECT table_id, risk, threshold, CASE WHEN risk >= threshold THEN 'review' WHEN risk >= 0.6::DOUBLE * threshold THEN 'watch' ELSE 'auto' END AS band FROM risks)"""
 
 
@@ -320,7 +320,7 @@ def q_acronyms(spark, sf):
     return d.select("doc_id", F.array_join(glossary.acronyms(F.regexp_replace("text", "[^ -~]", "#")), "|").alias("terms"))
 
 
-_EVENTS = "e AS (SELECT p_partkey AS seq, p_type AS source, lower(p_type) AS key, p_brand AS target, ['manual', 'source_gloss', 'seed', 'model'][(p_partkey % 4 + 1)::INT] AS authority, (p_partkey % 4 + 1)::INT AS rank, 1 + p_partkey % 3 AS frequency FROM part), win AS (SELECT key, arg_min(source, (rank, seq)) AS source, arg_min(target, (rank, seq)) AS target, arg_min(authority, (rank, seq)) AS authority, min(rank) AS rank FROM e GROUP BY key)"
+_EVENTS = "e AS (SELECT p_partkey AS seq, p_type AS source, lower(p_type) AS key, p_brand AS target, ['source_gloss', 'curated', 'seed', 'model'][(p_partkey % 4 + 1)::INT] AS authority, (p_partkey % 4 + 1)::INT AS rank, 1 + p_partkey % 3 AS frequency FROM part), win AS (SELECT key, arg_min(source, (rank, seq)) AS source, arg_min(target, (rank, seq)) AS target, arg_min(authority, (rank, seq)) AS authority, min(rank) AS rank FROM e GROUP BY key)"
 
 
 def term_events(spark, sf):
@@ -431,7 +431,7 @@ def q_top_tables(spark, sf):
 
 
 def queues(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("target_text"), F.round(F.col("o_orderkey") % 97 / F.lit(97.0), 3).alias("risk"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("target_text"), F.round(F.col("o_orderkey") % 97 / F.lit(97.0), 2).alias("risk"))
     o = o.withColumn("item_id", review.item_id(F.col("chunk_id")))
     status = F.when(F.col("chunk_id") % 3 == 0, "approved").otherwise("pending")
     old = o.where("chunk_id % 10 <> 1").withColumn("status", status).withColumn("note", F.lit(""))
@@ -439,9 +439,9 @@ def queues(spark, sf):
     return old, new
 
 
-_QUEUE = """o AS (SELECT o_orderkey AS k, 'rv-' || left(sha1(o_orderkey::VARCHAR), 10) AS item_id, round((o_orderkey % 97) / 97.0::DOUBLE, 3) AS risk, o_orderpriority AS t FROM orders),
+_QUEUE = """o AS (SELECT o_orderkey AS k, 'rv-' || left(sha1(o_orderkey::VARCHAR), 10) AS item_id, round((o_orderkey % 97) / 97.0::DOUBLE, 2) AS risk, o_orderpriority AS t FROM orders),
   queue AS (SELECT item_id, k AS chunk_id, risk, CASE WHEN k % 7 = 0 AND k % 10 <> 2 THEN t || '!' ELSE t END AS target_text, CASE WHEN k % 10 <> 1 AND k % 3 = 0 AND (k % 7 <> 0 OR k % 10 = 2) THEN 'approved' ELSE 'pending' END AS status,
-  CASE WHEN k % 10 <> 1 AND k % 10 <> 2 AND k % 7 = 0 AND k % 3 = 0 THEN 'reopened; was approved' ELSE '' END AS note FROM o)"""
+  CASE WHEN k % 10 <> 1 AND k % 10 <> 2 AND k % 7 = 0 AND k % 3 = 0 THEN printf('reopened on re-run: evidence changed (risk was %.2f, previously approved)', risk) ELSE '' END AS note FROM o)"""
 
 
 @query("WITH " + _QUEUE + " SELECT item_id, chunk_id, risk, target_text, status, note FROM queue")

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: spans beyond it count as this in HTML (colspan to 1,000; rowspan is kept to the same, so that a row of a hostile page takes bounded memory).
+MOST = 1000
+
+
 def _whole(value: str | None) -> int:
     try:
         return max(1, int(value or 1))
@@ -28,6 +32,7 @@ class _FirstTable(HTMLParser):
         self.depth, self.row, self.col, self.done = 0, -1, 0, False
         self.taken: set[tuple[int, int]] = set()
         self.open: dict | None = None
+        self.caption, self.in_caption = "", False
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
@@ -43,14 +48,20 @@ class _FirstTable(HTMLParser):
             self.row = max(self.row, 0)
             while (self.row, self.col) in self.taken:
                 self.col += 1
-            rows, cols = _whole(given.get("rowspan")), min(1000, _whole(given.get("colspan")))
-            self.taken |= {(self.row + r, self.col + c) for r in range(min(rows, 1000)) for c in range(cols)}
-            self.open = {"row": self.row, "col": self.col, "row_span": rows, "col_span": cols, "is_header": tag == "th", "text": "", "empty": "data-empty" in given}
+            rows, cols = (min(MOST, _whole(given.get(n))) for n in ("rowspan", "colspan"))
+            self.taken |= {(self.row + r, self.col + c) for r in range(rows) for c in range(cols)}
+            row, col = (int(given[n]) if (given.get(n) or "").isdigit() else None for n in ("data-r", "data-c"))
+            placed = row is not None and col is not None  # a stated place wins over the cursor
+            self.open = {"row": row if placed else self.row, "col": col if placed else self.col, "row_span": rows, "col_span": cols, "is_header": tag == "th", "text": "", "empty": "data-empty" in given}
             self.col += cols
+        elif tag == "caption":
+            self.in_caption = True
         elif tag == "br" and self.open:
             self.open["text"] += "\n"
 
     def handle_endtag(self, tag):
+        if tag == "caption":
+            self.in_caption = False
         if tag in ("td", "th", "tr") and self.depth == 1:
             self._close()
         elif tag == "table" and self.depth:
@@ -60,6 +71,8 @@ class _FirstTable(HTMLParser):
                 self.done = True
 
     def handle_data(self, data):
+        if self.in_caption and not self.done and self.open is None:
+            self.caption += data
         if self.open is not None and not self.done:
             self.open["text"] += data
 
@@ -80,6 +93,21 @@ def parse_table(html: str) -> list[dict]:
     return parser.cells
 
 
+def html_captions(df: DataFrame, key: str, html_col: str) -> DataFrame:
+    """(key, caption) of the first table of each row's HTML; empty without one."""
+
+    @F.pandas_udf("string")
+    def caption(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            parser = _FirstTable()
+            parser.feed(page)
+            out.append(" ".join(parser.caption.split()))
+        return pd.Series(out, dtype=object)
+
+    return df.select(key, caption(F.coalesce(F.col(html_col), F.lit(""))).alias("caption"))
+
+
 def html_cells(df: DataFrame, key: str, html_col: str) -> DataFrame:
     """Cells of the first table of each row's HTML: key, row, col, row_span, col_span, is_header, text."""
 

@@ -96,10 +96,14 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", side(17, 7, 19, True).alias("width"), side(21, 9, 23, False).alias("height"))
 
 
-QUEUE = "item_id string, chunk_id string, risk double, target_text string, status string, note string, seq bigint"
+QUEUE = (
+    "item_id string, chunk_id string, risk double, target_text string, status string, note string, reviewer string, created_at string, decided_at string, band string, is_financial boolean, page_start int, page_end int, section_path array<string>, source_text string, "
+    "reasons array<struct<name: string, contribution: double, detail: string, severity: string>>, measures map<string, bigint>, errors array<string>, tables array<struct<caption: string, units_note: string, target_html: string>>, seq bigint"
+)
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
-    """Review items of JSON Lines; of repeated items the last (seq) counts."""
-    rows = spark.read.schema(QUEUE).json(path)
-    return rows.groupBy("item_id").agg(F.max_by(F.struct("*"), "seq").alias("r")).select("r.*")
+    """Review items of JSON Lines, or of one JSON array with an item on each line; of repeated items the last counts, by seq where it is given, then by the time of the files and the order of the lines."""
+    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r"^\[|[,\]]$", "").alias("v"), F.struct(F.col("_metadata.file_modification_time").alias("t"), F.monotonically_increasing_id().alias("i")).alias("at"))
+    rows = lines.where("v <> ''").select(F.from_json("v", QUEUE).alias("r"), "at").where("r.item_id is not null")
+    return rows.groupBy("r.item_id").agg(F.max_by("r", F.struct(F.coalesce("r.seq", F.lit(0)), "at")).alias("r")).select("r.*")

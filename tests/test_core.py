@@ -145,7 +145,7 @@ def test_headings(spark, text, level, rule):
 
 
 def test_terms(spark):
-    events = spark.createDataFrame([(1, "EBITDA", "a", "seed", 1), (2, "ebitda", "b", "manual", 2), (3, "EBITDA", "b", "model", 5), (4, "x", "y", "seed", 1)], "seq int, source string, target string, authority string, frequency int")
+    events = spark.createDataFrame([(1, "EBITDA", "a", "seed", 1), (2, "ebitda", "b", "curated", 2), (3, "EBITDA", "b", "model", 5), (4, "x", "y", "seed", 1)], "seq int, source string, target string, authority string, frequency int")
     won, lost = glossary.merge(events)
     assert {(r["key"], r["target"], r["frequency"]) for r in won.collect()} == {("ebitda", "b", 7), ("x", "y", 1)}
     assert [(r["dropped"], r["reason"]) for r in lost.collect()] == [("a", "lower authority")]
@@ -210,7 +210,7 @@ def test_text(spark):
     assert one(tx.normalize_whitespace(F.lit(" a \r\n\n\n\n b　c "), True)) == "a\n\nb c"
     assert one(tx.slugify(F.lit("--"))) == "unnamed" and one(tx.truncate(F.lit("abcdef"), 5)) == "ab..."
     assert one(tx.tokenize(F.lit("Net 12.5 利润率"))) == ["net", "12.5", "利", "润", "率", "利润", "润率"]
-    for t, want in {"-": True, "1,234": True, "(5.0)": True, "12%": True, "abc": False, "": False, "$ 5": True}.items():
+    for t, want in {"-": True, "1,234": True, "(5.0)": True, "12%": True, "abc": False, "": False, "$ 5": False, "1,234 %": True, "12,34": True, "2023-12": True}.items():
         assert one(tx.looks_numeric(F.lit(t))) == want
 
 
