@@ -133,6 +133,7 @@ def repair_terms(prose: DataFrame, chunks: DataFrame, model, options: Options =
     """(prose with the repaired target_text, terms still missing after, calls).
 
     Terms of a chunk that its source has and its target lacks are asked for in one call; the reply counts only if the figures have not drifted further by it.
+    A target of over 4,000 characters, more than a call takes, stays as it is, and its terms are still missing after.
     """
     terms = chunks.select(*CHUNK, F.explode("terms").alias("t")).select(*CHUNK, "t.source", "t.target")
 
@@ -213,7 +214,7 @@ def translate(chunks: DataFrame, blocks: DataFrame, cells: DataFrame, tables: Da
     results = results.na.fill(0, counts)
     empty = F.when((F.trim(F.coalesce("target_text", F.lit(""))) == "") & (F.col("tables_translated") == 0), F.lit("chunk produced no output"))
     results = results.withColumn("errors", F.array_compact(F.array(empty, F.when(F.col("failed").isNotNull(), F.concat(F.lit("prose call failed: "), "failed"))))).drop("failed")
-    return {"results": results.withColumn("ok", F.col("ok") & (F.size("errors") == 0)), "findings": findings, "target_cells": target_cells, "target_blocks": target_blocks, "calls": calls, "labels": labels}
+    return {"results": keep(results.withColumn("ok", F.col("ok") & (F.size("errors") == 0))), "findings": findings, "target_cells": target_cells, "target_blocks": target_blocks, "calls": calls, "labels": labels}
 
 
 def leak_audit(payloads: DataFrame, cells: DataFrame, table: str = "table_id") -> DataFrame:

@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import escape_html
 from ledgerlens.operators import agents, chunks, documents, review, risk, tables
+from ledgerlens.operators.keep import writer
 
 KEY = ["doc_id", "chunk_id"]
 
 
-def run(parsed: dict[str, DataFrame], model, terms: DataFrame | None = None, options: agents.Options = agents.Options(), weights=None, saturation=None, threshold: float = risk.THRESHOLD, keep=lambda df: df, **packing) -> dict[str, DataFrame]:
-    """Blocks, tables and cells (of sources.documents.parse) to chunks, translation, risk and review items; all of agents.translate's results and chunks, blocks, scored, queue."""
-    sectioned = chunks.in_sections(parsed["blocks"])
+def run(parsed: dict[str, DataFrame], model, terms: DataFrame | None = None, options: agents.Options = agents.Options(), weights=None, saturation=None, threshold: float = risk.THRESHOLD, keep=None, **packing) -> dict[str, DataFrame]:
+    """Blocks, tables and cells (of sources.documents.parse) to chunks, translation, risk and review items; all of agents.translate's results and chunks, blocks, scored, queue.
+
+    What is read more than once is kept by `keep`, in tables of the shared folder if none is given.
+    """
+    keep = keep or writer(parsed["blocks"].sparkSession)
+    parsed = {k: keep(parsed[k]) for k in ("blocks", "tables", "cells")}
+    sectioned = keep(chunks.in_sections(parsed["blocks"]))
     made, blocks = chunks.build(sectioned, terms, **packing)
-    made, blocks = keep(made), keep(blocks)
+    blocks = keep(blocks)
+    made = keep(made)
     out = agents.translate(made, blocks, parsed["cells"], parsed["tables"], model, options, keep)
-    measured = risk.features(out["results"], made, blocks, parsed["tables"], parsed["cells"])
+    measured = keep(risk.features(out["results"], made, blocks, parsed["tables"], parsed["cells"]))
     scored = keep(risk.score_chunks(measured, weights, saturation, threshold))
     return out | {"chunks": made, "blocks": blocks, "scored": scored, "queue": items(scored, out["target_cells"], parsed["tables"], blocks)}
 

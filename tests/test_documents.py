@@ -29,7 +29,7 @@ def parsed(spark):
 def outcome(spark, parsed):
     terms = spark.createDataFrame([("Revenue", "营业收入", []), ("Gross profit", "毛利", [])], TERMS)
     model = models.MockModel({"Revenue": "营业收入", "rose by": "增长", "Statement": "报表", "Item": "项目", "Cost of sales": "销售成本", "Gross profit": "毛利", "Financial Summary": "财务摘要"})
-    return report.run(parsed, model, terms, keep=lambda df: df.cache())
+    return report.run(parsed, model, terms) | {"cells": parsed["cells"], "tables": parsed["tables"]}
 
 
 def test_chinese_figures(spark):
@@ -325,12 +325,13 @@ def test_run(spark, outcome):
     assert md.startswith("# Financial Summary\n<!-- c000-00-financial-summary risk=") and "<table>" in md
     assert "<div class=\"page\"" in report.source_html(outcome["blocks"], outcome["target_cells"]).first()["html"] and "band-" in report.target_html(outcome).first()["html"]
     assert "chunks=1" in report.console(outcome)
-    sent = agents.table_payloads(outcome["target_cells"], outcome["tables_asked"] if "tables_asked" in outcome else outcome["chunks"].limit(0).selectExpr("'x' table_id", "1 n_rows", "1 n_cols", "'' caption", "'' units_note", "terms"))
-    assert sent.count() == 0
+    asked = outcome["tables"].withColumn("terms", F.array().cast(agents.TERM))
+    payloads = agents.table_payloads(outcome["cells"], asked)
+    assert payloads.first()["n_labels"] == 6 and agents.leak_audit(payloads, outcome["cells"]).count() == 0
 
 
 def test_failures_and_repairs(spark, parsed):
-    down = report.run(parsed, models.MockModel({}, fail_on=("SOURCE:",)), keep=lambda df: df.cache())
+    down = report.run(parsed, models.MockModel({}, fail_on=("SOURCE:",)))
     r = down["scored"].first()
     assert r["band"] == "blocked" and r["risk"] == 1.0 and any("prose call failed" in e for e in r["errors"])
     assert down["queue"].count() == 1
