@@ -400,7 +400,8 @@ def q_apply_translation(spark, sf):
     return translate.apply_translations(c, t, ["table_id", "row"]).select("table_id", "row", "target_text")
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS t FROM orders), e AS (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR), o_orderkey)::INT AS fault FROM o WHERE regexp_matches(t, '[1-9]'))
+  SELECT o_orderkey, t, regexp_replace(t, '[1-9]', translate(regexp_extract(t, '[1-9]'), '123456789', '234567891')) AS target_text, fault FROM e WHERE fault <= 25""")
 def q_fault_budget(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", money("o_totalprice").alias("t"))
     return translate.corrupt(o, "o_orderkey", "t", 25).where("fault is not null").select("o_orderkey", "t", "target_text", "fault")
@@ -455,9 +456,9 @@ def q_queue_stats(spark, sf):
     return spark.createDataFrame([(s,) for s in review.STATUSES], "status string").join(q, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"), "most")
 
 
-@query("WITH " + _QUEUE + " SELECT item_id, chunk_id, printf('%.3f', risk) AS risk, status, left(target_text, 500) AS target_text FROM queue")
+@query("WITH " + _QUEUE + " SELECT item_id, chunk_id, status, printf('%.3f', risk) AS risk, '' AS band, '' AS financial, '' AS pages, '' AS section, '' AS reasons, '' AS reviewer, note, '' AS source_text, left(target_text, 500) AS target_text FROM queue")
 def q_review_csv(spark, sf):
-    return review.csv_rows(review.upsert(*queues(spark, sf)))
+    return review.csv_rows(review.upsert(*queues(spark, sf)), include_text=True)
 
 
 @query("SELECT user_id AS chunk_id, max(value) AS risk, arg_min(event_id, (-value, event_id)) AS ord FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id")
@@ -489,6 +490,67 @@ def s_review_stream(spark, sf):
     return out.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "decision")
 
 
+# ---- whole comparisons, tables with holes, terms in any script
+
+
+_DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
+_NEAR = f"(levenshtein({_DIGITS.format('p')}, {_DIGITS.format('q')}) <= 2 OR abs(q::DOUBLE - p::DOUBLE) / abs(p::DOUBLE) <= 0.02)"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS p FROM orders), x AS (SELECT k, p, CASE k % 7 WHEN 0 THEN translate(p, '15', '51') WHEN 1 THEN NULL ELSE p END AS q, (k % 7 = 2)::BIGINT AS more FROM o),
+  c AS (SELECT *, coalesce(q = p, false)::BIGINT AS same, coalesce(q <> p AND {_NEAR}, false)::BIGINT AS near FROM x)
+  SELECT k AS o_orderkey, same AS matched, near AS mismatched, 1 - same - near AS missing, CASE WHEN q IS NULL THEN 0 ELSE 1 - same - near END + more AS added, (1 - same)::DOUBLE AS drift, same = 1 AS ok FROM c""")
+def q_text_check(spark, sf):
+    """Every order's total in a sentence against a copy in which some are changed, lost or joined by another figure."""
+    k, p = F.col("o_orderkey"), money("o_totalprice")
+    said = F.when(k % 7 == 0, F.translate(p, "15", "51")).when(k % 7 == 1, "").otherwise(p)
+    pairs = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("total of "), p).alias("s"), F.concat(F.lit("sum "), said, F.when(k % 7 == 2, " and 5 more").otherwise("")).alias("t"))
+    return numdiff.report(numdiff.check_texts(pairs, ["o_orderkey"], "s", "t"), ["o_orderkey"], pairs).select("o_orderkey", "matched", "mismatched", "missing", "added", "drift", "ok")
+
+
+@query("WITH " + _TARGET + f""", b AS (SELECT s.table_id, s.text AS p, t.text AS q FROM cells s JOIN target t ON s.table_id = t.table_id AND s.row = t.row AND s.col = t.col WHERE s.col > 0),
+  c AS (SELECT table_id, (p = q)::BIGINT AS same, (p <> q AND {_NEAR})::BIGINT AS near FROM b), f AS (SELECT table_id, sum(same) AS matched, sum(near) AS mismatched, sum(1 - same - near) AS missing FROM c GROUP BY table_id),
+  k AS (SELECT table_id, count(*) FILTER (table_id % 13 = 0 AND row = 1) AS structural FROM cells GROUP BY table_id)
+  SELECT k.table_id, coalesce(matched, 0)::BIGINT AS matched, coalesce(mismatched, 0)::BIGINT AS mismatched, coalesce(missing, 0)::BIGINT AS missing, coalesce(missing, 0)::BIGINT AS added, structural::BIGINT AS structural FROM k LEFT JOIN f ON f.table_id = k.table_id""")
+def q_table_pairs(spark, sf):
+    """Every statement table against its flawed copy, figure by figure in each slot, and what slots are gone."""
+    c = cells(spark, sf)
+    shape = c.groupBy("table_id").agg((F.max("row") + 1).alias("n_rows"), F.lit(5).alias("n_cols")).withColumn("units_note", F.lit(""))
+    found = numdiff.check_table_pairs(c, target_cells(spark, sf), shape, shape)
+    return numdiff.report(found, ["table_id"], shape).select("table_id", "matched", "mismatched", "missing", "added", "structural")
+
+
+_GAPS = _CELLS + ", g AS (SELECT * FROM cells WHERE (table_id + row * 5 + col) % 17 <> 0), shape AS (SELECT table_id, max(row) + 1 AS n_rows, max(col) + 1 AS n_cols FROM g GROUP BY table_id)"
+
+
+def cells_with_gaps(spark, sf):
+    return cells(spark, sf).where("(table_id + row * 5 + col) % 17 <> 0")
+
+
+@query("WITH " + _GAPS + """, r AS (SELECT table_id, n_cols, unnest(range(n_rows)) AS row FROM shape), s AS (SELECT table_id, row, unnest(range(n_cols)) AS col FROM r),
+  l AS (SELECT s.table_id, s.row, string_agg(coalesce(g.text, ''), chr(9) ORDER BY s.col) AS line FROM s LEFT JOIN g ON g.table_id = s.table_id AND g.row = s.row AND g.col = s.col GROUP BY ALL) SELECT table_id, string_agg(line, chr(10) ORDER BY row) AS rendered FROM l GROUP BY table_id""")
+def q_tsv_holes(spark, sf):
+    return tables.to_tsv(cells_with_gaps(spark, sf))
+
+
+@query("WITH " + _GAPS + """, n AS (SELECT table_id, count(*) AS n, count(*) FILTER (row = 1 AND col = 1 AND table_id % 5 = 0) AS dup FROM g GROUP BY table_id)
+  SELECT s.table_id, n_rows::INT AS n_rows, n_cols::INT AS n_cols, dup::INT AS n_conflicts, (n_rows * n_cols - n)::INT AS holes FROM shape s JOIN n ON n.table_id = s.table_id""")
+def q_table_build(spark, sf):
+    """Tables built from cells with stated places, some of them claimed twice and some by none."""
+    raw = cells_with_gaps(spark, sf).withColumn("ord", F.expr("cast(row * 10 + col as int)"))
+    raw = raw.union(raw.where("row = 1 and col = 1 and table_id % 5 = 0").withColumn("ord", F.col("ord") + 1000))
+    built, _, _ = tables.build_tables(raw)
+    gaps = F.regexp_extract(F.array_join("warnings", " "), r"grid has (\d+) uncovered", 1)
+    return built.select("table_id", "n_rows", "n_cols", "n_conflicts", F.coalesce(F.nullif(gaps, F.lit("")).cast("int"), F.lit(0)).alias("holes"))
+
+
+@query("WITH t AS (SELECT DISTINCT substr(text, 3, 9) AS name FROM benchmark WHERE length(text) > 12) SELECT doc_id, name AS source FROM documents JOIN t ON contains(lower(documents.text), lower(name))")
+def q_terms_anywhere(spark, sf):
+    """Terms (a piece of each benchmark text, words cut or not) that stand anywhere in a document, whatever the case."""
+    names = table(spark, sf, "benchmark").where("length(text) > 12").select(F.substring("text", 3, 9).alias("source"), F.lit("x").alias("target")).distinct()
+    return glossary.term_rows(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", names).select("doc_id", "source")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every statement table against its flawed copy, slot by slot, ranked by risk."""
     return q_top_tables(spark, sf_dir)

@@ -165,7 +165,7 @@ def demo_regions(spark: SparkSession) -> DataFrame:
     series = [{"name": n, "points": p} for n, p in (("Revenue", {"2022": "1100", "2023": "1234.567"}), ("Profit", {"2022": "354.88"}))]
     rows = [
         ("demo", 1, 0, "title", "Financial Summary", "", "", 18.0, [0.0, 0.0, 400.0, 20.0], None, None),
-        ("demo", 1, 1, "text", "Revenue rose by 12.2% to RMB 1,234,567 thousand in the year.", "", "", 10.0, [0.0, 30.0, 400.0, 60.0], None, None),
+        ("demo", 1, 1, "text", "Revenue rose by 12.2% to RMB 1,234,567 thousand in the year ended 31 December 2023.", "", "", 10.0, [0.0, 30.0, 400.0, 60.0], None, None),
         ("demo", 1, 2, "table", "", "Statement", "RMB'000", 0.0, [0.0, 70.0, 400.0, 300.0], cells, None),
         ("demo", 1, 3, "chart", "", "Revenue and profit", "", 0.0, [0.0, 310.0, 400.0, 500.0], None, {"chart_type": "bar", "description": "Revenue grew to 1,234.567 million.", "series": series}),
     ]
