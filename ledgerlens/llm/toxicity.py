@@ -191,17 +191,21 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000
     telling = tally.withColumn("z", z).where(F.col("z") >= Z_TELLING).where(~F.col("w").isin(sorted(TERMS))).orderBy(F.desc("z"), "w").limit(max_learned).collect()
     learned, lists = {r["w"]: i for i, r in enumerate(telling)}, np.array([crc32(r["w"].encode()) % LISTS for r in telling], dtype=int)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "c": [counts_of(t, TERMS, learned).tolist() for t in batch["text"]]})
-
-    got = rows.mapInPandas(count, "toxic int, c array<double>").collect()  # bounded by max_rows
-    counts, gold = np.array([r["c"] for r in got]), np.array([r["toxic"] for r in got])
-    votes = votes_of(counts, n_terms, lists)
+            for i in range(0, len(batch), 512):
+                part = batch.iloc[i : i + 512]
+                counts = np.stack([counts_of(t, TERMS, learned) for t in part["text"]])
+                votes, x = votes_of(counts, n_terms, lists).astype(np.int8), features_of(counts, n_terms, len(learned)).astype("<f8")
+                yield pd.DataFrame({"toxic": part["toxic"], "votes": [v.tobytes() for v in votes], "x": [v.tobytes() for v in x]})
+
+    # bounded by max_rows: some 300 bytes for each, whatever the number of terms, whose counts stay on the executors
+    got = rows.mapInPandas(describe, "toxic int, votes binary, x binary").collect()
+    gold, votes, x = np.array([r["toxic"] for r in got]), *(np.frombuffer(b"".join(r[c] for r in got), kind).reshape(len(got), -1) for c, kind in (("votes", np.int8), ("x", "<f8")))
     post, _, _ = label_model(votes[:, voting(votes)], prior)
     agreement = float(((post > 0.5) == (gold == 1)).mean())
     LOG.info("posteriors of %d rows agree with their known labels on %.4f", len(gold), agreement)
-    return ToxicityModel(learned, fit_linear(features_of(counts, n_terms, len(learned)), post), agreement)
+    return ToxicityModel(learned, fit_linear(x, post), agreement)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

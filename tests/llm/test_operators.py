@@ -1,6 +1,7 @@
 """The ten operators against brute force, exact round trips or held-out accuracy, and their edge cases."""
 
 import hashlib
+import pickle
 import re
 import time
 import zlib
@@ -334,6 +335,27 @@ def test_toxicity_cases(odd, spark):
     assert {r["doc_id"] for r in got if r["predicted"]} == {10}
 
 
+def test_fitting_brings_votes_and_features_alone_to_the_driver(spark, monkeypatch):
+    n, words = 400, [f"grob{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]  # 300 words that only toxic rows hold
+    docs = spark.createDataFrame([(i, "you idiot " + " ".join(words) if i % 10 == 0 else f"a calm report {i}") for i in range(n)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(n)], "doc_id bigint, quality int, toxic int")
+    frame, sizes = type(docs), []
+    collect = frame.collect
+
+    def counted(self):
+        rows = collect(self)
+        if len(rows) > 200 and "toxic" in rows[0]:
+            sizes.append(sum(len(pickle.dumps(tuple(r))) for r in rows) / len(rows))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", counted)
+    model = toxicity.fit_toxicity(docs, labels)
+    assert len(model.learned) == 300 and model.agreement == 1.0
+    assert len(sizes) == 1 and sizes[0] < 600  # bytes a row; all counts were 9 for each of 420 numbers
+    counts = np.stack([toxicity.counts_of(docs.where(f"doc_id = {i}").first()["text"], toxicity.TERMS, model.learned) for i in (0, 1)])
+    assert (toxicity.features_of(counts, len(toxicity.TERMS), 300) @ model.weights > 0).tolist() == [True, False]
+
+
 def test_label_model_finds_the_better_voters():
     rng = np.random.default_rng(0)
     y = rng.random(6000) < 0.2
