@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +19,6 @@ WINDOW = 2048
 END_ID = 1
 
 
-@functools.cache
 def encoder(name: str = "byte_bpe_50k"):
     """The byte-level vocabulary of the tokenizers library's <name>.json, run from the same vocabulary's ranks.
 
@@ -41,10 +39,10 @@ def encoder(name: str = "byte_bpe_50k"):
 def _pieces(vocabulary: str, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = functools.partial(encoder(vocabulary).encode_to_numpy, allowed_special="all")
-        part, seen = TaskContext.get().partitionId(), [0] * (window + 1)
+        seen = [0] * (window + 1)
         for batch in batches:
             out = []
-            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for key, text, part in zip(batch["doc_id"], batch["text"], batch["part"], strict=True):
                 ids = np.append(encode(text), END_ID).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
@@ -143,6 +141,11 @@ def _place(plan: list[tuple[tuple[int, ...], int]], window: int):
     return place
 
 
+def partitioned_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (string), text, part: the number of the partition read, which is one call's own even where a task goes through several (after coalesce)."""
+    return documents.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
+
+
 def pack(documents: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -155,9 +158,13 @@ def pack(documents: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe
     """
     scratch = Scratch(documents.sparkSession)
     kind = dict(documents.dtypes)[id_col]
-    texts = documents.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = texts.mapInPandas(_pieces(vocabulary, window), "doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, local bigint")
-    pieces = scratch.table(pieces.withColumn("doc_id", F.col("doc_id").cast(kind)))
+    pieces = partitioned_texts(documents, id_col, text_col).mapInPandas(_pieces(vocabulary, window), "doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, local bigint")
+    placed = place_pieces(scratch, scratch.table(pieces.withColumn("doc_id", F.col("doc_id").cast(kind))), window)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def place_pieces(scratch: Scratch, pieces: DataFrame, window: int) -> DataFrame:
+    """pieces (a table that is read twice: length, part, local and more; local numbers a part's pieces of one length from 0) with sequence_id and offset."""
     # one row for each length and task
     totals = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -167,4 +174,4 @@ def pack(documents: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe
         histogram[length] = n
     place = _place(plan_windows(histogram, window), window)
     placed = pieces.join(totals.select("length", "part", "base"), ["length", "part"]).withColumn("at", place("length", F.col("base") + F.col("local")))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
+    return placed.select(*[c for c in pieces.columns if c not in ("part", "local")], F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
