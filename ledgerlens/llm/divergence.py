@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,35 +14,42 @@ from ledgerlens.llm.common import Scratch
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 TO_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Distinct terms that a task counts up before it hands them on.
-HELD = 200_000
+#: Terms of its groups that a task counts up before it hands them on.
+HELD = 300_000
+COUNTED = "lang string, source string, term string, n bigint, docs bigint"
 
 
-def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the occurrences and of the documents of each (lang, source, term), added up over as many texts as hold HELD terms."""
     counts, documents = defaultdict(Counter), defaultdict(Counter)
 
-    def handed_on() -> pd.DataFrame:
-        rows = [(*group, term, n, documents[group][term]) for group, terms in counts.items() for term, n in terms.items()]
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        for (lang, source), found in counts.items():
+            terms = list(found)
+            columns = [[lang] * len(terms), [source] * len(terms), terms, list(found.values()), list(map(documents[lang, source].__getitem__, terms))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2, strict=True)], names=["lang", "source", "term", "n", "docs"])
         counts.clear()
         documents.clear()
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-            found = Counter(TERM.findall(text.lower() if text.isascii() else text.translate(TO_LOWER)))
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            found = TERM.findall(text.lower() if text.isascii() else text.translate(TO_LOWER))
             counts[lang, source].update(found)
-            documents[lang, source].update(found.keys())
+            documents[lang, source].update(set(found))
             if sum(map(len, counts.values())) > HELD:
-                yield handed_on()
-    yield handed_on()
+                yield from handed_on()
+    yield from handed_on()
 
 
-def term_counts(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that have it); nulls are empty strings."""
+def kept_terms(documents: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """lang, term, lang_n, cells (source, n; by source): terms of at least `least` documents of their language; nulls are empty strings.
+
+    One shuffle, by language and term, of what the tasks have counted up: it serves both groupings. A term has a cell for each source of its language at most.
+    """
     read = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    part = read.mapInPandas(_count_terms, "lang string, source string, term string, n bigint, docs bigint")
-    return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = read.mapInArrow(_count_terms, COUNTED).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("cells"))
+    return terms.where(F.col("docs") >= least).drop("docs")
 
 
 def share(n: Column, total: Column, terms: Column, scale: int = 10**9, prior: int = 2) -> Column:
@@ -68,10 +75,7 @@ def source_divergence(documents: DataFrame, least: int = 10, top: int = 10, text
     their own; ties go by the item's UTF-8 bytes; very long texts are read whole; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession)
-    counted = scratch.table(term_counts(documents, text_col, lang_col, source_col))
-    # one row for each kept term, with the count of each source that has it: as many as its language has sources
-    terms = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("cells"))
-    terms = scratch.table(terms.where(F.col("docs") >= least).drop("docs"))
+    terms = scratch.table(kept_terms(documents, least, text_col, lang_col, source_col))
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     own = terms.select("lang", F.explode("cells").alias("cell")).select("lang", "cell.source", "cell.n")
     own = scratch.table(own.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms")))  # a source's histogram of counts
