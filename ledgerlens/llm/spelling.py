@@ -73,9 +73,9 @@ def _long_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["kind", "key"]).assign(id=number, n=n)[["id", "n", "kind", "key"]]
 
 
-@F.pandas_udf("string")
-def _long_key(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: f"{len(w)}:{long_digests(w)[0]}")
+def _own_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"key": [f"{len(w)}:{long_digests(w)[0]}" for w in batch["word"]], "short": batch["id"], "short_n": batch["n"]})
 
 
 def wildcard_keys(vocabulary: DataFrame) -> DataFrame:
@@ -106,7 +106,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     replaced = groups.select((F.size("members") - 1).cast("bigint").alias("near"), F.slice("members", 1, 2).alias("top"), F.explode("members.id").alias("id"))
     replaced = replaced.select("id", "near", F.when(F.col("top")[0]["id"] == F.col("id"), F.col("top")[1]).otherwise(F.col("top")[0]).alias("best"))
     size = F.char_length("word")
-    whole = vocabulary.select(F.when(size < LONG, F.col("word")).otherwise(_long_key("word")).alias("key"), F.col("id").alias("short"), F.col("n").alias("short_n"))
+    whole = vocabulary.where(size < LONG).select(F.col("word").alias("key"), F.col("id").alias("short"), F.col("n").alias("short_n"))
+    whole = whole.unionByName(vocabulary.where(size >= LONG).mapInPandas(_own_keys, "key string, short bigint, short_n bigint"))
     links = keys.where("kind = 'cut'").select("key", "id", "n").join(whole, "key")
     ends = links.select(F.inline(F.array(F.struct("id", _rank("short_n", "short").alias("best")), F.struct(F.col("short").alias("id"), _rank("n", "id").alias("best")))))
     both = replaced.unionByName(ends.select("id", F.lit(1).cast("bigint").alias("near"), "best"))
