@@ -28,6 +28,26 @@ PATH_DIMS, WORD_DIMS, EXTRA = 96, 32, 8
 HIDDEN = 20
 
 
+class Dims(dict):
+    """Dimension of each word, its lower-cased checksum modulo `dims`; remembered for up to `most` words, and sent to executors without them."""
+
+    def __init__(self, dims: int, most: int = 200_000):
+        super().__init__()
+        self.dims, self.most = dims, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = crc32(word.lower().encode("utf-8", "surrogatepass")) % self.dims
+        return found
+
+    def __reduce__(self):
+        return Dims, (self.dims, self.most)
+
+
+_mark_dim, _word_dim = Dims(PATH_DIMS, 20_000), Dims(WORD_DIMS)
+
+
 class Block:
     __slots__ = ("path", "leaf", "text", "linked")
 
@@ -55,7 +75,7 @@ class OpenTags:
         before = self.held.get(mark, 0)
         self.held[mark] = before + by
         if not before or not before + by:
-            d = _mark_dim(mark)
+            d = _mark_dim[mark]
             self.counts[d] += by
             self.path[d] = min(2, self.counts[d])
 
@@ -73,11 +93,6 @@ class OpenTags:
         return name
 
 
-@functools.lru_cache(maxsize=20_000)
-def _mark_dim(mark: str) -> int:
-    return crc32(mark.encode("utf-8", "surrogatepass")) % PATH_DIMS
-
-
 def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """(start, end, name, closing, attributes) of all that is markup, in order, in time that grows as the page's length; the name is empty for what only is to be passed over.
 
@@ -111,7 +126,9 @@ def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         closing = page[at + 1] == "/"
         if not closing and name in SCRIPTS:
             end, name = _after(page, name, end) or len(page), ""
-        elif not closing and (name in ASIDE and not attributes.endswith("/") or name == "head") and name not in absent:
+        elif not closing and name in ASIDE and attributes.endswith("/"):
+            name = ""  # an empty drawing or frame within the text
+        elif not closing and (name in ASIDE or name == "head") and name not in absent:
             if (found := _after(page, name, end)) is None:
                 absent.add(name)
             else:
@@ -120,14 +137,13 @@ def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         at = end
 
 
-@functools.lru_cache(maxsize=64)
-def _closing(name: str) -> re.Pattern:
-    return re.compile(rf"</{name}\s*>|(?=<body[\s>])" if name == "head" else rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE)
+#: What ends an element whose content is passed over; a head ends where the body begins, too.
+CLOSING = {name: re.compile(rf"</{name}\s*>|(?=<body[\s>])" if name == "head" else rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE) for name in (*SCRIPTS, *ASIDE, "head")}
 
 
 def _after(page: str, name: str, at: int) -> int | None:
-    """Where the element that is open at `at` has ended; a head ends where the body begins, too."""
-    found = _closing(name).search(page, at)
+    """Where the element that is open at `at` has ended."""
+    found = CLOSING[name].search(page, at)
     return found.end() if found else None
 
 
@@ -181,22 +197,17 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-@functools.lru_cache(maxsize=200_000)
-def _word_dim(word: str) -> int:
-    return crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_DIMS
-
-
 def vectors(blocks: list[Block]) -> np.ndarray:
     """A row for each block: hashed tag path, all its words hashed (counts, scaled to length one), and its shape (length, links, marks, place)."""
     out = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + EXTRA), dtype=np.float32)
     if blocks:
         paths = np.frombuffer(b"".join(b.path for b in blocks), dtype=np.uint8).reshape(len(blocks), PATH_DIMS).copy()
-        paths[np.arange(len(blocks)), [_mark_dim(f"leaf {b.leaf}") for b in blocks]] += 1
+        paths[np.arange(len(blocks)), [_mark_dim[f"leaf {b.leaf}"] for b in blocks]] += 1
         out[:, :PATH_DIMS] = np.minimum(paths, 2)
     for i, b in enumerate(blocks):
         row = out[i]
         words = b.text.split(" ")
-        counts = np.bincount([_word_dim(w) for w in words], minlength=WORD_DIMS)
+        counts = np.bincount([_word_dim[w] for w in words], minlength=WORD_DIMS)
         row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.sqrt((counts**2).sum())
         n = len(b.text)
         row[-EXTRA:] = (np.log1p(n) / 6, min(1.0, b.linked / n), len(words) < 4, b.text[-1] in ".!?", b.text.count(",") / len(words), i / len(blocks), 1 / (1 + i), 1.0)
