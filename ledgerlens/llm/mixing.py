@@ -90,79 +90,50 @@ def posteriors(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.mapInPandas(predict, "doc_id string, doc bigint, tokens bigint, p array<double>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = 40, pull: float = 0.002) -> tuple[Column, list[np.ndarray]]:
-    """(rate column over p, its history): rates r >= 0 that minimise |sum_d r_d n_d p_d - T|^2 / N^2 + pull * sum_d n_d (r_d - 1)^2 / N.
+def fit_rates(members: DataFrame, targets: np.ndarray, pull: float = 1e-4, tolerance: float = 1e-7, limit: int = 500) -> tuple[Column, np.ndarray]:
+    """(rate column over p, missed share of each domain): rates r >= 0 that minimise |e|^2 + pull * sum_d n_d (r_d - 1)^2 / N, with the missed shares e = sum_d r_d n_d p_d / N - targets.
 
-    N is the number of tokens and T = N * targets. Projected gradient steps in the metric of the documents' tokens:
-    each step is one distributed sum of as many numbers as there are domains, of which alone the driver
-    knows (mix takes the minimum itself, from solve_rates); a document's rate is what the steps so far make of its posterior, so no state is kept for it, and a lost executor costs nothing but its part of a sum.
+    N is the number of tokens. Projected gradient steps: at the minimum a document's rate is 1 - p.e / pull, projected onto the nonnegative numbers, so the rates of all documents follow
+    from the k missed shares, along which the steps go. Each step is one distributed sum of k + 1 numbers; its direction is the gradient in the metric of the Gram matrix of all posteriors, which bounds
+    the curvature from above, and its length is spectral (the curvature met by the step before, in that metric), halved until the value falls below the largest of the last ten.
+    No state is kept for a document, so a lost executor costs nothing but its part of a sum. Steps end when the gradient is below `tolerance`; more than `limit` sums are an error.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     first = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
-    total, gram = float(first[0] or 1), np.zeros((k, k))
+    total, metric = float(first[0] or 1), np.eye(k)
     for (i, j), v in zip(pairs, first[1:], strict=True):
-        gram[i, j] = gram[j, i] = (v or 0.0) / total
-    # one over half the largest curvature: each step goes down
-    step = 0.5 / (np.linalg.eigvalsh(gram)[-1] + pull)
-    history: list[np.ndarray] = []
-
-    def rate() -> Column:
-        if not history:
-            return F.lit(1.0)
-        errors = F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in history])
-        inner = lambda e: F.aggregate(F.zip_with("p", e, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return F.aggregate(errors, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - 2 * float(step) * (inner(e) + pull * (r - 1))))
-
-    for _ in range(iterations):
-        sums = members.withColumn("r", rate()).agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
-        error = np.array([(v or 0.0) / total for v in sums]) - targets
-        history.append(error)
-        if np.abs(error).max() < 1e-4:
-            break
-    return rate(), history
-
-
-def solve_rates(members: DataFrame, targets: np.ndarray, pull: float = 1e-4, tolerance: float = 1e-9, limit: int = 100) -> tuple[Column, np.ndarray]:
-    """(rate column over p, missed share of each domain) at the minimum that fit_rates steps towards.
-
-    There a rate is max(0, 1 - p.e / pull), e being the missed shares, so Newton steps with halving find e as the minimum of
-    the dual |e|^2 / 2 + targets.e + pull / 2 * sum_d n_d r_d^2 / N, in one distributed sum of numbers of pairs of domains
-    each. They end when its gradient is below `tolerance`; more than `limit` sums are an error.
-    """
-    k = len(targets)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    total = float(members.agg(F.sum("tokens")).first()[0] or 1)
+        metric[i, j] += (v or 0.0) / total / pull
+        metric[j, i] = metric[i, j]
 
     def rate(e: np.ndarray) -> Column:
         inner = F.aggregate(F.zip_with("p", F.array(*[F.lit(float(v)) for v in e]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return F.greatest(F.lit(0.0), 1 - inner / pull)
 
-    def dual(e: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def measured(e: np.ndarray) -> tuple[float, np.ndarray]:
+        """What the steps bring down, |e|^2 / 2 + targets.e + pull / 2 * sum_d n_d r_d^2 / N, and its gradient: zero where the rates of e miss the targets by e."""
         r, n, p = F.col("r"), F.col("tokens"), F.col("p")
-        sums = members.withColumn("r", rate(e)).agg(
-            F.sum(n * r * r), *[F.sum(n * r * p[i]) for i in range(k)], *[F.sum(F.when(r > 0, n * p[i] * p[j])) for i, j in pairs]
-        ).first()
+        sums = members.withColumn("r", rate(e)).agg(F.sum(n * r * r), *[F.sum(n * r * p[i]) for i in range(k)]).first()
         sums = np.array([(v or 0.0) / total for v in sums])
-        hessian = np.eye(k)
-        for (i, j), v in zip(pairs, sums[k + 1 :], strict=True):
-            hessian[i, j] += v / pull
-            hessian[j, i] = hessian[i, j]
-        return float(e @ e / 2 + targets @ e + pull / 2 * sums[0]), e + targets - sums[1 : k + 1], hessian
-
-    e, used = np.zeros(k), 1
-    value, gradient, hessian = dual(e)
+        return float(e @ e / 2 + targets @ e + pull / 2 * sums[0]), e + targets - sums[1:]
+
+    e, used, curvature = np.zeros(k), 1, 1.0
+    value, gradient = measured(e)
+    values = [value]
     while np.abs(gradient).max() > tolerance:
-        step, size = -np.linalg.solve(hessian, gradient), 1.0
+        way, size = -np.linalg.solve(metric, gradient) / curvature, 1.0
         while True:
             if used == limit:
                 raise RuntimeError(f"rates not settled after {limit} sums; gradient {np.abs(gradient).max()}")
-            found, used = dual(e + size * step), used + 1
-            # near the minimum the value's rounding hides its fall, the gradient's does not
-            if found[0] <= value + 1e-4 * size * (gradient @ step) or np.abs(found[1]).max() <= 0.5 * np.abs(gradient).max():
+            found, used = measured(e + size * way), used + 1
+            # near the minimum the value's rounding hides its fall
+            if found[0] <= max(values[-10:]) + 1e-4 * size * (gradient @ way) + 1e-14:
                 break
             size /= 2
-        e, (value, gradient, hessian) = e + size * step, found
+        moved = size * way
+        curvature = min(1.0, max(1e-6, moved @ (found[1] - gradient) / (moved @ metric @ moved)))
+        e, (value, gradient) = e + moved, found
+        values.append(value)
     return rate(e), e
 
 
@@ -170,7 +141,7 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     """One row for each row: doc_id, doc, tokens, p (posteriors, in the order of the targets), rate, copies.
 
     A classifier fitted on the label table gives each document its posteriors over the domains; nonnegative least squares
-    (solved to its minimum) gives it a rate, so that the expected tokens of each domain come near their target share of all tokens while
+    (projected gradient steps to its minimum) gives it a rate, so that the expected tokens of each domain come near their target share of all tokens while
     rates stay near 1; a warning names the shares if one is over `warn_above` from its target. copies is the rate rounded up or down by a hash of the document, so that it is the rate in expectation, and alike in every run.
 
     Cases: a null text is an empty one (one token); without labels all posteriors are equal; null identifiers stay null;
@@ -182,7 +153,7 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     weights = fit_posteriors(documents, labels, domains, label_domain() if domain is None else domain, max_rows)
     members = scratch.table(posteriors(documents, weights))
     shares = np.array(list(targets.values())) / sum(targets.values())
-    rate, missed = solve_rates(members, shares)
+    rate, missed = fit_rates(members, shares)
     if np.abs(missed).max() > warn_above:
         warnings.warn("mixing misses its targets: " + ", ".join(f"{d} {t + e:.4f} for {t:.4f}" for d, t, e in zip(domains, shares, missed, strict=True)), stacklevel=2)
     chance = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
