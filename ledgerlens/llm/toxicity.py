@@ -128,9 +128,9 @@ def features_of(counts: np.ndarray, n_terms: int, n_learned: int) -> np.ndarray:
     return np.hstack([np.log1p(s) for s in sums] + dense + [np.minimum(s, 2) for s in sums] + kinds + [np.log1p(patterns), np.ones((len(counts), 1))])
 
 
-def fit_linear(x: np.ndarray, soft: np.ndarray, steps: int = 60, ridge: float = 0.1) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps."""
-    w = np.zeros(x.shape[1])
+def fit_linear(x: np.ndarray, soft: np.ndarray, steps: int = 60, ridge: float = 1e-5) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps; the ridge is one for each row, so that small tables are not shrunk more than large ones."""
+    w, ridge = np.zeros(x.shape[1]), ridge * max(1, len(x))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - soft) + ridge * w
