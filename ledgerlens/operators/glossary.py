@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,12 +127,8 @@ def bilingual_pairs(texts: DataFrame, key: str, text_col: str) -> DataFrame:
 # ---- terms in texts, by substrings
 
 
-def _parts_of(terms: DataFrame, most: int) -> list[list[dict]]:
-    """Rows (source, target, aliases) in lists of at most `most`, so that what a task holds is bounded however large the glossary is."""
-    n = terms.count()
-    k = -(-n // most) if n else 0
-    part = F.pmod(F.xxhash64("source"), F.lit(max(1, k)))
-    return [[r.asDict() for r in terms.where(part == i).collect()] for i in range(k)]
+#: Lengths of the pieces by which names meet texts; a name is met by a piece of the largest length that it has.
+PIECES = (8, 4, 2, 1)
 
 
 def _with_aliases(terms: DataFrame) -> DataFrame:
@@ -141,38 +136,56 @@ def _with_aliases(terms: DataFrame) -> DataFrame:
     return terms.select("source", "target", F.coalesce(aliases, F.array().cast("array<string>")).alias("aliases"))
 
 
-def term_rows(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame, most: int = 50_000) -> DataFrame:
-    """(keys, source, target): the terms (source, target, aliases) of which the source or an alias occurs in a text, whatever the case and the script.
+def pieces(text: Column, n: int) -> Column:
+    """The distinct pieces of n characters of a text, in time linear in its length."""
+    # bound by a lambda, the characters are split once, not once for each piece
+    of = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
+    found = F.transform(F.array(F.split(text, "")), lambda c: F.array_distinct(of(c)))
+    return F.when(F.char_length(text) >= n, F.get(found, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
-    Each text is read once by an automaton of all names (in lists of `most` terms), so the time does not grow with their number.
+
+def dictionary(names: DataFrame, low: DataFrame, every: int = 64) -> tuple[DataFrame, list[int]]:
+    """((name, piece), lengths of pieces): each name with the piece that the fewest texts hold, by the texts of one in `every` hashes, then the fewest names.
+
+    Which piece stands for a name bears on the speed alone: every text that holds the name holds each of its pieces.
     """
-    kinds = ", ".join(f"{k} {dict(texts.dtypes)[k]}" for k in keys)
-    rows = texts.select(*keys, F.coalesce(text_col, F.lit("")).alias("__text"))
-    out = texts.select(*keys, F.lit("").alias("source"), F.lit("").alias("target")).where("false")
-    for part in _parts_of(_with_aliases(terms), most):
-
-        def search(batches, part=part):
-            import ahocorasick
-
-            names: dict[str, list[int]] = {}
-            for i, t in enumerate(part):
-                for name in {t["source"].lower(), *(a.lower() for a in t["aliases"])} - {""}:
-                    names.setdefault(name, []).append(i)
-            automaton = ahocorasick.Automaton()
-            for name, owners in names.items():
-                automaton.add_word(name, owners)
-            if names:
-                automaton.make_automaton()
-            for batch in batches:
-                found = [sorted({i for _, owners in automaton.iter(t.lower()) for i in owners}) if names else [] for t in batch["__text"]]
-                at = [n for n, f in enumerate(found) for _ in f]
-                which = [i for f in found for i in f]
-                columns = {k: batch[k].to_numpy(dtype=object)[at] for k in keys}
-                columns |= {name: np.array([part[i][name] for i in which], dtype=object) for name in ("source", "target")}
-                yield pd.DataFrame(columns, dtype=object)
-
-        out = out.union(rows.mapInPandas(search, f"{kinds}, source string, target string"))
-    return out
+    size = F.char_length("name")
+    length = F.lit(None).cast("int")
+    for n in sorted(PIECES):
+        length = F.when(size >= n, n).otherwise(length)
+    sized = names.withColumn("length", length)
+    lengths = sorted(sized.agg(F.collect_set("length")).first()[0])  # len(PIECES) numbers at most
+    own = F.coalesce(*[F.when(F.col("length") == n, pieces(F.col("name"), n)) for n in PIECES])
+    every_piece = sized.select("name", F.posexplode(own).alias("at", "piece"))
+    shared = every_piece.groupBy("piece").agg(F.count(F.lit(1)).alias("names"))
+    some = low.where(F.pmod(F.xxhash64("__low"), F.lit(every)) == 0)
+    seen = some.select(F.explode(F.flatten(F.array(*[pieces(F.col("__low"), n) for n in lengths]))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("texts")) if lengths else None
+    if seen is None:
+        return every_piece.select("name", "piece"), lengths
+    weighed = every_piece.join(shared.join(seen, "piece", "left"), "piece")
+    rank = F.struct(F.coalesce("texts", F.lit(0)), "names", "at")
+    return weighed.groupBy("name").agg(F.min_by("piece", rank).alias("piece")), lengths
+
+
+def term_rows(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame, every: int = 64) -> DataFrame:
+    """(keys, source, target), each once: the terms (source, target, aliases) of which the source or an alias stands anywhere in a text, whatever the case and the script.
+
+    Nothing is gathered and nothing is tried out on all texts: each name has one piece, the rarest of its characters in a row (see `dictionary`), and meets the texts by an equi-join on that piece. A
+    name that is its piece is found by that; a longer one is looked for in the texts that it has met, which are brought to their hits by one join. Spark broadcasts the dictionary only
+    where it is small; otherwise both sides are shuffled by piece, of which adaptive execution splits those that are very frequent. Null texts are empty; an empty name is in no text.
+    """
+    named = _with_aliases(terms).select("source", "target", F.explode(F.array_distinct(F.transform(F.concat(F.array("source"), "aliases"), F.lower))).alias("name")).where("name <> ''").distinct()
+    low = texts.select(*keys, F.lower(F.coalesce(text_col, F.lit(""))).alias("__low")).where("__low <> ''")
+    # keys may be repeated and null
+    low = low.select(F.struct(*keys, F.xxhash64("__low").alias("__hash")).alias("__text"), "__low")
+    held, lengths = dictionary(named.select("name").distinct(), low, every)
+    if not lengths:
+        return texts.select(*keys, F.lit("").alias("source"), F.lit("").alias("target")).where("false")
+    met = low.select("__text", F.explode(F.flatten(F.array(*[pieces(F.col("__low"), n) for n in lengths]))).alias("piece")).join(held, "piece")
+    whole = met.where(F.char_length("name") == F.char_length("piece")).select("__text", "name")
+    longer = met.where(F.char_length("name") > F.char_length("piece")).select("__text", "name").join(low, "__text").where(F.contains("__low", "name")).select("__text", "name")
+    found = whole.unionByName(longer).join(named, "name")
+    return found.select(*[F.col("__text")[k].alias(k) for k in keys], "source", "target").distinct()
 
 
 def text_terms(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame) -> DataFrame:
@@ -246,32 +259,48 @@ def fold(events: DataFrame, scope: list[str] | None = None) -> tuple[DataFrame,
 
 
 def build(texts: DataFrame, doc: str, text_col: str, seeds: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(entries, conflicts) for each document of its texts (doc, seq, text): the seed lexicon (source, target), pairs that the texts give themselves, and a count for each text that holds a seed.
+    """(entries, conflicts) of the texts (doc, seq, text): the seed lexicon (source, target), pairs that the texts give themselves, and a count for each text that holds a seed.
 
-    A seed counts only while no stronger authority has taken its place, so counts of seeds whose pair the document gives are left out from then on.
+    Entries of a document are those of terms that its texts hold or give. The lexicon itself stands once, under a null document: what it says holds for each
+    document that has no entry of its own (see `lookup` and `of_document`). A seed counts only while no stronger authority has taken its place, so counts of seeds whose pair the document gives are left out from then on.
     """
-    docs = texts.select(doc).distinct()
-    base = docs.join(F.broadcast(seeds.select("source", "target").limit(10_000)), how="cross")  # a seed lexicon is a parameter of at most 10,000 terms
     t = texts.withColumn("__id", F.struct(doc, "seq"))
     given = bilingual_pairs(t.select("__id", text_col), "__id", text_col).select(F.col(f"__id.{doc}").alias(doc), F.col("__id.seq").cast("double").alias("seq"), "source", "target", F.lit("source_gloss").alias("authority"))
     counted = term_rows(t, [doc, "seq"], text_col, seeds).select(doc, (F.col("seq") + 0.5).alias("seq"), "source", "target", F.lit("seed").alias("authority"))
     taken = given.groupBy(doc, F.lower("source").alias("k")).agg(F.min("seq").alias("from"))
-    counted = counted.withColumn("k", F.lower("source")).join(taken, [doc, "k"], "left").where("from is null or seq < from").drop("k", "from")
-    events = base.select(doc, F.lit(-1.0).alias("seq"), "source", "target", F.lit("seed").alias("authority")).union(given).union(counted)
-    entries, clashes = fold(events.withColumn("frequency", F.lit(1)), [doc])
+    held = counted.withColumn("k", F.lower("source")).join(taken, [doc, "k"], "left").where("from is null or seq < from").drop("k", "from")
+    # the lexicon's own event comes first in each document that has any other of its term
+    lexicon = seeds.select("source", "target", F.lower("source").alias("k"), F.lit("seed").alias("authority"))
+    touched = counted.unionByName(given).select(doc, F.lower("source").alias("k")).distinct()
+    base = touched.join(lexicon, "k").select(doc, F.lit(-1.0).alias("seq"), "source", "target", "authority")
+    shared = lexicon.select(F.lit(None).cast(dict(texts.dtypes)[doc]).alias(doc), F.lit(-1.0).alias("seq"), "source", "target", "authority")
+    entries, clashes = fold(base.unionByName(shared).unionByName(given).unionByName(held).withColumn("frequency", F.lit(1)), [doc])
     return prune(entries, least), clashes
 
 
+def of_document(entries: DataFrame, doc: str, value) -> DataFrame:
+    """All entries that hold for a document: its own, and those of the lexicon that it has none of its own for."""
+    own = entries.where(F.col(doc).eqNullSafe(F.lit(value)))
+    return own.unionByName(entries.where(F.col(doc).isNull()).join(own.select("key"), "key", "left_anti")).withColumn(doc, F.lit(value))
+
+
 def prune(entries: DataFrame, least: int = 1, drop_seed: bool = False) -> DataFrame:
     """Entries of at least this frequency, and without those of the seed lexicon if asked for."""
     return entries.where((F.col("frequency") >= least) & (F.lit(not drop_seed) | (F.col("authority") != "seed")))
 
 
 def lookup(df: DataFrame, term: str, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """df with `translation`: the target of the entry for column `term`, whatever its case; the term itself without one."""
+    """df with `translation`: the target of the entry for column `term`, whatever its case; the term itself without one.
+
+    With a scope (the document of `build`'s entries) a row takes the entry of its own scope, else the lexicon's, which is the one of a null scope.
+    """
     e = entries.select(*(scope or []), F.lower("source").alias("__k"), F.col("target").alias("__t"))
-    out = df.withColumn("__k", F.lower(term)).join(e, [*(scope or []), "__k"], "left")
-    return out.withColumn("translation", F.coalesce("__t", term)).drop("__k", "__t")
+    out = df.withColumn("__k", F.lower(term))
+    if not scope:
+        return out.join(e, "__k", "left").withColumn("translation", F.coalesce("__t", term)).drop("__k", "__t")
+    shared = e.where(" and ".join(f"{c} is null" for c in scope)).select("__k", F.col("__t").alias("__shared"))
+    out = out.join(e, [*scope, "__k"], "left").join(shared, "__k", "left")
+    return out.withColumn("translation", F.coalesce("__t", "__shared", term)).drop("__k", "__t", "__shared")
 
 
 def coverage(texts: DataFrame, keys: list[str], text_col: str, entries: DataFrame) -> DataFrame:

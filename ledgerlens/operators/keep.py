@@ -9,19 +9,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def writer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a DataFrame as Parquet in the folder of spark.checkpoint.dir and reads it again.
-
-    Without that setting a temporary folder serves if all runs on this machine (local master); on a cluster that is an error.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without that setting a temporary one, if all runs on this machine (local master); on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
+    return root.rstrip("/")
+
+
+def writer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a DataFrame as Parquet in the shared folder and reads it again."""
+    root = shared_folder(spark)
 
     def keep(df: DataFrame) -> DataFrame:
-        path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
+        path = f"{root}/kept-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.figures import figures
 from ledgerlens.functions.units import UNKNOWN, mentions_note, unit_from_note
+from ledgerlens.operators.keep import writer
 
 #: Digits of a slip at most, and relative change up to which two figures are one that was changed.
 SLIP, NEAR = 2, 0.02
@@ -31,29 +32,63 @@ def match_exact(source: DataFrame, target: DataFrame, owner: list[str]) -> DataF
     return joined.withColumn("bucket", bucket).drop("n")
 
 
-def match_near(unmatched: DataFrame, owner: list[str], max_edits: int = 2, relative: float = 0.02) -> DataFrame:
-    """Pairs of missing and added figures of an owner and dimension that differ by a slip: owner, source_raw, target_raw, edits.
+#: Width of a value band: values within a relative 0.02 are at most one band apart.
+BAND = 0.0203
 
-    Digits must be as many; edits at most `max_edits`, or values within `relative`. Greedy by edits, relative change and place:
-    a pair is taken if it is the best of both its figures, in rounds until none is left (an owner is one statement or slot, so its pairs are few).
+
+def _shortened(digits: Column) -> Column:
+    """What two deletions leave of a string of digits, each once. Strings of one length at an edit distance of two or less have one of these in common: two replacements, or an insertion with a deletion, leave all but two digits as they are."""
+    n = F.char_length(digits)
+    cut = lambda i, j: F.concat(F.substr(digits, F.lit(1), i - 1), F.substr(digits, i + 1, j - i - 1), F.substr(digits, j + 1))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: cut(i, j))))
+    return F.when(n <= 2, F.array(F.lit(""))).otherwise(F.array_distinct(every))
+
+
+def near_pairs(missing: DataFrame, added: DataFrame, owner: list[str], max_edits: int = 2, relative: float = 0.02) -> DataFrame:
+    """Pairs of figures (owner, dimension, ordinal, raw, value) of two sides that differ by a slip: owner, source_ordinal, target_ordinal, source_raw, target_raw, edits, change.
+
+    Digits must be as many; edits at most `max_edits` (two at most) or values within `relative` (0.02 at most). Figures meet by equal keys, not each with each: what two deletions leave of their digits, and bands of
+    their values' logarithms, the source's with both its neighbours.
+    """
+    if max_edits > SLIP or relative > NEAR:
+        raise ValueError(f"keys are made for {SLIP} edits and a relative change of {NEAR}")
+    digits = lambda df: df.withColumn("digits", F.regexp_replace("raw", "[^0-9]", "")).withColumn("n", F.length("digits"))
+    band = F.floor(F.log(F.greatest(F.abs("value"), F.lit(1e-12))) / BAND).cast("int")
+    keys = lambda df, spread: df.withColumn("key", F.explode(F.concat(F.transform(_shortened(F.col("digits")), lambda k: F.concat(F.lit("d"), k)), F.transform(F.array(*[band + i for i in spread]), lambda v: F.concat(F.lit("v"), v.cast("string"))))))
+    met = [*owner, "dimension", "n", "key"]
+    s = keys(digits(missing), (-1, 0, 1)).select(*met, F.struct("ordinal", "raw", "value", "digits").alias("s"))
+    t = keys(digits(added), (0,)).select(*met, F.struct("ordinal", "raw", "value", "digits").alias("t"))
+    pairs = s.join(t, met).select(*owner, "s", "t").distinct()
+    change = F.abs(F.col("s.value") - F.col("t.value")) / F.greatest(F.abs("s.value"), F.lit(1e-12))
+    pairs = pairs.withColumn("edits", F.levenshtein("s.digits", "t.digits")).withColumn("change", change).where((F.col("edits") <= max_edits) | (F.col("change") <= relative))
+    return pairs.select(*owner, F.col("s.ordinal").alias("source_ordinal"), F.col("t.ordinal").alias("target_ordinal"), F.col("s.raw").alias("source_raw"), F.col("t.raw").alias("target_raw"), "edits", "change")
+
+
+def match_near(unmatched: DataFrame, owner: list[str], max_edits: int = 2, relative: float = 0.02, keep=None) -> DataFrame:
+    """Pairs of missing and added figures of an owner and dimension that differ by a slip (see near_pairs), each figure once: owner, source_ordinal, target_ordinal, source_raw, target_raw, edits.
+
+    The closest first, by edits, relative change and place: a pair is taken if it is the best of both its figures, and figures that are taken leave the others' pairs, in rounds until no pair is left. That is what going
+    through all pairs in their order would take, but a round is two windows over single figures, so an owner of any size is spread over tasks. Rounds are written by `keep` (tables of the shared folder).
     """
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    s = unmatched.where("bucket = 'missing'").select(*owner, "dimension", "source_raw", "source_ordinal", F.col("base_value").alias("sv"))
-    t = unmatched.where("bucket = 'added'").select(*owner, "dimension", "target_raw", "target_ordinal", F.col("base_value").alias("tv"))
-    pairs = s.join(t, [*owner, "dimension"])
-    edits = F.levenshtein(digits(F.col("source_raw")), digits(F.col("target_raw")))
-    change = F.abs(F.col("sv") - F.col("tv")) / F.greatest(F.abs(F.col("sv")), F.lit(1e-12))
-    pairs = pairs.withColumn("edits", edits).withColumn("change", change).where(F.length(digits(F.col("source_raw"))) == F.length(digits(F.col("target_raw"))))
-    pairs = pairs.where((F.col("edits") <= max_edits) | (F.col("change") <= relative))
-    order = F.array_sort(F.collect_list(F.struct("edits", "change", "source_ordinal", "target_ordinal", "source_raw", "target_raw")))
-
-    def take(taken, p):
-        used = F.exists(taken, lambda x: (x["source_ordinal"] == p["source_ordinal"]) | (x["target_ordinal"] == p["target_ordinal"]))
-        return F.when(used, taken).otherwise(F.array_append(taken, p))
-
-    kind = "array<struct<edits: int, change: double, source_ordinal: int, target_ordinal: int, source_raw: string, target_raw: string>>"
-    chosen = pairs.groupBy(*owner).agg(order.alias("p")).select(*owner, F.explode(F.aggregate(F.col("p").cast(kind), F.array().cast(kind), take)).alias("x"))
-    return chosen.select(*owner, "x.source_ordinal", "x.target_ordinal", "x.source_raw", "x.target_raw", "x.edits")
+    keep = keep or writer(unmatched.sparkSession)
+    unmatched = unmatched.where("bucket in ('missing', 'added')")
+    side = lambda bucket, p: unmatched.where(F.col("bucket") == bucket).select(*owner, "dimension", F.col(f"{p}_ordinal").alias("ordinal"), F.col(f"{p}_raw").alias("raw"), F.col("base_value").alias("value"))
+    left = keep(near_pairs(side("missing", "source"), side("added", "target"), owner, max_edits, relative))
+    order = ["edits", "change", "source_ordinal", "target_ordinal"]
+    taken = []
+    while not left.isEmpty():
+        best = lambda c: F.row_number().over(Window.partitionBy(*owner, c).orderBy(*order)) == 1
+        marked = left.withColumn("__s", best("source_ordinal")).withColumn("__t", best("target_ordinal"))
+        chosen = keep(marked.where("__s and __t").drop("__s", "__t"))
+        taken.append(chosen)
+        rest = left
+        for c in ("source_ordinal", "target_ordinal"):
+            rest = rest.join(chosen.select(*owner, c), [*owner, c], "left_anti")
+        left = keep(rest)
+    out = left
+    for chosen in taken:
+        out = out.unionByName(chosen)
+    return out.select(*owner, "source_ordinal", "target_ordinal", "source_raw", "target_raw", "edits")
 
 
 def drift(counts: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +15,60 @@ def postings(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
     return texts.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int = 5) -> DataFrame:
+def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int = 5, block: int = 1_000_000, max_postings: int = 2_000_000) -> DataFrame:
     """Top k documents of each query by cosine of tf * idf, idf = ln((1 + N) / (1 + df)) + 1: query, doc, score, rank.
 
-    corpus and queries are postings. A token that no document has counts with idf 1 in the query's norm. The join is an
-    equi-join on tokens of postings; common tokens are many rows of one key, which adaptive skew handling splits.
+    corpus and queries are postings. A token that no document has counts with idf 1 in the query's norm. The queries are a stated set of checked size (`max_postings`; more are an error: run them in parts) and
+    go to all tasks. The postings are dealt out by ranges of documents (hashed, so many that a range has some `block` postings), so a very frequent token is spread over all ranges; a range scores its
+    documents for all queries in arrays and hands on k of each query. So no row is made for a query and a document that share a token but for k in each range.
     """
-    n = corpus.select(doc).distinct().agg(F.count(F.lit(1)).alias("n"))
+    sizes = corpus.agg(F.count_distinct(doc).alias("n"), F.count(F.lit(1)).alias("postings"))
+    n, postings_ = sizes.first()
     df = corpus.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    weighed = corpus.join(idf, "token").select(doc, "token", (F.col("tf") * F.col("idf")).alias("dw"))
-    norms = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
+    idf = df.select("token", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
     q = queries.join(idf, "token", "left").select(query, "token", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("qw"))
-    qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = q.join(weighed, "token").groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    scored = dots.join(norms, doc).join(qnorms, query).select(query, doc, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
+    rows = q.limit(max_postings + 1).collect()  # bounded by max_postings
+    if len(rows) > max_postings:
+        raise ValueError(f"more than {max_postings} postings of queries: run them in parts")
+    wanted: dict = {}
+    for name, token, weight in rows:
+        wanted.setdefault(name, []).append((token, weight))
+    numbers = {t: i for i, t in enumerate(sorted({t for r in wanted.values() for t, _ in r}))}
+    asked = []
+    for name, parts in wanted.items():
+        weights = np.array([w for _, w in parts])
+        asked.append((name, np.array([numbers[t] for t, _ in parts]), weights / np.sqrt((weights**2).sum())))
+    kinds = dict(corpus.dtypes)[doc], dict(queries.dtypes)[query]
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        docs, at = np.unique(rows[doc].to_numpy(), return_inverse=True)
+        weight = rows["dw"].to_numpy()
+        weight = weight / np.sqrt(np.bincount(at, weight**2))[at]
+        number = rows["token"].map(numbers)
+        kept = number.notna().to_numpy()
+        number, at, weight = number[kept].to_numpy(dtype=np.int64), at[kept], weight[kept]
+        order = np.argsort(number, kind="stable")
+        number, at, weight = number[order], at[order], weight[order]
+        begin = np.searchsorted(number, np.arange(len(numbers) + 1))
+        out = []
+        for name, tokens, weights in asked:
+            slices = [slice(begin[t], begin[t + 1]) for t in tokens]
+            found = np.concatenate([at[s] for s in slices]) if slices else at[:0]
+            if not len(found):
+                continue
+            scores = np.round(np.bincount(found, np.concatenate([weight[s] * w for s, w in zip(slices, weights, strict=True)]), len(docs)), 6)
+            best = np.flatnonzero(scores > 0)
+            if len(best) > k:  # all that tie with the k-th stay until they are put in order
+                best = best[scores[best] >= np.partition(scores[best], -k)[-k]]
+            best = best[np.lexsort((docs[best], -scores[best]))][:k]
+            out += [(name, docs[i], scores[i]) for i in best]
+        return pd.DataFrame(out, columns=[query, doc, "score"])
+
+    ranges = max(1, -(-postings_ // block))
+    weighed = corpus.join(idf, "token").select(doc, "token", (F.col("tf") * F.col("idf")).alias("dw"), F.pmod(F.xxhash64(doc), F.lit(ranges)).alias("range"))
+    scored = weighed.groupBy("range").applyInPandas(score, f"{query} {kinds[1]}, {doc} {kinds[0]}, score double")
     w = Window.partitionBy(query).orderBy(F.desc("score"), doc)
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,3 +89,106 @@ def vector_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
     scored = pairs.select(query, key, F.round(F.when(norm > 0, dot(F.col("__v"), F.col("__q")) / norm).otherwise(0.0), 6).alias("score"))
     w = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# ---- an inverted-file index over vectors
+
+
+def embed_texts(texts: DataFrame, key: str, text_col: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
+    """(key, vector) of texts by a callable that makes a vector of each of a list of texts; it is called for `batch` texts at a time, null texts as empty ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i in range(0, len(rows), batch):
+                part = rows.iloc[i : i + batch]
+                yield pd.DataFrame({key: part[key], "vector": [list(map(float, v)) for v in embed(part["text"].tolist())]})
+
+    rows = texts.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, vector array<double>")
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+def fit_centroids(vectors: DataFrame, key: str, vector: str, lists: int, max_rows: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Unit centroids of `lists` clusters by spherical k-means, fitted on at most `max_rows` vectors (those whose key has the smallest hash)."""
+    sample = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(max_rows).select(F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows = [r["v"] for r in sample.collect()]  # bounded by max_rows
+    if not rows:
+        return np.zeros((0, 0))
+    x = _unit(np.array(rows, dtype=float))
+    centroids = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(rounds):
+        nearest = (x @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, nearest, x)
+        centroids = np.where((sums != 0).any(axis=1, keepdims=True), _unit(sums), centroids)
+    return centroids
+
+
+def vector_index(vectors: DataFrame, key: str, vector: str, lists: int | None = None, max_rows: int = 20_000) -> tuple[DataFrame, np.ndarray]:
+    """(index, centroids): every vector (key, vector) with its list, that of the nearest centroid, and its angle to it; write the index partitioned or bucketed by list.
+
+    lists: the square root of the number of vectors if not given, 4,096 at most, so the centroids that go to all tasks have a bound. A null vector is in no list; a zero vector has angle pi / 2 to all.
+    """
+    lists = lists or int(min(4096, max(1, vectors.count() ** 0.5)))
+    centroids = fit_centroids(vectors, key, vector, lists, max_rows)
+    kind = dict(vectors.dtypes)[key]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                cosine = _unit(np.stack(rows["vector"].to_numpy()).astype(float)) @ centroids.T
+                nearest = cosine.argmax(axis=1)
+                angle = np.arccos(np.clip(cosine[np.arange(len(rows)), nearest], -1, 1))
+                yield pd.DataFrame({key: rows[key], "vector": rows["vector"], "list": nearest.astype("int32"), "angle": angle})
+
+    rows = vectors.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    return rows.mapInPandas(assign, f"{key} {kind}, vector array<double>, list int, angle double"), centroids
+
+
+def index_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, query: str, k: int = 5, probes: int = 8, exact: bool = False, part: int = 100_000) -> DataFrame:
+    """Top k vectors of each query (query, vector) by cosine, out of its `probes` nearest lists: query, key, score, rank.
+
+    Queries meet lists by an equi-join; a list of more than `part` vectors is dealt out in parts of that size, each of which meets the queries. With `exact`, a second round searches the lists that may hold better vectors than the
+    k-th of the first round: an angle to a vector is at least the angle to its centroid less the list's widest. The result then equals a search of all vectors (`index` must be a table: it is read twice).
+    """
+    kind = dict(queries.dtypes)[query]
+
+    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows) and len(centroids):
+                unit = _unit(np.stack(rows["vector"].to_numpy()).astype(float))
+                angle = np.arccos(np.clip(unit @ centroids.T, -1, 1))
+                order = np.argsort(angle, axis=1, kind="stable")
+                for i, name in enumerate(rows["__id"]):
+                    yield pd.DataFrame({"__id": name, "list": order[i].astype("int32"), "near": angle[i, order[i]], "place": np.arange(len(centroids), dtype="int32")})
+
+    lists = index.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("widest"))
+    q = queries.select(F.col(query).alias("__id"), F.transform("vector", lambda x: x.cast("double")).alias("__q"))
+    asked = q.select("__id", F.col("__q").alias("vector")).mapInPandas(angles, f"__id {kind}, list int, near double, place int").join(lists, "list")
+    parts = F.ceil(F.col("size") / part).cast("int")
+    stored = index.select(F.col(key).alias("__key"), "vector", "list")
+    dealt = stored.join(lists.select("list", parts.alias("parts")), "list").withColumn("part", F.pmod(F.xxhash64("__key"), F.col("parts")).cast("int"))
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        spread = pairs.select("__id", "list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).join(q, "__id")
+        found = dealt.join(spread, ["list", "part"])
+        norm = F.sqrt(dot(F.col("vector"), F.col("vector"))) * F.sqrt(dot(F.col("__q"), F.col("__q")))
+        return found.select("__id", "__key", F.round(F.when(norm > 0, dot(F.col("vector"), F.col("__q")) / norm).otherwise(0.0), 6).alias("score"))
+
+    def best(scored: DataFrame) -> DataFrame:
+        w = Window.partitionBy("__id").orderBy(F.desc("score"), "__key")
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    named = lambda df: df.select(F.col("__id").alias(query), F.col("__key").alias(key), "score", "rank")
+    first = best(meet(asked.where(F.col("place") < probes)))
+    if not exact:
+        return named(first)
+    worst = first.groupBy("__id").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("found"))
+    # a little more than what rounding to six digits hides
+    hope = F.cos(F.greatest(F.lit(0.0), F.col("near") - F.col("widest"))) + 2e-6
+    more = asked.where(F.col("place") >= probes).join(worst, "__id", "left").where((F.coalesce("found", F.lit(0)) < k) | (hope >= F.col("worst")))
+    return named(best(first.drop("rank").unionByName(meet(more))))

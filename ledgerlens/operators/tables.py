@@ -337,7 +337,8 @@ def build_tables(raw: DataFrame, given: DataFrame | None = None, table: str = "t
         out = out.join(given.select(table, F.coalesce("caption", F.lit("")).alias("caption"), F.coalesce("units_note", F.lit("")).alias("__note")), table, "left")
     else:
         out = out.withColumn("caption", F.lit("")).withColumn("__note", F.lit(""))
-    near = F.concat_ws(" ", F.coalesce("caption", F.lit("")), F.array_join(F.transform(F.slice("cells", F.lit(1), F.greatest(F.lit(1), F.col("n_cols") * 3)), lambda c: c["text"]), " "))
+    # one line for each cell: a note ends where its cell does (joined by blanks, it would take in the cell after it)
+    near = F.concat_ws("\n", F.coalesce("caption", F.lit("")), F.array_join(F.transform(F.slice("cells", F.lit(1), F.greatest(F.lit(1), F.col("n_cols") * 3)), lambda c: c["text"]), "\n"))
     out = out.withColumn("units_note", F.when(F.coalesce("__note", F.lit("")) != "", F.col("__note")).otherwise(units_note(near)))
     tables = out.select(table, "n_rows", "n_cols", "row_lines", "col_lines", "warnings", F.size("conflicts").alias("n_conflicts"), F.coalesce("caption", F.lit("")).alias("caption"), "units_note")
     return tables, out.select(table, F.inline("cells")), out.select(table, F.inline("conflicts"))

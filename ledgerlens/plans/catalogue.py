@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from ledgerlens.functions import text as tx
 from ledgerlens.functions.figures import figures
 from ledgerlens.functions.units import UNIT, chinese_numeral, unit_from_note
 from ledgerlens.operators import glossary, numdiff, retrieval, review, risk, sections, tables, translate
+from ledgerlens.operators.keep import shared_folder, writer
 from ledgerlens.streaming import review_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,7 +177,15 @@ def q_number_diff_strict(spark, sf):
     return m.groupBy("table_id").agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in ("matched", "missing", "added")])
 
 
-@query()
+@query("WITH RECURSIVE " + _TARGET.replace(" AS (", " AS MATERIALIZED (") + """, s AS (SELECT table_id, text, row, row_number() OVER (PARTITION BY table_id, text ORDER BY row) AS n FROM cells WHERE col = 2), t AS (SELECT table_id, text, row, row_number() OVER (PARTITION BY table_id, text ORDER BY row) AS n FROM target WHERE col = 2),
+  missing AS (SELECT s.* FROM s ANTI JOIN t ON s.table_id = t.table_id AND s.text = t.text AND s.n = t.n), added AS (SELECT t.* FROM t ANTI JOIN s ON s.table_id = t.table_id AND s.text = t.text AND s.n = t.n),
+  d AS (SELECT m.table_id, m.row AS si, a.row AS ti, m.text AS source_raw, a.text AS target_raw, levenshtein(replace(m.text, '.', ''), replace(a.text, '.', '')) AS edits, abs(m.text::DOUBLE - a.text::DOUBLE) / greatest(abs(m.text::DOUBLE), 1e-12) AS change
+    FROM missing m JOIN added a ON m.table_id = a.table_id AND length(replace(m.text, '.', '')) = length(replace(a.text, '.', ''))),
+  p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY edits, change, si, ti) AS i FROM d WHERE edits <= 2 OR change <= 0.02),
+  g AS (SELECT table_id, 0::BIGINT AS i, []::INT[] AS ss, []::INT[] AS ts, false AS taken FROM (SELECT DISTINCT table_id FROM p)
+    UNION ALL SELECT g.table_id, p.i, CASE WHEN list_contains(ss, si) OR list_contains(ts, ti) THEN ss ELSE list_append(ss, si) END, CASE WHEN list_contains(ss, si) OR list_contains(ts, ti) THEN ts ELSE list_append(ts, ti) END, NOT (list_contains(ss, si) OR list_contains(ts, ti))
+    FROM g JOIN p ON p.table_id = g.table_id AND p.i = g.i + 1)
+  SELECT p.table_id, source_raw, target_raw, edits::INT AS edits FROM g JOIN p ON p.table_id = g.table_id AND p.i = g.i WHERE taken""")
 def q_number_diff_near(spark, sf):
     m = numdiff.match_exact(prices(cells(spark, sf)), prices(target_cells(spark, sf)), ["table_id"])
     return numdiff.match_near(m, ["table_id"]).select("table_id", "source_raw", "target_raw", "edits")
@@ -186,7 +194,7 @@ def q_number_diff_near(spark, sf):
 # ---- tables
 
 
-@query("WITH " + _CHECK + " SELECT table_id, row, col, source_text, target_text, finding FROM chk WHERE finding <> 'same'")
+@query("WITH " + _CHECK.replace(" AS (", " AS MATERIALIZED (") + " SELECT table_id, row, col, source_text, target_text, finding FROM chk WHERE finding <> 'same'")
 def q_table_check(spark, sf):
     return numdiff.check_tables(cells(spark, sf), target_cells(spark, sf)).where("finding <> 'same'")
 
@@ -372,11 +380,26 @@ def q_tfidf_topk(spark, sf):
     return retrieval.tfidf_search(d, q, "doc_id", "item_id").select("item_id", "doc_id", "score", "rank")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) AS score FROM v, v q WHERE q.vec_id % 100 = 0),
-  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 5""")
+_VECTORS = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) AS score FROM v, v q WHERE q.vec_id % 100 = 0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 5"""
+
+
+def vector_queries(vectors):
+    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(_VECTORS)
 def q_vector_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return retrieval.vector_search(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "vec_id", "embedding", "query_id").select("query_id", "vec_id", "score", "rank")
+    return retrieval.vector_search(e, vector_queries(e), "vec_id", "embedding", "query_id").select("query_id", "vec_id", "score", "rank")
+
+
+@query(_VECTORS)
+def q_vector_index(spark, sf):
+    """The same through an inverted-file index, with a second round over the lists that may hold better vectors."""
+    e = table(spark, sf, "embeddings")
+    index, centroids = retrieval.vector_index(e, "vec_id", "embedding")
+    return retrieval.index_search(writer(spark)(index), centroids, vector_queries(e), "vec_id", "query_id", exact=True).select("query_id", "vec_id", "score", "rank")
 
 
 # ---- model payloads
@@ -474,20 +497,17 @@ def q_chart_pivot(spark, sf):
     return p.na.fill(0)
 
 
-@query()
+@query("SELECT user_id::VARCHAR AS item_id, arg_max(event_type, (ts, event_id::VARCHAR)) AS decision, arg_max(event_id, (ts, event_id::VARCHAR))::VARCHAR AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def s_review_stream(spark, sf):
-    """The decision stream over the events: micro-batches end in the latest decision of each user."""
-    from pathlib import PurePosixPath
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + "/stream-" + uuid.uuid4().hex
+    """The decision stream over the events: each user's latest decision as the stream's state ends."""
+    root = shared_folder(spark) + "/stream-" + uuid.uuid4().hex
     source = table(spark, sf, "events")
-    folder, name = str(PurePosixPath(sf)), "events.parquet"
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    review_stream.upsert_sink(stream.withWatermark("ts", "1 hour"), root + "/out", root + "/checkpoint").awaitTermination()
-    out = spark.read.parquet(root + "/out")
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("batch"))
-    return out.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "decision")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf.rstrip('/')}/events.parquet*")
+    decisions = stream.select(F.col("user_id").alias("item_id"), F.col("event_type").alias("decision"), "ts", "event_id")
+    # files are in no order of time: nothing is late
+    changes = review_stream.latest_decisions(decisions, watermark="100 years")
+    review_stream.decision_sink(changes, root + "/out", root + "/checkpoint").awaitTermination()
+    return review_stream.decisions_of(spark, root + "/out").select("item_id", "decision", "event_id")
 
 
 # ---- whole comparisons, tables with holes, terms in any script

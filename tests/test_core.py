@@ -175,7 +175,7 @@ def test_review_keeps_and_reopens_decisions(spark):
     old = spark.createDataFrame([("a", "c1", 0.5, "t", "approved", ""), ("b", "c2", 0.5, "t", "approved", ""), ("g", "c3", 0.1, "t", "rejected", "")], "item_id string, chunk_id string, risk double, target_text string, status string, note string")
     new = spark.createDataFrame([("a", "c1", 0.5, "t"), ("b", "c2", 0.5, "t2"), ("n", "c4", 0.9, "t")], "item_id string, chunk_id string, risk double, target_text string")
     got = review.upsert(old, new)
-    assert {r["item_id"]: (r["status"], r["note"]) for r in got.collect()} == {"a": ("approved", ""), "b": ("pending", "reopened; was approved"), "g": ("rejected", ""), "n": ("pending", "")}
+    assert {r["item_id"]: (r["status"], r["note"]) for r in got.collect()} == {"a": ("approved", ""), "b": ("pending", "reopened on re-run: evidence changed (risk was 0.50, previously approved)"), "g": ("rejected", ""), "n": ("pending", "")}
     with pytest.raises(ValueError, match="zz"):
         review.decide(got, spark.createDataFrame([("zz", "approved")], "item_id string, status string"))
     done = review.decide(got, spark.createDataFrame([("n", "edited")], "item_id string, status string"))

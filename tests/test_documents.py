@@ -1,6 +1,7 @@
 """From regions to review: tables, chunks, terms, translation, risk, queue and reports."""
 
 import json
+import random
 import sys
 
 import pytest
@@ -273,11 +274,37 @@ def test_terms_by_substring(spark):
     texts = spark.createDataFrame([(1, "The BOTTOM LINE and 商誉减值"), (2, "netprofits"), (3, None)], "id int, t string")
     got = {r["id"]: [f["source"] for f in r["found"]] for r in glossary.text_terms(texts, ["id"], "t", terms).collect()}
     assert got == {1: ["Net profit", "商誉"], 2: ["profit"]}
-    assert {(r["id"], r["source"]) for r in glossary.term_rows(texts, ["id"], "t", terms, most=1).collect()} == {(1, "Net profit"), (1, "商誉"), (2, "profit")}
+    assert {(r["id"], r["source"]) for r in glossary.term_rows(texts, ["id"], "t", terms, every=1).collect()} == {(1, "Net profit"), (1, "商誉"), (2, "profit")}
     pairs = spark.createDataFrame([(1, "our profit rose", "利润上升"), (2, "our profit rose", "上升")], "id int, s string, t string")
     assert [(r["id"], r["context"]) for r in glossary.missing_terms(pairs, ["id"], "s", "t", terms).collect()] == [(2, "our profit rose")]
 
 
+def test_terms_by_their_rarest_piece(spark):
+    """200,000 names of any length and script against brute force, with nothing gathered on the driver but the lengths of pieces, four at most."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéß收入利润商誉") for _ in range(rng.randint(1, 7))) for _ in range(500)]
+    texts = [(i, None if i == 7 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(3, "e"), (3, "e"), (99, "lorem Ipsum " * 2_000 + "the very long NAME of a thing indeed")]
+    names = {t[i : i + n] for _, t in texts[:40] if t for i in range(0, len(t), 3) for n in (1, 2, 3, 5, 8, 9, 15, 40)} | {"very long name of a thing", "lorem ipsum lorem ipsum lorem", "Collect set", ""}
+    names |= {"".join(rng.choice("abcdexyz") for _ in range(rng.randint(6, 12))) for _ in range(200_000 - len(names))}
+    terms = spark.createDataFrame([(n, "x", [n[::-1]] if len(n) == 9 else None) for n in names], TERMS)
+    df = spark.createDataFrame(texts, "id int, t string").repartition(4)
+    collect, frame, seen = type(df).collect, type(df), []
+    frame.collect = lambda self: seen.append(self) or collect(self)
+    try:
+        found = glossary.term_rows(df, ["id"], "t", terms)
+        assert [f.columns for f in seen] == [["collect_set(length)"]]
+    finally:
+        frame.collect = collect
+    rows = [(r["id"], r["source"]) for r in found.collect()]
+    lows = [(i, (t or "").lower()) for i, t in texts]
+    want = set()
+    for n in names:
+        forms = {n.lower(), n[::-1].lower()} - {""} if len(n) == 9 else {n.lower()} - {""}
+        want |= {(i, n) for i, t in lows if any(f in t for f in forms)}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert glossary.term_rows(df, ["id"], "t", terms.where("false")).count() == 0 and glossary.term_rows(df.where("false"), ["id"], "t", terms).count() == 0
+
+
 def test_glossary_fold_and_build(spark, tmp_path):
     ev = spark.createDataFrame(
         [(1, "EBITDA", "a", "seed", 1, ["x"]), (2, "ebitda", "a", "curated", 2, ["y"]), (3, "EBITDA", "b", "model", 1, []), (4, "EBITDA", "c", "curated", 1, []), (5, "EBITDA", "d", "source_gloss", 1, []), (6, "EBITDA", "d", "source_gloss", 4, [])],
@@ -291,11 +318,15 @@ def test_glossary_fold_and_build(spark, tmp_path):
     seeds = spark.createDataFrame([("Revenue", "收入"), ("Goodwill", "商誉")], "source string, target string")
     texts = spark.createDataFrame([("d", 1, "Revenue grew"), ("d", 2, "Revenue（营业收入） and revenue"), ("d", 3, "revenue")], "doc_id string, seq int, t string")
     built, clash = glossary.build(texts, "doc_id", "t", seeds)
-    got = {r["source"]: (r["target"], r["authority"], r["frequency"]) for r in built.collect()}
-    assert got == {"Revenue": ("营业收入", "source_gloss", 1), "Goodwill": ("商誉", "seed", 1)} and clash.count() == 1
-    assert glossary.prune(built, drop_seed=True).count() == 1 and {r["authority"]: r["n"] for r in glossary.by_authority(built).collect()} == {"source_gloss": 1, "seed": 1}
-    looked = glossary.lookup(spark.createDataFrame([("REVENUE",), ("other",)], "w string"), "w", built.drop("doc_id"))
-    assert {(r["w"], r["translation"]) for r in looked.collect()} == {("REVENUE", "营业收入"), ("other", "other")}
+    # the lexicon stands once, under a null document
+    got = {(r["doc_id"], r["source"]): (r["target"], r["authority"], r["frequency"]) for r in built.collect()}
+    assert got == {("d", "Revenue"): ("营业收入", "source_gloss", 1), (None, "Revenue"): ("收入", "seed", 1), (None, "Goodwill"): ("商誉", "seed", 1)} and clash.count() == 1
+    assert {(r["doc_id"], r["source"], r["target"]) for r in glossary.of_document(built, "doc_id", "d").collect()} == {("d", "Revenue", "营业收入"), ("d", "Goodwill", "商誉")}
+    assert glossary.prune(built, drop_seed=True).count() == 1 and {r["authority"]: r["n"] for r in glossary.by_authority(glossary.of_document(built, "doc_id", "d")).collect()} == {"source_gloss": 1, "seed": 1}
+    looked = glossary.lookup(spark.createDataFrame([("d", "REVENUE"), ("e", "REVENUE"), ("d", "goodwill"), ("d", "other")], "doc_id string, w string"), "w", built, ["doc_id"])
+    assert {(r["doc_id"], r["w"], r["translation"]) for r in looked.collect()} == {("d", "REVENUE", "营业收入"), ("e", "REVENUE", "收入"), ("d", "goodwill", "商誉"), ("d", "other", "other")}
+    built = glossary.of_document(built, "doc_id", "d")
+    assert {r["translation"] for r in glossary.lookup(looked.where("doc_id = 'd'").select("w"), "w", built.drop("doc_id")).collect()} == {"营业收入", "商誉", "other"}
     cover = glossary.coverage(spark.createDataFrame([(1, "EPS and IFRS9 of XYZ"), (2, "plain")], "id int, t string"), ["id"], "t", spark.createDataFrame([("eps", "x")], "source string, target string"))
     assert {r["id"]: r["coverage"] for r in cover.collect()} == {1: 0.5, 2: 1.0}
     glossary.save(built.drop("doc_id"), clash, f"{tmp_path}/g")
