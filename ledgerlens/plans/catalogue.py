@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as tx
 from ledgerlens.functions.figures import figures
-from ledgerlens.functions.units import UNIT, chinese_numeral, unit_from_note
+from ledgerlens.functions.units import UNIT, unit_from_note
 from ledgerlens.operators import glossary, numdiff, retrieval, review, risk, sections, tables, translate
 from ledgerlens.operators.keep import shared_folder, writer
 from ledgerlens.streaming import review_stream
@@ -117,12 +117,6 @@ def q_token_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"), F.round(tx.numeric_density(F.col("text")), 6).alias("density"))
 
 
-@query("SELECT * FROM (VALUES (1, '全角 ABC 12', 0.285714::DOUBLE, 4), (2, '收入同比增长', 1.0::DOUBLE, 5), (3, 'plain', 0.0::DOUBLE, 2)) t(id, narrow, ratio, tokens)")
-def q_cjk_text(spark, sf):
-    d = spark.createDataFrame([(1, "全角　ＡＢＣ　１２"), (2, "收入同比增长"), (3, "plain")], "id int, t string").withColumn("narrow", tx.normalize_width(F.col("t")))
-    return d.select("id", "narrow", F.round(tx.cjk_ratio(F.col("narrow")), 6).alias("ratio"), tx.estimate_tokens(F.col("narrow")).alias("tokens"))
-
-
 @query("SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def q_escape_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.escape_html(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("escaped"))
@@ -155,11 +149,6 @@ def q_units_resolve(spark, sf):
     return figures(o.withColumn("h", hint), "t", ["o_orderkey"], F.col("h")).select("o_orderkey", "raw", "dimension", "value", "multiplier")
 
 
-@query("SELECT * FROM (VALUES ('一', 1::BIGINT), ('十二', 12), ('一千二百三十四', 1234), ('一亿', 100000000), ('三万五千', 35000), ('零', NULL), ('x', NULL)) t(numeral, value)")
-def q_cn_numeral(spark, sf):
-    return spark.createDataFrame([(x,) for x in ("一", "十二", "一千二百三十四", "一亿", "三万五千", "零", "x")], "numeral string").withColumn("value", chinese_numeral(F.col("numeral")))
-
-
 @query("WITH " + _LINES + " SELECT table_id, md5(string_agg(p, ',' ORDER BY p)) AS fingerprint FROM lines GROUP BY table_id")
 def q_fingerprint(spark, sf):
     return lines(spark, sf).groupBy("table_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("p")), ",")).alias("fingerprint"))
@@ -574,3 +563,6 @@ def q_terms_anywhere(spark, sf):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every statement table against its flawed copy, slot by slot, ranked by risk."""
     return q_top_tables(spark, sf_dir)
+
+
+from ledgerlens.plans import document_rows  # noqa: E402, F401 (it registers its queries here)
