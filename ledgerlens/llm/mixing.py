@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Scratch, spare_names
+from ledgerlens.llm.common import Scratch, counted_join, spare_names
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Target share of expected tokens for each domain of the label table.
@@ -171,8 +171,11 @@ def apply_mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float]
 
     Cases: as in mix; rows of equal identifier and text repeat alike; null texts stay null; no column name clashes with the operator's own.
     """
-    doc, copies, i = spare_names(documents, "doc", "copies", "i")
-    mixed = mix(documents, labels, targets).groupBy("doc").agg(F.first("copies")).toDF(doc, copies)
+    doc, key, copies, i, rows = spare_names(documents, "doc", "key", "copies", "i", "rows")
+    # the identifier stands beside its hash with the text, so that hashes that fall together do no harm; rows of one key, as of null identifiers with one text, may be many
+    by_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    mixed = mix(documents, labels, targets).groupBy("doc", by_id).agg(F.first("copies"), F.count(F.lit(1))).toDF(doc, key, copies, rows)
     text = F.coalesce("text", F.lit(""))
-    out = documents.withColumn(doc, F.xxhash64(F.col("doc_id").cast("string"), text)).join(mixed.where(F.col(copies) > 0), doc)
-    return out.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(doc, copies, i)
+    keyed = documents.withColumn(doc, F.xxhash64(F.col("doc_id").cast("string"), text)).withColumn(key, by_id)
+    out = counted_join(keyed, mixed.where(F.col(copies) > 0), [doc, key], rows)
+    return out.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(doc, key, copies, i)

@@ -43,6 +43,8 @@ GROUPS = {name: np.array([TERMS[w] for w in words]) for name, words in LEXICONS.
 WORD = re.compile(r"[^\W\d_]+")
 #: Voters that abstain unless they find something; a voter pair correlates beyond the label above this.
 CORRELATED = 0.6
+#: Rows on which two voters must both vote for half of their correlation to count.
+FEW = 20
 #: Standard deviations by which an induced term is over-represented in toxic rows at least, and the lexicons that such terms are dealt to.
 Z_TELLING, LISTS = 5.5, 4
 
@@ -108,7 +110,9 @@ def label_model(votes: np.ndarray, prior: float = 0.1, rounds: int = 100) -> tup
             break
     rest = fired - (post[:, None] * given_toxic + (1 - post)[:, None] * given_clean)
     rest /= np.sqrt((rest**2).mean(axis=0)) + 1e-9
-    corr = rest.T @ rest / max(1, n)
+    # agreement on a few rows tells little: a correlation counts by the rows that both voters vote on
+    both = fired.T @ fired
+    corr = rest.T @ rest / max(1, n) * both / (both + FEW)
     np.fill_diagonal(corr, 0)
     weight = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
     return squash(base + fired @ (own * weight)), accuracy, corr

@@ -156,6 +156,34 @@ def test_near_dedup_finds_edited_copies(spark):
     assert kept == set(range(40))
 
 
+def test_samples_count_repeats():
+    line, own = "one line of twelve words that stands in the text very often ", np.random.default_rng(2)
+    words = lambda n: " ".join(f"w{own.integers(1 << 40)}" for _ in range(n))
+    shared = 0
+    for _ in range(40):
+        a, b = (simhash.shingle_hashes(line * 300 + words(60), 5) for _ in range(2))
+        shared += bool(set(simhash.sample_keys(a)) & set(simhash.sample_keys(b)))
+    assert shared == 40
+
+
+def test_recall_of_near_duplicates(spark):
+    """Of all pairs within the radius, by brute force over the table, the share that the sampled shingles link."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id").collect()
+    prints = np.array([[int(r["fingerprint"][i : i + 16], 16) for i in range(0, 64, 16)] for r in rows], dtype=np.uint64)
+    component = np.array([r["component_id"] for r in rows])
+    pairs = found = 0
+    for at in range(0, len(rows), 200):
+        part = prints[at : at + 200]
+        apart = sum(np.bitwise_count(part[:, None, k] ^ prints[None, :, k]).astype(np.int32) for k in range(4))
+        i, j = np.nonzero(apart <= 51)
+        i += at
+        i, j = i[i < j], j[i < j]
+        pairs += len(i)
+        found += int((component[i] == component[j]).sum())
+    assert pairs > 500 and found / pairs >= 0.99, (pairs, found)
+
+
 def brute_spans(t):
     assign = re.compile("(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
     out = [("assign", *m.span()) for m in assign.finditer(t) if len(m[2]) >= 6]
