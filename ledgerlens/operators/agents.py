@@ -221,16 +221,3 @@ def leak_audit(payloads: DataFrame, cells: DataFrame, table: str = "table_id") -
     """(table, row, col, text): figures' cells whose text stands as a label in their table's payload; none, if figures are never sent."""
     numeric = cells.where(is_numeric_cell(F.col("text")))
     return numeric.join(payloads.select(table, "payload"), table).where(F.contains("payload", F.concat(F.lit('"text":"'), "text", F.lit('"')))).select(table, "row", "col", "text")
-
-
-def retrieved_terms(chunks: DataFrame, terms: DataFrame, k: int = 8) -> DataFrame:
-    """(doc_id, chunk_id, source, target): terms that are near a chunk's section and first 400 characters by TF-IDF, though not in its text."""
-    from ledgerlens.functions.text import tokenize
-    from ledgerlens.operators import retrieval
-
-    corpus = retrieval.postings(terms, "source", tokenize(F.concat_ws(" ", "source", "target")))
-    key = F.concat_ws("\x1f", *CHUNK).alias("__q")
-    query = chunks.select(key, F.concat_ws(" ", F.array_join("path", " "), F.substring("source_text", 1, 400)).alias("t"))
-    found = retrieval.tfidf_search(corpus, retrieval.postings(query, "__q", tokenize(F.col("t"))), "source", "__q", k)
-    out = found.join(terms.select("source", "target"), "source").select(F.split("__q", "\x1f")[0].alias("doc_id"), F.split("__q", "\x1f")[1].alias("chunk_id"), "source", "target")
-    return out.join(glossary.term_rows(chunks, CHUNK, "source_text", terms), [*CHUNK, "source"], "left_anti")

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import estimate_tokens, normalize_whitespace, numeric_density, slugify
-from ledgerlens.operators import glossary, sections
+from ledgerlens.functions.text import estimate_tokens, normalize_whitespace, numeric_density, slugify, tokenize
+from ledgerlens.operators import glossary, retrieval, sections
 
 #: What tells that a section is one whose figures are quoted.
 FINANCIAL = (
@@ -108,11 +108,11 @@ def _merge(chunks: list[dict], min_tokens: int, max_tokens: int) -> list[int]:
     return out
 
 
-def build(sectioned: DataFrame, terms: DataFrame | None = None, max_tokens: int = 1400, min_tokens: int = 60, context: int = 480, counter=estimate_tokens, **options) -> tuple[DataFrame, DataFrame]:
+def build(sectioned: DataFrame, terms: DataFrame | None = None, max_tokens: int = 1400, min_tokens: int = 60, context: int = 480, counter=estimate_tokens, retrieve: int = 0, **options) -> tuple[DataFrame, DataFrame]:
     """(chunks, blocks with their chunk_id): doc_id, chunk_no, chunk_id, path, page_start, page_end, source_text, tokens, density, is_financial, n_tables, table_positions, prefix_context, terms, unknown_terms.
 
     Small chunks join the one before; the last `context` characters before are context that is not translated; of `terms` (key, source, target, aliases) a
-    chunk has those in its text, the longest first, 40 at most, or else those of the chunk before that has any.
+    chunk has those in its text, the longest first, then with `retrieve` those of the so many nearest ones by TF-IDF that are not, 40 at most; or else those of the chunk before that has any.
     """
     packed = pack(sectioned, max_tokens, min_tokens, counter=counter, **options)
     first = packed.groupBy("doc_id", "chunk_id").agg(F.min("pos").alias("at"), F.first("path").alias("path"), F.bool_or(F.col("kind") == "table").alias("tables"), counter(_joined("rendered")).cast("int").alias("tokens"))
@@ -136,15 +136,31 @@ def build(sectioned: DataFrame, terms: DataFrame | None = None, max_tokens: int
     before = F.lag("source_text").over(w)
     c = c.withColumn("tokens", counter(F.col("source_text"))).withColumn("density", numeric_density(F.col("source_text"))).withColumn("is_financial", is_financial(F.col("path")))
     c = c.withColumn("prefix_context", F.coalesce(normalize_whitespace(F.right(before, F.lit(context)), True), F.lit("")))
+    none = F.array().cast("array<struct<source: string, target: string>>")
     if terms is None:
-        empty = F.array().cast("array<struct<source: string, target: string>>")
-        return c.withColumn("terms", empty).withColumn("unknown_terms", F.slice(glossary.candidates(F.col("source_text")), 1, 30)), blocks
-    found = glossary.text_terms(c.select("doc_id", "chunk_no", "source_text"), ["doc_id", "chunk_no"], "source_text", terms)
-    c = c.join(found, ["doc_id", "chunk_no"], "left")
-    own = F.nullif(F.slice("found", 1, 40), F.array().cast("array<struct<source: string, target: string>>"))
-    c = c.withColumn("terms", F.coalesce(own, F.last(own, ignorenulls=True).over(w), F.array().cast("array<struct<source: string, target: string>>")))
+        return c.withColumn("terms", none).withColumn("unknown_terms", F.slice(glossary.candidates(F.col("source_text")), 1, 30)), blocks
+    key = ["doc_id", "chunk_no"]
+    found = glossary.text_terms(c.select(*key, "source_text"), key, "source_text", terms)
+    c = c.join(found, key, "left")
+    if retrieve:
+        near = retrieved_terms(c, terms, retrieve).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct("source", "target").alias("t")))), lambda x: x["t"]).alias("near"))
+        c = c.join(near, key, "left").withColumn("found", F.concat(F.coalesce("found", none), F.coalesce("near", none))).drop("near")
+    own = F.nullif(F.slice("found", 1, 40), none)
+    c = c.withColumn("terms", F.coalesce(own, F.last(own, ignorenulls=True).over(w), none))
     seen = F.coalesce(F.col("found.source"), F.array().cast("array<string>"))
-    return c.withColumn("unknown_terms", F.array_except(F.slice(glossary.candidates(F.col("source_text")), 1, 30), seen)).drop("found"), blocks
+    return c.withColumn("unknown_terms", F.array_except(F.slice(glossary.candidates(F.col("source_text"), known=seen), 1, 30), seen)).drop("found"), blocks
+
+
+def retrieved_terms(chunks: DataFrame, terms: DataFrame, k: int = 8) -> DataFrame:
+    """(doc_id, chunk_no, source, target, rank): of the k terms that are nearest to a chunk's section and first 400 characters by TF-IDF, those whose source and aliases are not in its text."""
+    aliases = F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " ") if "aliases" in terms.columns else F.lit("")
+    named = terms.groupBy("source").agg(F.min("target").alias("target"), F.first(aliases).alias("aliases"))
+    corpus = retrieval.postings(named, "source", tokenize(F.concat_ws(" ", "source", "target", "aliases")))
+    asked = chunks.select(F.xxhash64("doc_id", "chunk_no").alias("__q"), F.concat_ws(" ", F.array_join("path", " "), F.substring("source_text", 1, 400)).alias("t"))
+    near = retrieval.tfidf_search(corpus, retrieval.postings(asked, "__q", tokenize(F.col("t"))), "source", "__q", k)
+    held = chunks.select("doc_id", "chunk_no", F.xxhash64("doc_id", "chunk_no").alias("__q"), F.coalesce("found.source", F.array().cast("array<string>")).alias("held"))
+    out = held.join(near, "__q").where(~F.array_contains("held", F.col("source"))).join(named, "source")
+    return out.select("doc_id", "chunk_no", "source", "target", "rank")
 
 
 def _joined(column: str) -> Column:

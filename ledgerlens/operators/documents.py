@@ -206,6 +206,39 @@ def numeric_ticks(labels: Column) -> Column:
     return F.filter(labels, lambda v: F.trim(v).rlike(TICK))
 
 
+def chart_labels(charts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label): names of series, categories and axis labels of charts (column chart, as layout.CHART), each once; figures on axes are none."""
+    series = F.transform("chart.series", lambda s: F.concat(F.array(s["name"]), F.coalesce(F.map_keys(s["points"]), F.array().cast("array<string>"))))
+    axes = F.flatten(F.map_values("chart.axis_labels"))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(F.coalesce(F.flatten(series), none), F.coalesce(axes, none)))
+    return charts.select(*keys, F.explode(F.filter(every, lambda v: v.isNotNull() & (F.trim(v) != "") & ~F.trim(v).rlike(TICK))).alias("label"))
+
+
+def translate_chart_labels(charts: DataFrame, keys: list[str], translations: DataFrame) -> DataFrame:
+    """charts with the labels of their series, categories and axes in the target language, in place; values and figures on axes stay.
+
+    translations: (label, translation), and any of `keys` where they hold for some charts alone. The labels of all charts meet them by one join; a chart's own (few) are brought back as a map. Of two categories
+    that one translation names, the value of the later stands. Labels without a translation stay; so does a chart without any.
+    """
+    scope = [k for k in keys if k in translations.columns]
+    first = translations.where("label is not null and translation is not null").groupBy(*scope, "label").agg(F.min("translation").alias("translation"))
+    said = chart_labels(charts, keys).join(first, [*scope, "label"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", "translation"))).alias("__said"))
+    out = charts.join(said, keys, "left")
+    to = lambda v: F.coalesce(F.try_element_at("__said", v), v)
+
+    def points(p: Column) -> Column:
+        entries = F.transform(F.map_entries(p), lambda e: F.struct(to(e["key"]).alias("key"), e["value"].alias("value")))
+        names = F.transform(entries, lambda e: e["key"])
+        last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+        return F.map_from_entries(last)
+
+    series = F.transform("chart.series", lambda s: s.withField("name", to(s["name"])).withField("points", F.when(s["points"].isNotNull(), points(s["points"]))))
+    axes = F.transform_values("chart.axis_labels", lambda _, labels: F.transform(labels, to))
+    chart = F.col("chart").withField("series", series).withField("axis_labels", axes)
+    return out.withColumn("chart", F.when(F.col("__said").isNull(), F.col("chart")).otherwise(chart)).drop("__said")
+
+
 def document_markdown(rendered: DataFrame) -> DataFrame:
     """(doc_id, markdown) of blocks with `rendered`: a comment at each page's begin, then its blocks in order."""
     first = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("pos")) == 1

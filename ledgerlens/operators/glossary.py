@@ -46,10 +46,28 @@ def title_phrases(text: Column) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TITLE), F.lit(0))), lambda p: F.length(p).between(6, 60))
 
 
-def candidates(text: Column, stop: tuple[str, ...] = (), limit: int = 400) -> Column:
-    """Term candidates of a text: acronyms that are not in `stop`, then title phrases; each once whatever its case, at most `limit`."""
-    known = F.filter(acronyms(text), lambda a: ~a.isin(*stop)) if stop else acronyms(text)
-    found = F.concat(known, title_phrases(text))
+#: Abbreviations that are no terms, and those that a Chinese report keeps in Latin script.
+NO_TERMS = (
+    "THE", "AND", "FOR", "NOT", "ALL", "ANY", "OUR", "ITS", "YOU", "MAY", "CAN", "HK", "US", "UK", "EU", "PRC", "LTD", "PLC", "INC", "CO", "NO", "VS", "ESG", "AGM", "EGM", "PDF", "HTML", "URL", "API", "ID", "OK", "N", "A",
+)
+PRESERVED = (
+    "IFRS", "HKFRS", "IFRIC", "GAAP", "RMB", "CNY", "HKD", "USD", "EUR", "JPY", "IPO", "REIT", "ETF", "SPV", "JV", "MOU", "NDA", "SLA", "KPI", "ROI", "CEO", "CFO", "COO", "CTO", "CIO", "MD", "VP", "HR", "IT", "R&D",
+    "EBIT", "EBITDA", "EPS", "ROE", "ROA", "ROIC", "NAV", "NTA", "PE", "PB", "CAGR", "TSR", "WACC", "DCF", "NPV", "IRR", "PPE", "VAT", "CIT", "EIT", "Q1", "Q2", "Q3", "Q4", "H1", "H2", "FY", "YTD", "YOY", "MOM", "QOQ",
+    "AI", "ML", "SaaS", "IaaS", "PaaS", "CRM", "ERP", "IoT", "API", "A", "H", "B", "X", "N", "T", "M", "U", "DRA",
+)
+#: What an abbreviation and a phrase of capitalised words are; neither may stand within a word of any script.
+ACRONYM = r"(?<![\p{L}\p{N}_])[A-Z]{2,8}(?:/[A-Z]{2,4})?(?![\p{L}\p{N}_])"
+PHRASE = r"(?<![\p{L}\p{N}_])[A-Z][a-z]{2,}(?:\s+(?:of|and|the|for)?\s*[A-Z][a-z]{2,}){1,3}(?![\p{L}\p{N}_])"
+
+
+def candidates(text: Column, stop: tuple[str, ...] = NO_TERMS + PRESERVED, limit: int = 400, known: Column | None = None) -> Column:
+    """Term candidates of a text: abbreviations that are not in `stop`, then the `known` terms that the text holds (an array, if given), then phrases of capitalised words of 6 to 60 characters; each once whatever its case, at most `limit`."""
+    every = lambda pattern: F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    short = every(ACRONYM)
+    if stop:
+        short = F.filter(short, lambda a: ~a.isin(*stop))
+    held = F.array().cast("array<string>") if known is None else F.coalesce(known, F.array().cast("array<string>"))
+    found = F.concat(short, held, F.filter(every(PHRASE), lambda p: F.length(p).between(6, 60)))
     low = F.transform(found, F.lower)
     first = F.filter(found, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
     return F.coalesce(F.slice(first, 1, limit), F.array().cast("array<string>"))
@@ -304,8 +322,9 @@ def lookup(df: DataFrame, term: str, entries: DataFrame, scope: list[str] | None
 
 
 def coverage(texts: DataFrame, keys: list[str], text_col: str, entries: DataFrame) -> DataFrame:
-    """(keys, coverage): share of a text's candidates that have an entry; 1 without candidates."""
-    c = texts.select(*keys, F.explode_outer(candidates(F.col(text_col))).alias("term"))
+    """(keys, coverage): share of a text's candidates (terms of entries that it holds among them) that have an entry; 1 without candidates."""
+    held = term_rows(texts, keys, text_col, entries).groupBy(*keys).agg(F.array_sort(F.collect_set("source")).alias("__held"))
+    c = texts.join(held, keys, "left").select(*keys, F.explode_outer(candidates(F.col(text_col), known=F.col("__held"))).alias("term"))
     known = c.join(entries.select(F.lower("source").alias("k"), F.lit(1).alias("hit")).distinct(), F.lower("term") == F.col("k"), "left")
     return known.groupBy(*keys).agg(F.coalesce(F.count("hit") / F.nullif(F.count("term"), F.lit(0)), F.lit(1.0)).alias("coverage"))
 
@@ -329,8 +348,19 @@ def load(spark, path: str) -> DataFrame:
     at = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
     entries = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{ENTRY}>")).when(F.get_json_object("value", "$.entries").isNotNull(), F.from_json("value", f"struct<entries: array<{ENTRY}>>")["entries"]).otherwise(F.array(F.from_json("value", ENTRY)))
     e = raw.select(at.alias("at"), F.posexplode(entries).alias("i", "e"))
-    w = Window.orderBy("at", "i")  # a glossary is small: its entries are read in the order of the file
+    e = e.orderBy("at", "i").withColumn("seq", F.monotonically_increasing_id())  # ranges in the order of the files, numbered without one task for all
     return e.select(
-        F.row_number().over(w).alias("seq"), F.trim(F.coalesce("e.source", "e.term", F.lit(""))).alias("source"), F.trim(F.coalesce("e.target", "e.translation", F.lit(""))).alias("target"), F.coalesce("e.authority", F.lit("curated")).alias("authority"),
+        "seq", F.trim(F.coalesce("e.source", "e.term", F.lit(""))).alias("source"), F.trim(F.coalesce("e.target", "e.translation", F.lit(""))).alias("target"), F.coalesce("e.authority", F.lit("curated")).alias("authority"),
         F.coalesce("e.frequency", F.lit(1)).alias("frequency"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"),
     )
+
+
+def load_conflicts(spark, path: str) -> DataFrame:
+    """Conflicts (source, existing, incoming, reason) of a saved glossary: the folder that `save` wrote, or JSON files that are an object with `conflicts`; none where there are none."""
+    clash = "source string, key string, existing string, incoming string, reason string"
+    if path.rstrip("/").endswith("conflicts"):
+        rows = spark.read.schema(clash).json(path)
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "conflicts array<struct<" + clash.replace(" string", ": string") + ">>")["conflicts"].alias("c"))
+        rows = whole.select(F.inline("c"))
+    return rows.select(F.coalesce("source", "key").alias("source"), "existing", "incoming", "reason")

@@ -106,7 +106,7 @@ def _html(blocks: DataFrame, cells: DataFrame, group: str, name: str, mark: Colu
 
 def write_run(outcome: dict[str, DataFrame], path: str, points: DataFrame | None = None) -> None:
     """A run's outputs in folders under path: target.md (one file line group for each document), report.json (summary by document), chunks.json, findings.json, and the review bundle."""
-    md = target_markdown(outcome, points).withColumn("n", F.row_number().over(Window.orderBy("doc_id"))).select("n", "markdown")
+    md = target_markdown(outcome, points).orderBy("doc_id").withColumn("n", F.monotonically_increasing_id()).select("n", "markdown")  # ranges of documents, no single task
     review.write_lines(md, f"{path}/target.md")
     summary(outcome).write.mode("overwrite").json(f"{path}/report.json")
     outcome["scored"].write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/chunks.json")

@@ -91,6 +91,37 @@ def vector_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+# ---- an index that grows
+
+
+def index_texts(texts: DataFrame, key: str, tokens: Column, path: str) -> DataFrame:
+    """Postings (key, token, tf) of the texts, kept under path: only texts whose key is not there yet are tokenised, and their postings are added.
+
+    A run's postings go to a folder named by what it adds, so a run that is made again replaces its own. A text that has changed must come under a new key.
+    """
+    spark = texts.sparkSession
+    kind = dict(texts.dtypes)[key]
+    have = load_postings(spark, path, key, kind)
+    new = texts if have is None else texts.join(have.select(key).distinct(), key, "left_anti")
+    added = postings(new, key, tokens)
+    # a text without tokens is remembered by an empty one, so that it is not taken up again; readers leave it out
+    bare = new.select(key).distinct().join(added.select(key).distinct(), key, "left_anti").select(key, F.lit("").alias("token"), F.lit(0).cast("bigint").alias("tf"))
+    n, digest = new.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64(key), F.lit(1 << 31)))).first()
+    if n:
+        added.unionByName(bare).write.mode("overwrite").parquet(f"{path.rstrip('/')}/added-{n}-{digest or 0:x}")
+    found = load_postings(spark, path, key, kind)
+    return added if found is None else found.where("tf > 0")
+
+
+def load_postings(spark, path: str, key: str, kind: str) -> DataFrame | None:
+    """All postings kept under path, those of texts without tokens (tf 0) too; none if there are none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not files.listStatus(folder):
+        return None
+    return spark.read.schema(f"{key} {kind}, token string, tf bigint").parquet(f"{path.rstrip('/')}/added-*")
+
+
 # ---- an inverted-file index over vectors
 
 

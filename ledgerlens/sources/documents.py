@@ -12,7 +12,7 @@ from ledgerlens.operators import documents, tables
 from ledgerlens.sources import layout
 
 CELL = "struct<text: string, row: int, col: int, row_span: int, col_span: int, is_header: boolean>"
-BLOCK = f"struct<kind: string, text: string, caption: string, units_note: string, heading_level: int, font_size: double, bbox: array<double>, n_rows: int, n_cols: int, cells: array<{CELL}>, conflicts: array<struct<row: int, col: int, kept: string, dropped: string, reason: string>>, warnings: array<string>, chart_type: string, description: string, series: array<struct<name: string, label: string, points: map<string, string>, value: string>>, image_ref: string, alt_text: string>"
+BLOCK = f"struct<kind: string, text: string, caption: string, units_note: string, heading_level: int, font_size: double, bbox: array<double>, n_rows: int, n_cols: int, cells: array<{CELL}>, conflicts: array<struct<row: int, col: int, kept: string, dropped: string, reason: string>>, warnings: array<string>, chart_type: string, description: string, axis_labels: map<string, array<string>>, series: array<struct<name: string, label: string, points: map<string, string>, value: string>>, image_ref: string, alt_text: string>"
 DOCUMENT = f"doc_id string, source string, parser_version string, pages array<struct<index: int, width: double, height: double, blocks: array<{BLOCK}>>>, metadata map<string, string>, warnings array<string>"
 IMAGES = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff")
 
@@ -29,7 +29,7 @@ def document_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     b = b.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index", "i")) - 1)
     is_table = F.col("b.kind") == "table"
     b = b.withColumn("table_id", F.when(is_table, F.concat_ws("/", "doc_id", "page_index", "i")))
-    chart = F.struct(F.col("b.chart_type").alias("chart_type"), F.col("b.description").alias("description"), F.col("b.series").alias("series"))
+    chart = F.struct(F.col("b.chart_type").alias("chart_type"), F.col("b.description").alias("description"), F.col("b.series").alias("series"), F.col("b.axis_labels").alias("axis_labels"))
     text = lambda c: F.coalesce(f"b.{c}", F.lit("")).alias(c)
     blocks = b.select("doc_id", "page_index", "pos", "table_id", F.coalesce("b.kind", F.lit("text")).alias("kind"), text("text"), text("caption"), text("units_note"), F.coalesce("b.font_size", F.lit(0.0)).alias("font_size"), "b.heading_level", chart.cast(layout.CHART).alias("chart"), F.col("b.bbox").alias("box"))
     t = b.where(is_table)
@@ -51,7 +51,7 @@ def to_documents(blocks: DataFrame, built: DataFrame, cells: DataFrame, conflict
     b = blocks.join(t, "table_id", "left").join(c, "table_id", "left").join(k, "table_id", "left")
     block = F.struct(
         "kind", some("text").alias("text"), some("caption").alias("caption"), F.coalesce("note", some("units_note")).alias("units_note"), "heading_level", F.when(F.col("font_size") > 0, F.col("font_size")).alias("font_size"), F.col("box").alias("bbox"),
-        "n_rows", "n_cols", "cells", "conflicts", "warnings", F.nullif("chart.chart_type", F.lit("")).alias("chart_type"), F.nullif("chart.description", F.lit("")).alias("description"), F.col("chart.series").alias("series"),
+        "n_rows", "n_cols", "cells", "conflicts", "warnings", F.nullif("chart.chart_type", F.lit("")).alias("chart_type"), F.nullif("chart.description", F.lit("")).alias("description"), F.col("chart.axis_labels").alias("axis_labels"), F.col("chart.series").alias("series"),
     )
     pages = b.groupBy("doc_id", "page_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json(block).alias("j")))), lambda x: x["j"]).alias("bs"))
     page = F.concat(F.lit('{"index":'), F.col("page_index").cast("string"), F.lit(',"blocks":['), F.array_join("bs", ","), F.lit("]}"))

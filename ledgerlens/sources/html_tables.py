@@ -120,16 +120,37 @@ def html_cells(df: DataFrame, key: str, html_col: str) -> DataFrame:
     return df.select(key, F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(run, f"{key} {kind}, row int, col int, row_span int, col_span int, is_header boolean, text string")
 
 
+#: A string of JSON, or outside of strings a comma before a closing bracket, or a brace; and how an object begins.
+STRAY = re.compile(r'"(?:[^"\\]|\\.)*+"|,(?=\s*[}\]])', re.DOTALL)
+OBJECT = re.compile(r'\{\s*(?:\}|"(?:[^"\\]|\\.)*+"\s*:)', re.DOTALL)
+BRACE = re.compile(r'"(?:[^"\\]|\\.)*+"|[{}]', re.DOTALL)
+
+
 def reply_json(text: str | None) -> str | None:
-    """The first JSON object of a model's reply, without code fences and trailing commas; null if there is none."""
+    """The first JSON object of a model's reply, without code fences and without commas before a closing bracket (outside of strings); null if there is none.
+
+    Commas and matching braces are found in one pass each from the first brace on, and only a brace that is matched is tried; if none of these begins an object (a quote in the prose may turn strings inside out), every
+    brace is tried as it stands. A trial ends at the first fault, so time grows as the reply's length times the depth of what is broken; an object too deep for the parser counts as none.
+    """
     text = re.sub(r"```[a-z]*", "", text or "")
+    clean = STRAY.sub(lambda m: "" if m[0] == "," else m[0], text[text.find("{") :]) if "{" in text else ""
+    waiting, matched = [], []
+    for m in BRACE.finditer(clean):
+        if m[0] == "{":
+            waiting.append(m.start())
+        elif m[0] == "}" and waiting:
+            matched.append(waiting.pop())
     decoder = json.JSONDecoder()
-    for m in re.finditer(r"\{", text):
-        for candidate in (text[m.start() :], re.sub(r",(\s*[}\]])", r"\1", text[m.start() :])):
+    for given, places in ((clean, sorted(matched)), (text, (m.start() for m in re.finditer(r"\{", text)))):
+        for at in places:
+            if not OBJECT.match(given, at):
+                continue
             try:
-                found, _ = decoder.raw_decode(candidate)
+                found, _ = decoder.raw_decode(given, at)
             except ValueError:
                 continue
+            except RecursionError:
+                return None
             return json.dumps(found, ensure_ascii=False)
     return None
 

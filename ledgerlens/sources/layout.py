@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELL = "struct<text: string, bbox: array<double>, row: int, col: int, row_span: int, col_span: int, rowspan: int, colspan: int, is_header: boolean>"
-CHART = "struct<chart_type: string, description: string, series: array<struct<name: string, label: string, points: map<string, string>, value: string>>>"
+CHART = "struct<chart_type: string, description: string, series: array<struct<name: string, label: string, points: map<string, string>, value: string>>, axis_labels: map<string, array<string>>>"
 REGION = f"struct<label: string, type: string, bbox: array<double>, text: string, content: string, caption: string, font_size: double, units: string, units_note: string, cells: array<{CELL}>, chart: {CHART}>"
 PAGE = f"struct<page: int, page_index: int, width: double, height: double, regions: array<{REGION}>>"
 LAYOUT = f"pages array<{PAGE}>"

@@ -148,3 +148,102 @@ def test_decisions_settle_and_late_ones_are_left_out(spark, tmp_path):
     got = {r["item_id"]: (r["decision"], r["settled"]) for r in run_stream(spark, tmp_path, files, watermark="2 days", settle_ms=3 * 86_400_000).collect()}
     # a was settled, and its late decision does not open it again; b's later event of the same time counts
     assert got["a"] == ("approved", True) and got["b"][0] == "edited" and got["c"][0] == "approved"
+
+
+def test_queue_versions(spark, tmp_path, monkeypatch):
+    from ledgerlens.operators.queue_table import Conflict, QueueTable
+
+    item = "item_id string, chunk_id string, risk double, target_text string"
+    run = lambda n, text="t": spark.createDataFrame([(f"rv-{i}", f"c{i}", i / 10, text) for i in range(n)], item)
+    q = QueueTable(spark, f"file://{tmp_path}/queue")
+    assert q.latest() is None and q.read() is None
+    assert q.upsert(run(3), token="run 1") == 1 and q.upsert(run(3), token="run 1") == 1  # made again: nothing changes
+    assert q.decide(spark.createDataFrame([("rv-1", "approved")], "item_id string, status string")) == 2
+    assert q.upsert(run(4, "t2")) == 3
+    states = lambda v=None: {r["item_id"]: (r["status"], r["target_text"]) for r in q.read(v).collect()}
+    assert states(1)["rv-1"] == ("pending", "t") and states(2)["rv-1"] == ("approved", "t") and states()["rv-1"] == ("pending", "t2") and len(states()) == 4
+    # a writer that is killed after it has written its items leaves the last version as it was
+    monkeypatch.setattr(QueueTable, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        q.upsert(run(9))
+    monkeypatch.undo()
+    assert q.versions() == [1, 2, 3] and len(states()) == 4
+    # another writer commits while this one makes its change: the change is made anew of what the other has left
+    made = []
+
+    def change(old):
+        if not made:
+            QueueTable(spark, q.path).append(spark.createDataFrame([("rv-x", "cx", 0.5, "x", "pending", "")], item + ", status string, note string"))
+        made.append(old.count())
+        return old
+
+    assert q.commit(change) == 5 and made == [4, 5] and len(states()) == 5
+    with pytest.raises(Conflict):
+        q._commit(5, [], "z")
+    q.append(spark.createDataFrame([("rv-x", "cx", 0.7, "later", "edited", "")], item + ", status string, note string"))
+    assert states()["rv-x"] == ("edited", "later") and len(q.manifest(6)["folders"]) == 2
+    assert q.compact() == 7 and len(q.manifest(7)["folders"]) == 1 and states()["rv-x"] == ("edited", "later")
+    q.expire(keep=2)
+    assert q.versions() == [6, 7] and states(6) == states(7) and len(list((tmp_path / "queue" / "data").iterdir())) == 3
+
+
+def test_index_grows_by_what_is_new(spark, tmp_path):
+    from ledgerlens.functions.text import tokenize
+
+    texts = spark.createDataFrame([(i, f"word{i % 7} common {i}.5" if i % 5 else None) for i in range(40)], "id int, t string")
+    path = f"file://{tmp_path}/index"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(retrieval.postings(texts, "id", tokenize(F.col("t"))))
+    assert rows(retrieval.index_texts(texts.where("id < 10"), "id", tokenize(F.col("t")), path)) == [r for r in whole if r[0] < 10]
+    assert rows(retrieval.index_texts(texts, "id", tokenize(F.col("t")), path)) == whole
+    before = sorted(p.name for p in (tmp_path / "index").iterdir())
+    assert rows(retrieval.index_texts(texts, "id", tokenize(F.lit("never read again")), path)) == whole
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == before and len(before) == 2
+
+
+def test_chart_labels_in_place(spark):
+    from ledgerlens.operators import documents
+    from ledgerlens.sources import layout
+
+    chart = '{"chart_type": "bar", "series": [{"name": "Revenue", "points": {"North": "1", "Nord": "2", "2023": "3"}}, {"name": null, "points": null}], "axis_labels": {"x": ["North", "2023", "Other"], "y": ["100%"]}}'
+    df = spark.createDataFrame([(1, chart), (2, chart), (3, None)], "id int, j string").select("id", F.from_json("j", layout.CHART).alias("chart"))
+    names = spark.createDataFrame([(1, "Revenue", "收入"), (1, "North", "北"), (1, "Nord", "北"), (1, "2023", "never"), (3, "Revenue", "x")], "id int, label string, translation string")
+    got = {r["id"]: r["chart"] for r in documents.translate_chart_labels(df, ["id"], names).collect()}
+    assert [s["name"] for s in got[1]["series"]] == ["收入", None] and got[1]["series"][0]["points"] == {"北": "2", "2023": "3"} and got[1]["axis_labels"] == {"x": ["北", "2023", "Other"], "y": ["100%"]}
+    assert got[2] == df.where("id = 2").first()["chart"] and got[3] is None
+
+
+def test_chunks_take_near_terms(spark):
+    from ledgerlens.operators import chunks, glossary
+
+    c = spark.createDataFrame([("d", 0, ["Goodwill"], "The impairment of the asset; EPS, IFRS and XYZ. Deferred Tax Asset", [("asset", "资产")])], "doc_id string, chunk_no int, path array<string>, source_text string, found array<struct<source: string, target: string>>")
+    terms = spark.createDataFrame([("asset", "资产", None), ("Goodwill", "商誉", None), ("Revenue", "收入", ["turnover"])], "source string, target string, aliases array<string>")
+    assert [(r["source"], r["rank"]) for r in chunks.retrieved_terms(c, terms).collect()] == [("Goodwill", 1)] or [r["source"] for r in chunks.retrieved_terms(c, terms).collect()] == ["Goodwill"]
+    text = F.col("source_text")
+    assert c.select(glossary.candidates(text)).first()[0] == ["XYZ", "Deferred Tax Asset"]
+    assert c.select(glossary.candidates(text, known=F.col("found.source"))).first()[0] == ["XYZ", "asset", "Deferred Tax Asset"]
+    blocks = spark.createDataFrame([("d", i, i, "text", t, 0.0, lv, t, None) for i, (t, lv) in enumerate([("Goodwill", 1), ("The impairment of the asset", None)])], "doc_id string, pos int, page_index int, kind string, text string, font_size double, heading_level int, rendered string, table_id string")
+    made = chunks.build(chunks.in_sections(blocks), terms, retrieve=8)[0].first()
+    assert [t["source"] for t in made["terms"]][:2] == ["Goodwill", "asset"]
+
+
+def test_replies_of_hostile_length():
+    import time
+
+    from ledgerlens.sources.html_tables import reply_json
+
+    assert reply_json('{"a": "x,}", "b": [1, 2, ], }') == '{"a": "x,}", "b": [1, 2]}' and reply_json('it "{" {"q": "\\"}"}') == '{"q": "\\"}"}' and reply_json('{"a": {"b": 1}') == '{"b": 1}'
+    for text in ("{" * 200_000, '{"a":' * 60_000, '{"a":' * 60_000 + "}" * 60_000, "{x" * 50_000 + "}" * 50_000, "{" + ", " * 200_000, '{"' * 100_000):
+        began = time.time()
+        assert reply_json(text) is None and time.time() - began < 5
+
+
+def test_conflicts_of_a_saved_glossary(spark, tmp_path):
+    from ledgerlens.operators import glossary
+
+    ev = spark.createDataFrame([(1, "EBITDA", "a", "seed", 1), (2, "ebitda", "b", "seed", 1)], "seq int, source string, target string, authority string, frequency int")
+    glossary.save(*glossary.fold(ev), f"{tmp_path}/g")
+    assert [(r["source"], r["incoming"]) for r in glossary.load_conflicts(spark, f"{tmp_path}/g/conflicts").collect()] == [("EBITDA", "b")]
+    (tmp_path / "one.json").write_text('{"entries": [{"source": "x", "target": "y"}, {"source": "z", "target": "w"}], "conflicts": [{"source": "x", "existing": "y", "incoming": "q", "reason": "r"}]}')
+    assert glossary.load_conflicts(spark, f"{tmp_path}/one.json").first()["incoming"] == "q"
+    assert [(r["seq"], r["source"]) for r in glossary.load(spark, f"{tmp_path}/one.json").orderBy("seq").collect()] == [(0, "x"), (1, "z")]
