@@ -52,16 +52,16 @@ def near_pairs(missing: DataFrame, added: DataFrame, owner: list[str], max_edits
     """
     if max_edits > SLIP or relative > NEAR:
         raise ValueError(f"keys are made for {SLIP} edits and a relative change of {NEAR}")
-    digits = lambda df: df.withColumn("digits", F.regexp_replace("raw", "[^0-9]", "")).withColumn("n", F.length("digits"))
+    # owners may have any names
+    digits = lambda df: df.withColumn("__digits", F.regexp_replace("raw", "[^0-9]", "")).withColumn("__n", F.length("__digits"))
     band = F.floor(F.log(F.greatest(F.abs("value"), F.lit(1e-12))) / BAND).cast("int")
-    keys = lambda df, spread: df.withColumn("key", F.explode(F.concat(F.transform(_shortened(F.col("digits")), lambda k: F.concat(F.lit("d"), k)), F.transform(F.array(*[band + i for i in spread]), lambda v: F.concat(F.lit("v"), v.cast("string"))))))
-    met = [*owner, "dimension", "n", "key"]
-    s = keys(digits(missing), (-1, 0, 1)).select(*met, F.struct("ordinal", "raw", "value", "digits").alias("s"))
-    t = keys(digits(added), (0,)).select(*met, F.struct("ordinal", "raw", "value", "digits").alias("t"))
-    pairs = s.join(t, met).select(*owner, "s", "t").distinct()
-    change = F.abs(F.col("s.value") - F.col("t.value")) / F.greatest(F.abs("s.value"), F.lit(1e-12))
-    pairs = pairs.withColumn("edits", F.levenshtein("s.digits", "t.digits")).withColumn("change", change).where((F.col("edits") <= max_edits) | (F.col("change") <= relative))
-    return pairs.select(*owner, F.col("s.ordinal").alias("source_ordinal"), F.col("t.ordinal").alias("target_ordinal"), F.col("s.raw").alias("source_raw"), F.col("t.raw").alias("target_raw"), "edits", "change")
+    keys = lambda df, spread: df.withColumn("__key", F.explode(F.concat(F.transform(_shortened(F.col("__digits")), lambda k: F.concat(F.lit("d"), k)), F.transform(F.array(*[band + i for i in spread]), lambda v: F.concat(F.lit("v"), v.cast("string"))))))
+    met = [*owner, "dimension", "__n", "__key"]
+    figure = lambda name: F.struct("ordinal", "raw", "value", F.col("__digits").alias("digits")).alias(name)
+    pairs = keys(digits(missing), (-1, 0, 1)).select(*met, figure("__s")).join(keys(digits(added), (0,)).select(*met, figure("__t")), met).select(*owner, "__s", "__t").distinct()
+    change = F.abs(F.col("__s.value") - F.col("__t.value")) / F.greatest(F.abs("__s.value"), F.lit(1e-12))
+    pairs = pairs.withColumn("edits", F.levenshtein("__s.digits", "__t.digits")).withColumn("change", change).where((F.col("edits") <= max_edits) | (F.col("change") <= relative))
+    return pairs.select(*owner, F.col("__s.ordinal").alias("source_ordinal"), F.col("__t.ordinal").alias("target_ordinal"), F.col("__s.raw").alias("source_raw"), F.col("__t.raw").alias("target_raw"), "edits", "change")
 
 
 def match_near(unmatched: DataFrame, owner: list[str], max_edits: int = 2, relative: float = 0.02, keep=None) -> DataFrame:
