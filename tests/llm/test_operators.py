@@ -297,8 +297,9 @@ def test_packing_ids_equal_the_tokenizers_library(docs):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [r["text"] or "" for r in docs.collect()] + ["  a \x85\xa0 ½² 's I'LL <|endoftext|> \x1c\n\n z", "日本語 123 ١٢٣ é́ 😀 ", "\t\t \n", ""]
+    encode = packing.encoder().encode_to_numpy
     for text in texts:
-        assert packing.encoder().encode_to_numpy(text, allowed_special="all").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert encode(text, allowed_special="all").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_finds_added_tokens_as_the_library_does(spark):
@@ -315,6 +316,7 @@ def test_packing_finds_added_tokens_as_the_library_does(spark):
 
 
 def test_packing(docs, odd):
+    encode = packing.encoder().encode_to_numpy
     for df in (docs, odd):
         texts = defaultdict(list)
         for r in df.collect():
@@ -330,7 +332,7 @@ def test_packing(docs, odd):
         assert sorted(windows) == list(range(len(windows)))
         assert set(pieces) == set(texts)
         for i, whole in texts.items():
-            want = sorted((s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for t in whole for ids in [np.append(packing.encoder().encode_to_numpy(t), 1).astype("<u4")] for s in range(0, len(ids), 2048))
+            want = sorted((s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for t in whole for ids in [np.append(encode(t), 1).astype("<u4")] for s in range(0, len(ids), 2048))
             assert sorted((r["start"], r["length"], r["ids_crc32"]) for r in pieces[i]) == want
 
 

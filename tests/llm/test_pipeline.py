@@ -102,7 +102,8 @@ def test_mixing(spark, odd, stages):
 
 def test_packing(stages):
     before, after, _, _ = stages["packing"]
-    tokens = sum(len(packing.encoder().encode_ordinary(r["text"] or "")) + 1 for r in before)
+    encode = packing.encoder().encode_ordinary
+    tokens = sum(len(encode(r["text"] or "")) + 1 for r in before)
     assert sum(r["length"] for r in after) == tokens
     ends = defaultdict(int)
     for r in after:
