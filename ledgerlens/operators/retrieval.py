@@ -9,23 +9,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.keep import writer
+
 
 def postings(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, token, tf)."""
     return texts.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int = 5, block: int = 1_000_000, max_postings: int = 2_000_000) -> DataFrame:
+def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int = 5, block: int = 200_000, max_postings: int = 2_000_000, keep=None) -> DataFrame:
     """Top k documents of each query by cosine of tf * idf, idf = ln((1 + N) / (1 + df)) + 1: query, doc, score, rank.
 
     corpus and queries are postings. A token that no document has counts with idf 1 in the query's norm. The queries are a stated set of checked size (`max_postings`; more are an error: run them in parts) and
     go to all tasks. The postings are dealt out by ranges of documents (hashed, so many that a range has some `block` postings), so a very frequent token is spread over all ranges; a range scores its
-    documents for all queries in arrays and hands on k of each query. So no row is made for a query and a document that share a token but for k in each range.
+    documents for all queries in arrays and hands on k of each query. So no row is made for a query and a document that share a token but for k in each range. Postings and weights are read more than once and
+    written by `keep` (tables of the shared folder).
     """
+    keep = keep or writer(corpus.sparkSession)
+    corpus = keep(corpus)
     sizes = corpus.agg(F.count_distinct(doc).alias("n"), F.count(F.lit(1)).alias("postings"))
     n, postings_ = sizes.first()
     df = corpus.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("token", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = keep(df.select("token", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
     q = queries.join(idf, "token", "left").select(query, "token", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("qw"))
     rows = q.limit(max_postings + 1).collect()  # bounded by max_postings
     if len(rows) > max_postings:
@@ -42,11 +47,7 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k:
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         docs, at = np.unique(rows[doc].to_numpy(), return_inverse=True)
-        weight = rows["dw"].to_numpy()
-        weight = weight / np.sqrt(np.bincount(at, weight**2))[at]
-        number = rows["token"].map(numbers)
-        kept = number.notna().to_numpy()
-        number, at, weight = number[kept].to_numpy(dtype=np.int64), at[kept], weight[kept]
+        number, weight = rows["number"].to_numpy(np.int64), rows["weight"].to_numpy()
         order = np.argsort(number, kind="stable")
         number, at, weight = number[order], at[order], weight[order]
         begin = np.searchsorted(number, np.arange(len(numbers) + 1))
@@ -65,8 +66,12 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k:
         return pd.DataFrame(out, columns=[query, doc, "score"])
 
     ranges = max(1, -(-postings_ // block))
-    weighed = corpus.join(idf, "token").select(doc, "token", (F.col("tf") * F.col("idf")).alias("dw"), F.pmod(F.xxhash64(doc), F.lit(ranges)).alias("range"))
-    scored = weighed.groupBy("range").applyInPandas(score, f"{query} {kinds[1]}, {doc} {kinds[0]}, score double")
+    weighed = keep(corpus.join(idf, "token").select(doc, "token", (F.col("tf") * F.col("idf")).alias("dw")))
+    norms = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
+    # only tokens of queries go on, as numbers
+    asked_for = corpus.sparkSession.createDataFrame([(t, i) for t, i in numbers.items()], "token string, number bigint")
+    parts = weighed.join(asked_for, "token").join(norms, doc).select(doc, "number", (F.col("dw") / F.col("dn")).alias("weight"), F.pmod(F.xxhash64(doc), F.lit(ranges)).alias("range"))
+    scored = parts.groupBy("range").applyInPandas(score, f"{query} {kinds[1]}, {doc} {kinds[0]}, score double")
     w = Window.partitionBy(query).orderBy(F.desc("score"), doc)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
