@@ -328,5 +328,5 @@ def q_item_markdown(spark, sf):
 @query("WITH " + _QUEUE + ", d AS (SELECT item_id, chunk_id, CASE WHEN chunk_id % 4 = 0 THEN 'edited' ELSE status END AS status FROM queue) SELECT item_id, status FROM d")
 def q_review_decide(spark, sf):
     q = review.upsert(*queues(spark, sf))
-    return review.decide(q, q.where("chunk_id % 4 = 0").select("item_id", F.lit("edited").alias("status"))).select("item_id", "status")
+    return review.decide(q, q.where("chunk_id % 4 = 0").select("item_id", "chunk_id", F.lit("edited").alias("status"))).select("item_id", "status")
 

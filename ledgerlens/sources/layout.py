@@ -103,7 +103,7 @@ QUEUE = (
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
-    """Review items of JSON Lines, or of one JSON array with an item on each line; of repeated items the last counts, by seq where it is given, then by the time of the files and the order of the lines."""
+    """Review items of JSON Lines, or of one JSON array with an item on each line; of repeated items (by item_id and chunk_id) the last counts, by seq where it is given, then by the time of the files and the order of the lines."""
     lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r"^\[|[,\]]$", "").alias("v"), F.struct(F.col("_metadata.file_modification_time").alias("t"), F.monotonically_increasing_id().alias("i")).alias("at"))
     rows = lines.where("v <> ''").select(F.from_json("v", QUEUE).alias("r"), "at").where("r.item_id is not null")
-    return rows.groupBy("r.item_id").agg(F.max_by("r", F.struct(F.coalesce("r.seq", F.lit(0)), "at")).alias("r")).select("r.*")
+    return rows.groupBy("r.item_id", "r.chunk_id").agg(F.max_by("r", F.struct(F.coalesce("r.seq", F.lit(0)), "at")).alias("r")).select("r.*")

@@ -183,6 +183,23 @@ def test_review_keeps_and_reopens_decisions(spark):
     assert review.sheet(done).count() == 4
 
 
+def test_chunks_that_share_an_identifier(spark, tmp_path):
+    """Identifiers hold 40 bits: orders 130586 and 8540885 share one."""
+    named = spark.createDataFrame([("130586", "a"), ("8540885", "b")], "chunk_id string, target_text string").withColumn("item_id", review.item_id(F.col("chunk_id"))).withColumn("risk", F.lit(0.5))
+    shared = named.first()["item_id"]
+    assert named.where(F.col("item_id") == shared).count() == 2
+    old = named.withColumn("status", F.when(F.col("chunk_id") == "130586", "approved").otherwise("pending")).withColumn("note", F.lit(""))
+    q = review.upsert(old, named)
+    assert {(r["chunk_id"], r["target_text"], r["status"]) for r in q.collect()} == {("130586", "a", "approved"), ("8540885", "b", "pending")} and q.count() == 2
+    with pytest.raises(ValueError, match="name the chunk"):
+        review.decide(q, q.limit(1).select("item_id", F.lit("edited").alias("status")))
+    done = review.decide(q, q.where("chunk_id = '8540885'").select("item_id", "chunk_id", F.lit("edited").alias("status")))
+    assert {(r["chunk_id"], r["status"]) for r in done.collect()} == {("130586", "approved"), ("8540885", "edited")} and done.count() == 2
+    review.write_bundle(done, f"{tmp_path}/b")
+    assert spark.read.text(f"{tmp_path}/b/review.csv").count() == 3 and review.full_sheet(done).count() == 3
+    assert layout.read_queue(spark, f"{tmp_path}/b/review.jsonl").count() == 2
+
+
 def test_sheet_has_every_item(spark):
     rows = [(f"rv-{i * 7919 % 2500:04d}", None if i == 5 else (i % 3) / 2, "pending") for i in range(2500)]
     got = review.sheet(spark.createDataFrame(rows, "item_id string, risk double, status string")).orderBy("n").collect()
