@@ -18,6 +18,26 @@ FINDING = "array<struct<kind: string, source_at: int, target_at: int, edits: int
 KINDS = ("matched", "mismatched", "missing", "added")
 
 
+def outer(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
+    """source and target fully outer-joined on key: key, __s and __t (structs of the other columns of each side, null where a side has no row).
+
+    Both sides go through one sort by key rather than a join, so that rows that are dealt out by a part of the key already stay where they are. Rows with a null in the key meet none, as in a join.
+    """
+    s = F.struct(*[c for c in source.columns if c not in key])
+    t = F.struct(*[c for c in target.columns if c not in key])
+    left, right = source.select(*key, s.alias("__s")), target.select(*key, t.alias("__t"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = left.select("*", none(right, "__t")).union(right.select(*key, none(left, "__s"), "__t"))
+    whole = F.expr("true")
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    w = Window.partitionBy(*key)
+    own = F.array(F.col("__t"))  # of one side alone: its row as it is
+    met = both.withColumn("__ts", F.collect_list("__t").over(w)).withColumn("__n", F.count("__s").over(w)).where(F.col("__s").isNotNull() | (F.col("__n") == 0) | ~whole)
+    targets = F.when(F.col("__s").isNull() | ~whole, own).when(F.size("__ts") == 0, own).otherwise(F.col("__ts"))
+    return met.select(*key, "__s", F.explode(targets).alias("__t"))
+
+
 def match_exact(source: DataFrame, target: DataFrame, owner: list[str]) -> DataFrame:
     """Multiset join of figures on (owner, dimension, base_value): owner, bucket (matched, missing, added), source and target raw text and ordinal.
 
@@ -27,9 +47,9 @@ def match_exact(source: DataFrame, target: DataFrame, owner: list[str]) -> DataF
     number = F.row_number().over(Window.partitionBy(*key).orderBy("ordinal"))
     s = source.select(*key, F.col("raw").alias("source_raw"), F.col("ordinal").alias("source_ordinal"), number.alias("n"))
     t = target.select(*key, F.col("raw").alias("target_raw"), F.col("ordinal").alias("target_ordinal"), number.alias("n"))
-    joined = s.join(t, [*key, "n"], "full_outer")
+    joined = outer(s, t, [*key, "n"]).select(*key, F.col("__s.source_raw").alias("source_raw"), F.col("__s.source_ordinal").alias("source_ordinal"), F.col("__t.target_raw").alias("target_raw"), F.col("__t.target_ordinal").alias("target_ordinal"))
     bucket = F.when(F.col("target_raw").isNull(), "missing").when(F.col("source_raw").isNull(), "added").otherwise("matched")
-    return joined.withColumn("bucket", bucket).drop("n")
+    return joined.withColumn("bucket", bucket)
 
 
 #: Width of a value band: values within a relative 0.02 are at most one band apart.
@@ -152,8 +172,16 @@ def compare(source: DataFrame, target: DataFrame, owner: list[str], near: float
 
     An owner is one text or one slot, so its figures are few; they are gathered by owner (one exchange a side) and paired in Arrow batches of many owners.
     """
-    facts = F.struct("ordinal", "raw", "dimension", "base_value", "digits")
-    side = lambda df, name: df.groupBy(*owner).agg(F.array_sort(F.collect_list(facts)).alias(name))
+    side = lambda df, name: df.groupBy(*owner).agg(F.array_sort(F.collect_list(_facts())).alias(name))
+    return _findings(side(source, "s").join(side(target, "t"), owner, "full_outer"), owner, near)
+
+
+def _facts() -> Column:
+    return F.struct("ordinal", "raw", "dimension", "base_value", "digits")
+
+
+def _findings(both: DataFrame, owner: list[str], near: float) -> DataFrame:
+    """Findings of owners with the figures of both sides (s and t, null for none)."""
     kind = "array<struct<ordinal: int, raw: string, dimension: string, base_value: double, digits: string>>"
 
     @F.pandas_udf(FINDING)
@@ -161,7 +189,7 @@ def compare(source: DataFrame, target: DataFrame, owner: list[str], near: float
         return pd.Series([pair_figures(list(s), list(t), near) for s, t in zip(source, target, strict=True)], dtype=object)
 
     none = F.array().cast(kind)
-    both = side(source, "s").join(side(target, "t"), owner, "full_outer").select(*owner, F.coalesce("s", none).cast(kind).alias("s"), F.coalesce("t", none).cast(kind).alias("t"))
+    both = both.select(*owner, F.coalesce("s", none).cast(kind).alias("s"), F.coalesce("t", none).cast(kind).alias("t"))
     found = both.select(*owner, "s", "t", F.explode(paired("s", "t")).alias("f"))
     slip = F.format_string("digit slip (edit distance %d)", "f.edits")
     reason = F.when(F.col("f.kind") != "mismatched", "").when(F.col("f.edits") <= SLIP, slip).otherwise(F.format_string("value changed by %.3f%%", F.col("f.change") * 100))
@@ -192,22 +220,29 @@ def check_table_pairs(source: DataFrame, target: DataFrame, source_tables: DataF
 
     cells: (table, row, col, text); tables: (table, n_rows, n_cols, units_note). Structural findings (null row and col for those of a whole table):
     another shape, a slot of one side only, a dropped unit note. Figures are compared in each slot that both have; the target's take its own note, else the source's.
+    A slot of equal texts under equal units has equal figures on both sides, each of which pair_figures matches with itself: they are read once and need no pairing.
     """
     slot = [table, "row", "col"]
     shape = lambda df, p: df.select(table, F.col("n_rows").alias(f"{p}r"), F.col("n_cols").alias(f"{p}c"), F.trim(F.coalesce("units_note", F.lit(""))).alias(f"{p}n"))
     shapes = shape(source_tables, "s").join(shape(target_tables, "t"), table)
-    s = source.select(*slot, F.col("text").alias("s")).withColumn("in_s", F.lit(True))
-    t = target.select(*slot, F.col("text").alias("t")).withColumn("in_t", F.lit(True))
-    both = s.join(t, slot, "full_outer").join(shapes.select(table, "sn", "tn"), table)
+    met = outer(source.select(*slot, "text"), target.select(*slot, "text"), slot)
+    both = met.select(*slot, F.col("__s.text").alias("s"), F.col("__t.text").alias("t"), F.col("__s").isNotNull().alias("in_s"), F.col("__t").isNotNull().alias("in_t")).join(shapes.select(table, "sn", "tn"), table)
+    s_note, t_note = F.col("sn"), F.coalesce(F.nullif("tn", F.lit("")), "sn")
     met = both.where("in_s and in_t")
-    owner = F.nullif("tn", F.lit(""))
-    found = compare(figures(met, "s", slot, unit_from_note(F.col("sn"))), figures(met, "t", slot, unit_from_note(F.coalesce(owner, "sn"))), slot, near)
-    lone = both.where("in_s is null or in_t is null")
+    # several cells of a side in one slot are compared all together, as one owner
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*slot)) == 1
+    met = met.withColumn("same", alone & F.col("s").eqNullSafe(F.col("t")) & (s_note == t_note))
+    equal = figures(met.where("same"), "s", slot, unit_from_note(s_note)).select(*slot, F.lit("matched").alias("kind"), F.col("raw").alias("source_raw"), F.col("raw").alias("target_raw"), F.lit("").alias("reason"))
+    sides = F.array(F.struct(F.lit(True).alias("first"), F.col("s").alias("text"), s_note.alias("note")), F.struct(F.lit(False).alias("first"), F.col("t").alias("text"), t_note.alias("note")))
+    told = met.where("not same").select(*slot, F.inline(sides))
+    own = lambda first: F.array_sort(F.collect_list(F.when(F.col("first") == first, _facts())))
+    found = equal.union(_findings(figures(told, "text", [*slot, "first"], unit_from_note(F.col("note"))).groupBy(*slot).agg(own(True).alias("s"), own(False).alias("t")), slot, near))
+    lone = both.where("not in_s or not in_t")
     whole = shapes.withColumn("row", F.lit(None).cast("int")).withColumn("col", F.lit(None).cast("int"))
     changed = whole.where("sr <> tr or sc <> tc")
     dropped = whole.where("sn <> '' and tn = ''")
     parts = [
-        structural(lone, slot, F.when(F.col("in_t").isNull(), "cell exists in the source but not the target").otherwise("cell exists in the target but not the source")),
+        structural(lone, slot, F.when(~F.col("in_t"), "cell exists in the source but not the target").otherwise("cell exists in the target but not the source")),
         structural(changed, slot, F.format_string("shape changed %dx%d -> %dx%d", "sr", "sc", "tr", "tc")),
         structural(dropped, slot, F.concat(F.lit("table unit note dropped in the target: "), F.col("sn"))),
     ]
@@ -246,8 +281,7 @@ def chart_figures(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def check_tables(source: DataFrame, target: DataFrame, table: str = "table_id") -> DataFrame:
     """Slot by slot: table, row, col, source_text, target_text, finding (same, changed, missing, extra)."""
-    s = source.select(table, "row", "col", F.col("text").alias("source_text"), F.lit(True).alias("__s"))
-    t = target.select(table, "row", "col", F.col("text").alias("target_text"), F.lit(True).alias("__t"))
-    joined = s.join(t, [table, "row", "col"], "full_outer")
-    finding = F.when(F.col("__t").isNull(), "missing").when(F.col("__s").isNull(), "extra").when(F.col("source_text").eqNullSafe(F.col("target_text")), "same").otherwise("changed")
-    return joined.select(table, "row", "col", "source_text", "target_text", finding.alias("finding"))
+    slot = [table, "row", "col"]
+    joined = outer(source.select(*slot, "text"), target.select(*slot, "text"), slot)
+    finding = F.when(F.col("__t").isNull(), "missing").when(F.col("__s").isNull(), "extra").when(F.col("__s.text").eqNullSafe(F.col("__t.text")), "same").otherwise("changed")
+    return joined.select(*slot, F.col("__s.text").alias("source_text"), F.col("__t.text").alias("target_text"), finding.alias("finding"))

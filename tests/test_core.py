@@ -286,3 +286,26 @@ def test_term_candidates_and_small_texts(spark):
     assert one(tx.format_number(F.lit(None).cast("double"))) == "-"
     assert one(tx.unescape_html(F.lit("a &amp; &eacute;&#x27;"))) == "a & é'" and one(tx.unescape_html(F.lit(None).cast("string"))) is None
     assert one(tx.display_width(F.lit("ab利Ａ"))) == 5 and one(tx.display_width(F.lit(None).cast("string"))) == 0
+
+
+def test_sides_meet_where_they_lie(spark):
+    """Sides that are dealt out by table already are compared without another exchange, with the rows of a full outer join."""
+    rows = [(1, 0, "a"), (1, 0, "b"), (1, 1, None), (None, 0, "n"), (2, 0, "x")]
+    s = spark.createDataFrame(rows, "t int, r int, a string")
+    t = spark.createDataFrame([(1, 0, "c"), (1, 0, "d"), (None, 0, "m"), (3, 0, "y"), (1, 1, None)], "t int, r int, b string")
+    got = numdiff.outer(s, t, ["t", "r"]).select("t", "r", "__s.a", "__t.b")
+    want = s.join(t, ["t", "r"], "full_outer")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    slots = spark.range(40).selectExpr("id div 8 as table_id", "cast(id % 8 as int) as row", "0 as col", "cast(id as string) as text").repartition(4, "table_id")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert plan(numdiff.check_tables(slots, slots)) == 2  # those of the sides themselves
+
+
+def test_equal_slots_need_no_pairing(spark):
+    """Slots of equal texts, repeated and without figures too, give what comparing their figures gives."""
+    cell = "table_id int, row int, col int, text string"
+    s = spark.createDataFrame([(1, 0, 0, "7 and 7 and 8"), (1, 0, 1, None), (1, 1, 0, "12.50"), (1, 1, 1, "a"), (1, 2, 0, "5"), (1, 2, 0, "6")], cell)
+    t = spark.createDataFrame([(1, 0, 0, "7 and 7 and 8"), (1, 0, 1, None), (1, 1, 0, "12.60"), (1, 1, 1, "a 3"), (1, 2, 0, "5"), (1, 3, 0, "9")], cell)
+    shape = spark.createDataFrame([(1, 4, 2, "")], "table_id int, n_rows int, n_cols int, units_note string")
+    got = numdiff.report(numdiff.check_table_pairs(s, t, shape, shape), ["table_id"], shape).first()
+    assert (got["matched"], got["mismatched"], got["missing"], got["added"], got["structural"]) == (4, 2, 0, 1, 1)
