@@ -309,3 +309,16 @@ def test_equal_slots_need_no_pairing(spark):
     shape = spark.createDataFrame([(1, 4, 2, "")], "table_id int, n_rows int, n_cols int, units_note string")
     got = numdiff.report(numdiff.check_table_pairs(s, t, shape, shape), ["table_id"], shape).first()
     assert (got["matched"], got["mismatched"], got["missing"], got["added"], got["structural"]) == (4, 2, 0, 1, 1)
+
+
+def test_slots_are_read_once(spark):
+    """Renderings of a table with holes, a span and a slot claimed twice; texts are bound once, not looked up in a map for each slot."""
+    cell = "table_id int, row int, col int, row_span int, col_span int, text string, ord int"
+    c = spark.createDataFrame([(1, 0, 0, 1, 2, "a", 1), (1, 0, 1, 1, 1, "lost", 2), (1, 2, 1, 1, 1, "b|<", 3), (1, 2, 1, 1, 1, "later", 4)], cell)
+    assert tables.to_tsv(c).first()["rendered"] == "a\ta\n\t\n\tb|<"
+    assert tables.to_markdown(c).first()["rendered"] == "| a | a |\n| --- | --- |\n|  |  |\n|  | b\\|< |"
+    assert "map" not in dict(tables.slots(c).dtypes)["texts"]
+    html = tables.to_html(c.where("ord in (1, 3)"), spark.createDataFrame([(1, 1)], "table_id int, n_header int")).first()["rendered"]
+    gap = '<td data-empty="1"></td>'
+    assert html == f'<table><thead><tr><th colspan="2">a</th></tr></thead><tbody><tr>{gap}{gap}</tr><tr>{gap}<td>b|&lt;</td></tr></tbody></table>'
+    assert tables.preview(c.where("ord in (1, 3)")).first()["rendered"] == "a |\n  |\n  | b|<"
