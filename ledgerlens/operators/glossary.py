@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import cjk_ratio, normalize_whitespace
+from ledgerlens.operators.keep import writer
 
 #: Authorities by rank, the strongest first.
 AUTHORITIES = ("source_gloss", "curated", "seed", "model")
@@ -189,14 +190,15 @@ def term_rows(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame
     """(keys, source, target), each once: the terms (source, target, aliases) of which the source or an alias stands anywhere in a text, whatever the case and the script.
 
     Nothing is gathered and nothing is tried out on all texts: each name has one piece, the rarest of its characters in a row (see `dictionary`), and meets the texts by an equi-join on that piece. A
-    name that is its piece is found by that; a longer one is looked for in the texts that it has met, which are brought to their hits by one join. Spark broadcasts the dictionary only
-    where it is small; otherwise both sides are shuffled by piece, of which adaptive execution splits those that are very frequent. Null texts are empty; an empty name is in no text.
+    name that is its piece is found by that; a longer one is looked for in the texts that it has met, which are brought to their hits by one join. The dictionary is written first, so that its size is known: where it is small
+    Spark broadcasts it, and the texts' pieces are not shuffled; otherwise both sides are shuffled by piece, of which adaptive execution splits those that are very frequent. Null texts are empty; an empty name is in no text.
     """
     named = _with_aliases(terms).select("source", "target", F.explode(F.array_distinct(F.transform(F.concat(F.array("source"), "aliases"), F.lower))).alias("name")).where("name <> ''").distinct()
     low = texts.select(*keys, F.lower(F.coalesce(text_col, F.lit(""))).alias("__low")).where("__low <> ''")
     # keys may be repeated and null
     low = low.select(F.struct(*keys, F.xxhash64("__low").alias("__hash")).alias("__text"), "__low")
     held, lengths = dictionary(named.select("name").distinct(), low, every)
+    held = writer(texts.sparkSession)(held)
     if not lengths:
         return texts.select(*keys, F.lit("").alias("source"), F.lit("").alias("target")).where("false")
     met = low.select("__text", F.explode(F.flatten(F.array(*[pieces(F.col("__low"), n) for n in lengths]))).alias("piece")).join(held, "piece")

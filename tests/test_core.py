@@ -322,3 +322,11 @@ def test_slots_are_read_once(spark):
     gap = '<td data-empty="1"></td>'
     assert html == f'<table><thead><tr><th colspan="2">a</th></tr></thead><tbody><tr>{gap}{gap}</tr><tr>{gap}<td>b|&lt;</td></tr></tbody></table>'
     assert tables.preview(c.where("ord in (1, 3)")).first()["rendered"] == "a |\n  |\n  | b|<"
+
+
+def test_a_small_dictionary_is_broadcast(spark):
+    """The pieces of the texts are not shuffled where the terms are few."""
+    texts = spark.createDataFrame([(1, "of a gross margin here")], "k int, text string")
+    names = spark.createDataFrame([("gross margin", "x")], "source string, target string")
+    found = glossary.term_rows(texts, ["k"], "text", names)
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin [piece") > 0 and found.count() == 1
