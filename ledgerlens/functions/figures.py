@@ -20,16 +20,21 @@ CN_UNIT = "^(?:" + "|".join(f"{u[:k]}\\|{u[k:]}" for u in UNITS for k in range(1
 DATE_AFTER, DATE_BEFORE, MONTH = r"^\s*(?:月|日|号|年|月份)", r"(?:年|月|日|号|第)\s*$", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sept?|oct|nov|dec)"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), worked out once: what stands in a lambda by its expression is worked out again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: Column, pattern: str = FIGURE) -> Column:
     """Array of (raw, start, end): the matches of the pattern in order, offsets from 0."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     length = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    span = lambda raw, start: F.struct(raw.alias("raw"), start.alias("start"), (start + F.length(raw)).alias("end"))
 
-    def place(raw: Column, i: Column) -> Column:
-        start = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i))
-        return F.struct(raw.alias("raw"), start.alias("start"), (start + F.length(raw)).alias("end"))
+    def placed(x: Column) -> Column:
+        start = lambda i: length(F.slice(x["between"], F.lit(1), i + 1)) + length(F.slice(x["found"], F.lit(1), i))
+        return F.transform(x["found"], lambda raw, i: _let(start(i), lambda at: span(raw, at)))
 
-    return F.transform(found, place)
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between")), placed)
 
 
 def chinese_spans(text: Column, digits: Column) -> Column:
@@ -79,17 +84,25 @@ def _tagged(found: Column, cn: bool) -> Column:
 
 def figure_list(text: Column) -> Column:
     """Array of the raw figures of a text, digits and Chinese numerals, as figures() finds them but for scale marks."""
+    return _let(text, _figures_of)
+
+
+def _figures_of(text: Column) -> Column:
     digits = F.filter(spans(text), lambda s: ~((s["start"] > 0) & F.substr(text, s["start"], F.lit(1)).isin("'", "’", "′")))
-    return F.transform(F.array_sort(F.concat(_tagged(digits, False), _tagged(chinese_spans(text, digits), True))), lambda s: F.trim(s["raw"]))
+    both = lambda d: F.sort_array(F.concat(_tagged(d, False), _tagged(chinese_spans(text, d), True)))
+    return F.transform(_let(digits, both), lambda s: F.trim(s["raw"]))
 
 
 def is_numeric_cell(text: Column) -> Column:
     """A cell of figures and little else: at most three characters stay when figures and marks around are taken out; such cells are copied, never sent."""
-    t = normalize_width(F.coalesce(text, F.lit("")))
-    found = figure_list(t)
-    rest = F.aggregate(found, t, lambda s, f: F.replace(s, f, F.lit(" ")))
-    rest = F.regexp_replace(normalize_whitespace(rest), r"^[ .,;:()\[\]%+\-–—/\\|'\"]+|[ .,;:()\[\]%+\-–—/\\|'\"]+$", "")
-    return (F.size(found) > 0) & (F.length(rest) <= 3)
+
+    def lone(x: Column) -> Column:
+        rest = F.aggregate(x["found"], x["text"], lambda s, f: F.replace(s, f, F.lit(" ")))
+        rest = F.regexp_replace(normalize_whitespace(rest), r"^[ .,;:()\[\]%+\-–—/\\|'\"]+|[ .,;:()\[\]%+\-–—/\\|'\"]+$", "")
+        return (F.size(x["found"]) > 0) & (F.length(rest) <= 3)
+
+    cell = lambda t: F.struct(t.alias("text"), _figures_of(t).alias("found"))
+    return _let(normalize_width(F.coalesce(text, F.lit(""))), lambda t: _let(cell(t), lone))
 
 
 def fingerprint(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:

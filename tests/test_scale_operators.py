@@ -247,3 +247,14 @@ def test_conflicts_of_a_saved_glossary(spark, tmp_path):
     (tmp_path / "one.json").write_text('{"entries": [{"source": "x", "target": "y"}, {"source": "z", "target": "w"}], "conflicts": [{"source": "x", "existing": "y", "incoming": "q", "reason": "r"}]}')
     assert glossary.load_conflicts(spark, f"{tmp_path}/one.json").first()["incoming"] == "q"
     assert [(r["seq"], r["source"]) for r in glossary.load(spark, f"{tmp_path}/one.json").orderBy("seq").collect()] == [(0, "x"), (1, "z")]
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_figures_of_a_cell_are_read_once(spark):
+    from ledgerlens.functions.figures import is_numeric_cell
+
+    cells = spark.createDataFrame([("(1,200)",), ("12% to 5",), ("rose by 7",), (None,)], "t string").select("t", is_numeric_cell(F.col("t")).alias("n"))
+    assert [r["n"] for r in cells.collect()] == [True, True, False, False]
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
