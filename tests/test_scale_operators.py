@@ -258,3 +258,15 @@ def test_figures_of_a_cell_are_read_once(spark):
     cells = spark.createDataFrame([("(1,200)",), ("12% to 5",), ("rose by 7",), (None,)], "t string").select("t", is_numeric_cell(F.col("t")).alias("n"))
     assert [r["n"] for r in cells.collect()] == [True, True, False, False]
     assert cells._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
+
+
+def test_html_is_gathered_once(spark):
+    from ledgerlens.operators import tables
+
+    kinds = "table_id int, row int, col int, text string, row_span int, col_span int"
+    cells = spark.createDataFrame([(1, 0, 0, "a&", 2, 1), (1, 0, 2, None, 1, 1), (1, 3, 1, "7", 1, 1)], kinds)
+    html = tables.to_html(cells, spark.createDataFrame([(1, 1)], "table_id int, n_header int"))
+    gap = '<td data-empty="1"></td>'
+    rows = [f'<tr><th rowspan="2">a&amp;</th>{gap}<th></th></tr>', f"<tr>{gap * 2}</tr>", f"<tr>{gap * 3}</tr>", f"<tr>{gap}<td>7</td>{gap}</tr>"]
+    assert html.first()["rendered"] == f"<table><thead>{rows[0]}</thead><tbody>{''.join(rows[1:])}</tbody></table>"
+    assert "LeftAnti" not in _plan(html)
