@@ -270,3 +270,19 @@ def test_html_is_gathered_once(spark):
     rows = [f'<tr><th rowspan="2">a&amp;</th>{gap}<th></th></tr>', f"<tr>{gap * 2}</tr>", f"<tr>{gap * 3}</tr>", f"<tr>{gap}<td>7</td>{gap}</tr>"]
     assert html.first()["rendered"] == f"<table><thead>{rows[0]}</thead><tbody>{''.join(rows[1:])}</tbody></table>"
     assert "LeftAnti" not in _plan(html)
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    from ledgerlens.sources import html_tables
+
+    pages = ['<table><caption>c &amp; d</caption><tr><th rowspan="2" data-r="0" data-c="0">a &lt b<br/>x</th><td colspan="2">&#49;</td></tr><tr><td>2</td><td data-empty="1"></td></tr></table> &amp', "<tr><td>1<td>2</table><table><td>3", "no <b>table</b><table><td><i>x</i></td></table>"]
+    want = []
+    for page in pages:
+        parser = html_tables._FirstTable()
+        parser.feed(page)
+        parser.close()
+        parser._close()
+        want.append(parser.cells)
+    assert [html_tables.parse_table(p) for p in pages] == want
+    monkeypatch.setattr(html_tables._FirstTable, "feed", lambda *a: 1 / 0)
+    assert html_tables.parse_table(pages[0]) == want[0]
