@@ -286,3 +286,12 @@ def test_plain_pages_need_no_parser(monkeypatch):
     assert [html_tables.parse_table(p) for p in pages] == want
     monkeypatch.setattr(html_tables._FirstTable, "feed", lambda *a: 1 / 0)
     assert html_tables.parse_table(pages[0]) == want[0]
+
+
+def test_boxes_are_placed_by_one_gathering(spark):
+    from ledgerlens.operators import tables
+
+    rows = [(1, c * 10.0, r * 5.0, c * 10.0 + 10, r * 5.0 + 5, r, c) for r in range(3) for c in range(4)] + [(2, 1.0, 1.0, 1.0, 1.0, 0, 0)]
+    placed = tables.place_by_boxes(spark.createDataFrame(rows, "table_id int, x0 double, y0 double, x1 double, y1 double, r int, c int"))
+    assert placed.where("row = r and col = c and row_span = 1 and col_span = 1").count() == placed.count() == 12
+    assert "Window" not in _plan(placed)
