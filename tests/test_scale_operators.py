@@ -295,3 +295,16 @@ def test_boxes_are_placed_by_one_gathering(spark):
     placed = tables.place_by_boxes(spark.createDataFrame(rows, "table_id int, x0 double, y0 double, x1 double, y1 double, r int, c int"))
     assert placed.where("row = r and col = c and row_span = 1 and col_span = 1").count() == placed.count() == 12
     assert "Window" not in _plan(placed)
+
+
+def test_raw_cells_through_arrow():
+    import pyarrow as pa
+
+    from ledgerlens.operators import tables
+
+    lists = [[{"ord": 1, "text": "a", "x0": None}], [], [{"ord": 2, "text": None, "x0": 1.5}, {"ord": None, "text": "c", "x0": 2.0}]]
+    whole = pa.array(lists, pa.list_(pa.struct([("ord", pa.int32()), ("text", pa.string()), ("x0", pa.float64())])))
+    assert tables._from_arrow(whole) == lists and tables._from_arrow(whole[1:]) == lists[1:]
+    cell = {"ord": 0, "text": "x", "row": 0, "col": 1, "row_span": 1, "col_span": 1, "is_header": None} | dict.fromkeys(("x0", "y0", "x1", "y1"))
+    built = [tables.build_one([cell, cell | {"ord": 1}]), tables.build_one([])]
+    assert tables._to_arrow(built).to_pylist() == built
