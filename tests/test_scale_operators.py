@@ -308,3 +308,12 @@ def test_raw_cells_through_arrow():
     cell = {"ord": 0, "text": "x", "row": 0, "col": 1, "row_span": 1, "col_span": 1, "is_header": None} | dict.fromkeys(("x0", "y0", "x1", "y1"))
     built = [tables.build_one([cell, cell | {"ord": 1}]), tables.build_one([])]
     assert tables._to_arrow(built).to_pylist() == built
+
+
+def test_slots_are_sorted_natively(spark):
+    from ledgerlens.operators import tables
+
+    cells = spark.createDataFrame([(1, 0, 0, "a", 1, 1), (1, 1, 1, "b", 1, 1)], "table_id int, row int, col int, text string, row_span int, col_span int")
+    rendered = tables.to_tsv(cells)
+    assert rendered.first()["rendered"] == "a\t\n\tb"
+    assert "array_sort" not in rendered._jdf.queryExecution().optimizedPlan().toString()
