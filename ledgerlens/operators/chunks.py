@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,18 @@ def plan(blocks: list[dict], max_tokens: int, min_tokens: int, split_level: int,
     return out
 
 
+def _placed(docs: pa.Array, planner) -> pa.Array:
+    """The (span, chunk) of each document's blocks. Blocks become Python's objects one document at a time: a batch holds thousands of documents."""
+    ends, spans, numbers = [0], [], []
+    for doc in docs:
+        for span, number in planner(doc.as_py()):
+            spans.append(span)
+            numbers.append(number)
+        ends.append(len(spans))
+    places = pa.StructArray.from_arrays([pa.array(spans, pa.int32()), pa.array(numbers, pa.int32())], ["span", "chunk"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)
+
+
 def pack(sectioned: DataFrame, max_tokens: int = 1400, min_tokens: int = 60, split_level: int = 2, large: float = 0.5, counter=estimate_tokens) -> DataFrame:
     """Blocks (of in_sections, with `rendered`) with chunk_no and chunk_id of their document.
 
@@ -83,9 +96,9 @@ def pack(sectioned: DataFrame, max_tokens: int = 1400, min_tokens: int = 60, spl
     facts = F.struct("pos", "span", "table", "level", "tokens")
     gathered = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(facts)).alias("b"))
 
-    @F.pandas_udf("array<struct<span: int, chunk: int>>")
-    def planned(docs: pd.Series) -> pd.Series:
-        return pd.Series([[{"span": s, "chunk": c} for s, c in plan(list(d), max_tokens, min_tokens, split_level, large)] for d in docs], dtype=object)
+    @F.arrow_udf("array<struct<span: int, chunk: int>>")
+    def planned(docs: pa.Array) -> pa.Array:
+        return _placed(docs, lambda blocks: plan(blocks, max_tokens, min_tokens, split_level, large))
 
     placed = gathered.select("doc_id", F.explode(F.arrays_zip(F.col("b.pos").alias("pos"), planned("b").alias("c"))).alias("x")).select("doc_id", "x.pos", F.col("x.c.chunk").alias("part"))
     out = sectioned.join(placed, ["doc_id", "pos"])

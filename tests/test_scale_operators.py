@@ -317,3 +317,15 @@ def test_slots_are_sorted_natively(spark):
     rendered = tables.to_tsv(cells)
     assert rendered.first()["rendered"] == "a\t\n\tb"
     assert "array_sort" not in rendered._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_planned_a_document_at_a_time():
+    import pyarrow as pa
+
+    from ledgerlens.operators import chunks
+
+    docs = [[{"pos": i, "span": i // 3, "table": i % 4 == 0, "level": None, "tokens": 40} for i in range(n)] for n in (7, 0, 2)]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("span", pa.int32()), ("table", pa.bool_()), ("level", pa.int32()), ("tokens", pa.int32())]))
+    planner = lambda blocks: chunks.plan(blocks, 100, 10, 2, 0.5)
+    placed = chunks._placed(pa.array(docs, kind), planner).to_pylist()
+    assert placed == [[{"span": s, "chunk": c} for s, c in planner(d)] for d in docs]
