@@ -148,6 +148,8 @@ def bilingual_pairs(texts: DataFrame, key: str, text_col: str) -> DataFrame:
 
 #: Lengths of the pieces by which names meet texts; a name is met by a piece of the largest length that it has.
 PIECES = (8, 4, 2, 1)
+#: Names of no more lengths than there are in PIECES, and none longer than this, are met whole.
+WHOLE = 32
 
 
 def _with_aliases(terms: DataFrame) -> DataFrame:
@@ -157,54 +159,63 @@ def _with_aliases(terms: DataFrame) -> DataFrame:
 
 def pieces(text: Column, n: int) -> Column:
     """The distinct pieces of n characters of a text, in time linear in its length."""
-    # bound by a lambda, the characters are split once, not once for each piece
-    of = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
-    found = F.transform(F.array(F.split(text, "")), lambda c: F.array_distinct(of(c)))
-    return F.when(F.char_length(text) >= n, F.get(found, F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
 
 
-def dictionary(names: DataFrame, low: DataFrame, every: int = 64) -> tuple[DataFrame, list[int]]:
-    """((name, piece), lengths of pieces): each name with the piece that the fewest texts hold, by the texts of one in `every` hashes, then the fewest names.
+def dictionary(names: DataFrame, low: DataFrame, every: int = 64) -> tuple[DataFrame, list[int], bool]:
+    """((name, piece), lengths of pieces, whether the pieces are the whole names): each name with the piece that the fewest texts hold, by the texts of one in `every` hashes, then the fewest names.
 
-    Which piece stands for a name bears on the speed alone: every text that holds the name holds each of its pieces.
+    Which piece stands for a name bears on the speed alone: every text that holds the name holds each of its pieces. Where names have few lengths (see `WHOLE`), a name is its own piece.
     """
-    size = F.char_length("name")
-    length = F.lit(None).cast("int")
-    for n in sorted(PIECES):
-        length = F.when(size >= n, n).otherwise(length)
-    sized = names.withColumn("length", length)
-    lengths = sorted(sized.agg(F.collect_set("length")).first()[0])  # len(PIECES) numbers at most
-    own = F.coalesce(*[F.when(F.col("length") == n, pieces(F.col("name"), n)) for n in PIECES])
-    every_piece = sized.select("name", F.posexplode(own).alias("at", "piece"))
+    sized = names.withColumn("length", F.least(F.char_length("name"), F.lit(WHOLE + 1)))
+    lengths = sorted(sized.agg(F.collect_set("length")).first()[0])  # WHOLE + 1 numbers at most
+    if not lengths or (len(lengths) <= len(PIECES) and lengths[-1] <= WHOLE):
+        return names.select("name", F.col("name").alias("piece")), lengths, True
+    lengths = sorted({max(n for n in PIECES if n <= size) for size in lengths})
+    own = F.coalesce(*[F.when(F.char_length("name") >= n, pieces(F.col("name"), n)) for n in PIECES])
+    every_piece = names.select("name", F.posexplode(own).alias("at", "piece"))
     shared = every_piece.groupBy("piece").agg(F.count(F.lit(1)).alias("names"))
     some = low.where(F.pmod(F.xxhash64("__low"), F.lit(every)) == 0)
-    seen = some.select(F.explode(F.flatten(F.array(*[pieces(F.col("__low"), n) for n in lengths]))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("texts")) if lengths else None
-    if seen is None:
-        return every_piece.select("name", "piece"), lengths
+    seen = some.select(F.explode(F.flatten(F.array(*[pieces(F.col("__low"), n) for n in lengths]))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("texts"))
     weighed = every_piece.join(shared.join(seen, "piece", "left"), "piece")
     rank = F.struct(F.coalesce("texts", F.lit(0)), "names", "at")
-    return weighed.groupBy("name").agg(F.min_by("piece", rank).alias("piece")), lengths
+    return weighed.groupBy("name").agg(F.min_by("piece", rank).alias("piece")), lengths, False
+
+
+def holdings(texts: DataFrame, names: DataFrame, every: int = 64) -> DataFrame:
+    """(__text, name), some of them repeated: the names (not empty, each once) that stand in the texts (__text, __low), case as it is; __text names a text.
+
+    Nothing is gathered and nothing is tried out on all texts: each name has one piece, the rarest of its characters in a row (see `dictionary`), and meets the texts by an equi-join on that piece. A
+    name that is its piece is found by that, and no text is shuffled; a longer one is looked for in the texts that it has met, which are brought to their hits by one join. The dictionary is written first, so that its size is
+    known: where it is small Spark broadcasts it, and the texts' pieces are not shuffled; otherwise both sides are shuffled by piece, of which adaptive execution splits those that are very frequent.
+    """
+    held, lengths, entire = dictionary(names, texts, every)
+    held = writer(texts.sparkSession)(held)
+    if not lengths:
+        return texts.select("__text", F.lit("").alias("name")).where("false")
+    met = texts.select("__text", F.explode(F.flatten(F.array(*[pieces(F.col("__low"), n) for n in lengths]))).alias("piece")).join(held, "piece")
+    if entire:
+        return met.select("__text", "name")
+    whole = met.where(F.char_length("name") == F.char_length("piece")).select("__text", "name")
+    longer = met.where(F.char_length("name") > F.char_length("piece")).select("__text", "name").join(texts, "__text").where(F.contains("__low", "name")).select("__text", "name")
+    return whole.unionByName(longer)
+
+
+def _names(terms: DataFrame) -> DataFrame:
+    """(source, target, name): each of a term's names in lower case, but for empty ones."""
+    return _with_aliases(terms).select("source", "target", F.explode(F.array_distinct(F.transform(F.concat(F.array("source"), "aliases"), F.lower))).alias("name")).where("name <> ''").distinct()
 
 
 def term_rows(texts: DataFrame, keys: list[str], text_col: str, terms: DataFrame, every: int = 64) -> DataFrame:
     """(keys, source, target), each once: the terms (source, target, aliases) of which the source or an alias stands anywhere in a text, whatever the case and the script.
 
-    Nothing is gathered and nothing is tried out on all texts: each name has one piece, the rarest of its characters in a row (see `dictionary`), and meets the texts by an equi-join on that piece. A
-    name that is its piece is found by that; a longer one is looked for in the texts that it has met, which are brought to their hits by one join. The dictionary is written first, so that its size is known: where it is small
-    Spark broadcasts it, and the texts' pieces are not shuffled; otherwise both sides are shuffled by piece, of which adaptive execution splits those that are very frequent. Null texts are empty; an empty name is in no text.
+    By `holdings`. Null texts are empty; an empty name is in no text.
     """
-    named = _with_aliases(terms).select("source", "target", F.explode(F.array_distinct(F.transform(F.concat(F.array("source"), "aliases"), F.lower))).alias("name")).where("name <> ''").distinct()
+    named = _names(terms)
     low = texts.select(*keys, F.lower(F.coalesce(text_col, F.lit(""))).alias("__low")).where("__low <> ''")
     # keys may be repeated and null
     low = low.select(F.struct(*keys, F.xxhash64("__low").alias("__hash")).alias("__text"), "__low")
-    held, lengths = dictionary(named.select("name").distinct(), low, every)
-    held = writer(texts.sparkSession)(held)
-    if not lengths:
-        return texts.select(*keys, F.lit("").alias("source"), F.lit("").alias("target")).where("false")
-    met = low.select("__text", F.explode(F.flatten(F.array(*[pieces(F.col("__low"), n) for n in lengths]))).alias("piece")).join(held, "piece")
-    whole = met.where(F.char_length("name") == F.char_length("piece")).select("__text", "name")
-    longer = met.where(F.char_length("name") > F.char_length("piece")).select("__text", "name").join(low, "__text").where(F.contains("__low", "name")).select("__text", "name")
-    found = whole.unionByName(longer).join(named, "name")
+    found = holdings(low, named.select("name").distinct(), every).join(named, "name")
     return found.select(*[F.col("__text")[k].alias(k) for k in keys], "source", "target").distinct()
 
 
@@ -214,14 +225,24 @@ def text_terms(texts: DataFrame, keys: list[str], text_col: str, terms: DataFram
     return term_rows(texts, keys, text_col, terms).groupBy(*keys).agg(F.transform(found, lambda x: x["t"]).alias("found"))
 
 
-def missing_terms(pairs: DataFrame, keys: list[str], source: str, target: str, terms: DataFrame, around: int = 40) -> DataFrame:
-    """(keys, source, target, context): terms in the source text whose target does not stand in the target text, with what is around the first place."""
-    found = term_rows(pairs, keys, source, terms)
-    joined = found.join(pairs.select(*keys, F.col(source).alias("__s"), F.col(target).alias("__t")), keys)
+def missing_terms(pairs: DataFrame, keys: list[str], source: str, target: str, terms: DataFrame, around: int = 40, context: bool = True) -> DataFrame:
+    """(keys, source, target, context): terms in the source text whose target does not stand in the target text, with what is around the first place; each once for a pair of texts.
+
+    Both texts are searched by `holdings`, and what they hold is compared: no text goes to another task but to take its context, which can be left out.
+    """
+    named = _names(terms).where("source <> '' and target <> ''")
+    row = F.struct(*keys, F.xxhash64(F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))).alias("__hash"))
+    text = lambda c: pairs.select(row.alias("__text"), F.coalesce(c, F.lit("")).alias("__low")).where("__low <> ''")
+    found = holdings(text(F.lower(source)), named.select("name").distinct()).join(named, "name").select("__text", "source", "target").distinct()
+    there = holdings(text(F.col(target)), named.select(F.col("target").alias("name")).distinct()).select("__text", F.col("name").alias("target"))
+    lost = found.join(there, ["__text", "target"], "left_anti").select("__text", "source", "target")
+    if not context:
+        return lost.select(*[F.col("__text")[k].alias(k) for k in keys], "source", "target")
+    lost = lost.join(pairs.select(row.alias("__text"), F.col(source).alias("__s")).dropDuplicates(["__text"]), "__text")
     at = F.position(F.lower("source"), F.lower("__s"))
     start = F.greatest(at - around, F.lit(1))
-    context = F.when(at > 0, normalize_whitespace(F.substr("__s", start, at - start + F.length("source") + around))).otherwise("")
-    return joined.where("source <> '' and target <> ''").where(~F.contains(F.coalesce("__t", F.lit("")), F.col("target"))).select(*keys, "source", "target", context.alias("context"))
+    around_it = F.when(at > 0, normalize_whitespace(F.substr("__s", start, at - start + F.length("source") + around))).otherwise("")
+    return lost.select(*[F.col("__text")[k].alias(k) for k in keys], "source", "target", around_it.alias("context"))
 
 
 # ---- the glossary as a table

@@ -273,7 +273,7 @@ def q_terms_missing(spark, sf):
     """Terms that a document holds but its second half, as its translation, does not."""
     names = table(spark, sf, "benchmark").where("length(text) > 12").select(F.substring("text", 3, 9).alias("source")).distinct().withColumn("target", F.col("source"))
     d = table(spark, sf, "documents").select("doc_id", "text", F.expr("substring(text, cast(floor(char_length(text) / 2) as int) + 1)").alias("half"))
-    return glossary.missing_terms(d, ["doc_id"], "text", "half", names).select("doc_id", "source")
+    return glossary.missing_terms(d, ["doc_id"], "text", "half", names, context=False).select("doc_id", "source")
 
 
 # ---- reports, risk and queue

@@ -330,3 +330,15 @@ def test_a_small_dictionary_is_broadcast(spark):
     names = spark.createDataFrame([("gross margin", "x")], "source string, target string")
     found = glossary.term_rows(texts, ["k"], "text", names)
     assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin [piece") > 0 and found.count() == 1
+
+
+def test_missing_terms_are_those_of_a_pair(spark):
+    """Pairs of one key, and of none, are judged one by one; where names have few lengths, no text is joined with what it has met."""
+    pairs = spark.createDataFrame([(1, "net PROFIT \U0001f600rose", "up"), (1, "a cost", "the cost"), (1, None, None), (None, "net profit", "net profit, a Cost")], "k int, s string, t string")
+    names = spark.createDataFrame([("profit", "profit"), ("\U0001f600rose", "up"), ("a cost", "a cost"), ("net", "net")], "source string, target string")
+    for terms in (names, names.union(spark.createDataFrame([("x" * n, "x" * n) for n in range(1, 40)], names.schema))):
+        for context in (False, True):
+            found = glossary.missing_terms(pairs, ["k"], "s", "t", terms, context=context)
+            assert sorted((r["k"], r["source"]) for r in found.collect()) == [(1, "a cost"), (1, "net"), (1, "profit")]
+    assert {r["context"] for r in glossary.missing_terms(pairs, ["k"], "s", "t", names).where("source = 'net'").collect()} == {"net PROFIT \U0001f600rose"}
+    assert "Join [__text" not in glossary.term_rows(pairs, ["k"], "s", names)._jdf.queryExecution().executedPlan().toString()
