@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,20 +80,126 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def _doubles(vector: str) -> Column:
+    """The vector in double precision; null if a null is in it."""
+    return F.when(~F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: x.cast("double")))
+
+
+#: Scores of a block of queries and vectors that a task holds at a time.
+BLOCK = 4_000_000
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, added up in the order of the dimensions, as SQL does."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _matrix(vectors: Iterable, size: int) -> np.ndarray:
+    """Vectors as rows; a null or empty vector is zero. One of another length than `size` is an error."""
+    rows = [np.zeros(size) if v is None or not len(v) else v for v in vectors]
+    if any(len(r) != size for r in rows):
+        raise ValueError(f"vectors of other lengths than {size}")
+    return np.array(rows, dtype=float).reshape(len(rows), size)
+
+
+class _Nearest:
+    """The k vectors nearest to each of the queries (a matrix) by cosine rounded to six digits, then by key, among those that it is given.
+
+    Cosines by matrix products in single precision only choose whom to score: all that they put no lower than the k-th so far, less what they may be wrong by. Scores are sums in double precision in the order of the
+    dimensions. `floor`: scores below which a query needs nothing.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
+        self.q, self.k, self.norms, self.units = queries, k, np.sqrt(_dots(queries, queries)), _unit(queries).astype(np.float32)
+        self.slack = 3e-6 + 2.4e-7 * queries.shape[1]
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
+        self.who, self.scores, self.keys = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, keys: np.ndarray, v: np.ndarray, who: np.ndarray | None = None) -> None:
+        """Vectors v for all queries, or for those numbered."""
+        who = np.arange(len(self.q)) if who is None else who
+        if not len(who) or not len(v):
+            return
+        # of equal vectors, only the first k by key can be among the nearest
+        same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+        order = np.lexsort((np.unique(keys, return_inverse=True)[1].ravel(), same))
+        order = order[_places(same[order]) < self.k]
+        keys, v = keys[order], v[order]
+        norms, units = np.sqrt(_dots(v, v)), _unit(v).astype(np.float32)
+        step = max(self.k + 1, BLOCK // len(who))
+        for i in range(0, len(v), step):
+            cosine = self.units[who] @ units[i : i + step].T
+            least = self.floor[who] - self.slack
+            hopeful = ~(cosine < least[:, None])
+            if hopeful.sum() > 4 * self.k * len(who) and cosine.shape[1] > self.k:
+                kth = np.partition(cosine, -self.k, axis=1)[:, -self.k]
+                hopeful = ~(cosine < np.fmax(least, kth - 2 * self.slack)[:, None])
+            asked, found = np.nonzero(hopeful)
+            for j in range(0, len(asked), BLOCK // 8):
+                self._take(who[asked[j : j + BLOCK // 8]], i + found[j : j + BLOCK // 8], keys, v, norms)
+
+    def _take(self, who: np.ndarray, found: np.ndarray, keys: np.ndarray, v: np.ndarray, norms: np.ndarray) -> None:
+        norm = norms[found] * self.norms[who]
+        with np.errstate(all="ignore"):
+            raw = np.where(norm <= 0, 0.0, _dots(v[found], self.q[who]) / norm)
+            scores = np.copysign(np.floor(np.abs(raw) * 1e6 + 0.5), raw) / 1e6 + 0.0
+        keep = ~(scores < self.floor[who])
+        who, scores, taken = who[keep], scores[keep], keys[found[keep]]
+        touched = np.isin(self.who, who)
+        who, scores = np.concatenate([self.who[touched], who]), np.concatenate([self.scores[touched], scores])
+        taken = taken if self.keys is None else np.concatenate([self.keys[touched], taken])
+        order = np.lexsort((np.unique(taken, return_inverse=True)[1].ravel(), -np.where(np.isnan(scores), np.inf, scores), who))
+        place = _places(who[order])
+        order, place = order[place < self.k], place[place < self.k]
+        last = order[place == self.k - 1]
+        self.floor[who[last]] = np.fmax(self.floor[who[last]], scores[last])
+        rest = ~touched
+        self.keys = taken[order] if self.keys is None else np.concatenate([self.keys[rest], taken[order]])
+        self.who, self.scores = np.concatenate([self.who[rest], who[order]]), np.concatenate([self.scores[rest], scores[order]])
+
+
+def _places(group: np.ndarray) -> np.ndarray:
+    """Each row's place within its group, from 0; rows lie by group."""
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    return np.arange(len(group)) - np.repeat(begin, np.diff(np.r_[begin, len(group)]))
+
+
+def _asked(queries: DataFrame, query: str) -> tuple[np.ndarray, np.ndarray]:
+    """(names, matrix) of a bounded set of queries (query, vector)."""
+    rows = queries.select(query, _doubles("vector").alias("v")).collect()
+    names = np.empty(len(rows), dtype=object)
+    names[:] = [r[query] for r in rows]
+    return names, _matrix([r["v"] for r in rows], max((len(r["v"] or []) for r in rows), default=0) or 1)
+
+
+def _ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int = 5, max_queries: int = 10_000) -> DataFrame:
     """Top k vectors of each query by cosine: query, key, score, rank; a zero vector has score 0.
 
-    The queries are a stated set, of checked size, met with all vectors; each task keeps k of its own before they are ranked together.
+    The queries are a stated set, of checked size, that goes to all tasks and is met with all vectors, block by block in matrix products; each task hands on k of its own for each query (see `_Nearest`).
     """
     if queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries: run them in parts")
-    v = vectors.select(key, F.col(vector).alias("__v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("__vn"))
-    q = queries.select(F.col(query), F.col("vector").alias("__q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("__qn"))
-    pairs = v.crossJoin(F.broadcast(q))  # at most max_queries rows
-    norm = F.col("__vn") * F.col("__qn")
-    scored = pairs.select(query, key, F.round(F.when(norm > 0, dot(F.col("__v"), F.col("__q")) / norm).otherwise(0.0), 6).alias("score"))
-    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    kinds = dict(queries.dtypes)[query], dict(vectors.dtypes)[key]
+    names, matrix = _asked(queries, query)  # at most max_queries rows
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nearest = _Nearest(matrix, k)
+        for rows in batches:
+            # without a query that is not zero, all scores are
+            nearest.add(rows["__key"].to_numpy(), _matrix(rows["vector"] if matrix.any() else [None] * len(rows), matrix.shape[1]))
+        if nearest.keys is not None:
+            yield pd.DataFrame({query: names[nearest.who], key: nearest.keys, "score": nearest.scores})
+
+    rows = vectors.select(F.col(key).alias("__key"), _doubles(vector).alias("vector"))
+    return _ranked(rows.mapInPandas(search, f"{query} {kinds[0]}, {key} {kinds[1]}, score double"), query, key, k)
 
 
 # ---- an index that grows

@@ -113,6 +113,31 @@ def test_vector_index_recall_on_the_embeddings(spark):
     assert len({(r["q"], r["vec_id"]) for r in got} & exact) / len(exact) >= 0.9
 
 
+def test_vector_search_with_many_equal_vectors(spark):
+    """More copies and near copies than there are places, null, empty and partly null vectors, keys that are texts, against all pairs; no row is made for a pair."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 12)).astype(np.float32)
+    x[100:300], x[300:400], x[400:420] = x[5], x[6] + 1e-7 * rng.standard_normal((100, 12)), 0
+    rows = [(f"k{i * 7 % 900}", v.tolist()) for i, v in enumerate(x)] + [("n0", None), ("n1", []), ("n2", [None] + [1.0] * 11)]
+    v = spark.createDataFrame(rows, "id string, e array<float>").repartition(3)
+    asked = [(i, x[i].tolist()) for i in (5, 6, 150, 350, 410, 700)] + [(1000, None)]
+    got = retrieval.vector_search(v, spark.createDataFrame(asked, "q int, vector array<float>"), "id", "e", "q")
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    of = lambda e: np.array(e if e and None not in e else [0.0] * 12, dtype=np.float32).astype(float)
+    want = set()
+    for q, e in asked:
+        scores = []
+        for key, w in rows:
+            a, b = of(e), of(w)
+            dot = lambda a, b: sum((p * r for p, r in zip(a.tolist(), b.tolist(), strict=True)), 0.0)
+            norm = math.sqrt(dot(b, b)) * math.sqrt(dot(a, a))
+            scores.append((-round(dot(b, a) / norm if norm else 0.0, 6), key))
+        want |= {(q, key, -s, i + 1) for i, (s, key) in enumerate(sorted(scores)[:5])}
+    assert {(r["q"], r["id"], r["score"], r["rank"]) for r in got.collect()} == want
+    with pytest.raises(Exception, match="other lengths"):
+        retrieval.vector_search(v, spark.createDataFrame([(1, [1.0])], "q int, vector array<float>"), "id", "e", "q").collect()
+
+
 def test_embedding_by_a_callable(spark):
     texts = spark.createDataFrame([(1, "abc"), (2, None), (3, "aab")], "id int, t string")
     got = {r["id"]: list(r["vector"]) for r in retrieval.embed_texts(texts, "id", "t", lambda ts: [[t.count("a"), len(t)] for t in ts], batch=2).collect()}
