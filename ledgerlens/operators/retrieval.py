@@ -76,10 +76,6 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def _doubles(vector: str) -> Column:
     """The vector in double precision; null if a null is in it."""
     return F.when(~F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: x.cast("double")))
@@ -254,16 +250,27 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
+def _closest(units: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centroid, cosine to it) of unit vectors; a block of them at a time, so that memory has a bound."""
+    step = max(1, BLOCK // max(1, len(centroids)))
+    nearest, cosine = np.zeros(len(units), np.int64), np.zeros(len(units))
+    for i in range(0, len(units), step):
+        all_ = units[i : i + step] @ centroids.T
+        nearest[i : i + step] = all_.argmax(axis=1)
+        cosine[i : i + step] = all_[np.arange(len(all_)), nearest[i : i + step]]
+    return nearest, cosine
+
+
 def fit_centroids(vectors: DataFrame, key: str, vector: str, lists: int, max_rows: int = 20_000, rounds: int = 10) -> np.ndarray:
     """Unit centroids of `lists` clusters by spherical k-means, fitted on at most `max_rows` vectors (those whose key has the smallest hash)."""
-    sample = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(max_rows).select(F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    sample = vectors.where(F.size(vector) > 0).where(~F.exists(vector, lambda x: x.isNull())).orderBy(F.xxhash64(key), key).limit(max_rows).select(_doubles(vector).alias("v"))
     rows = [r["v"] for r in sample.collect()]  # bounded by max_rows
     if not rows:
         return np.zeros((0, 0))
     x = _unit(np.array(rows, dtype=float))
     centroids = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
     for _ in range(rounds):
-        nearest = (x @ centroids.T).argmax(axis=1)
+        nearest, _ = _closest(x, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, x)
         centroids = np.where((sums != 0).any(axis=1, keepdims=True), _unit(sums), centroids)
@@ -282,55 +289,68 @@ def vector_index(vectors: DataFrame, key: str, vector: str, lists: int | None =
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                cosine = _unit(np.stack(rows["vector"].to_numpy()).astype(float)) @ centroids.T
-                nearest = cosine.argmax(axis=1)
-                angle = np.arccos(np.clip(cosine[np.arange(len(rows)), nearest], -1, 1))
+                nearest, cosine = _closest(_unit(_matrix(rows["vector"], centroids.shape[1])), centroids)
+                angle = np.arccos(np.clip(cosine, -1, 1))
                 yield pd.DataFrame({key: rows[key], "vector": rows["vector"], "list": nearest.astype("int32"), "angle": angle})
 
-    rows = vectors.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    rows = vectors.where(F.col(vector).isNotNull()).select(key, _doubles(vector).alias("vector"))
     return rows.mapInPandas(assign, f"{key} {kind}, vector array<double>, list int, angle double"), centroids
 
 
-def index_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, query: str, k: int = 5, probes: int = 8, exact: bool = False, part: int = 100_000) -> DataFrame:
+def index_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, query: str, k: int = 5, probes: int = 8, exact: bool = False, part: int = 100_000, asked: int = 10_000) -> DataFrame:
     """Top k vectors of each query (query, vector) by cosine, out of its `probes` nearest lists: query, key, score, rank.
 
-    Queries meet lists by an equi-join; a list of more than `part` vectors is dealt out in parts of that size, each of which meets the queries. With `exact`, a second round searches the lists that may hold better vectors than the
-    k-th of the first round: an angle to a vector is at least the angle to its centroid less the list's widest. The result then equals a search of all vectors (`index` must be a table: it is read twice).
+    The queries go to the lists some `asked` at a time, any number of them. The index is dealt out by list, a list of more than `part` vectors in parts of that size; a list meets the queries that it is to be searched for in
+    matrix products, and each task hands on k of its own for each query. With `exact`, a second round searches the lists that may hold better vectors than the k-th of the first round: an angle to a vector is at least the
+    angle to its centroid less the list's widest. The result then equals a search of all vectors (`index` must be a table: it is read more than once).
     """
-    kind = dict(queries.dtypes)[query]
-
-    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows) and len(centroids):
-                unit = _unit(np.stack(rows["vector"].to_numpy()).astype(float))
-                angle = np.arccos(np.clip(unit @ centroids.T, -1, 1))
-                order = np.argsort(angle, axis=1, kind="stable")
-                for i, name in enumerate(rows["__id"]):
-                    yield pd.DataFrame({"__id": name, "list": order[i].astype("int32"), "near": angle[i, order[i]], "place": np.arange(len(centroids), dtype="int32")})
-
-    lists = index.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("widest"))
-    q = queries.select(F.col(query).alias("__id"), F.transform("vector", lambda x: x.cast("double")).alias("__q"))
-    asked = q.select("__id", F.col("__q").alias("vector")).mapInPandas(angles, f"__id {kind}, list int, near double, place int").join(lists, "list")
+    kinds = dict(queries.dtypes)[query], dict(index.dtypes)[key]
+    schema = f"{query} {kinds[0]}, {key} {kinds[1]}, score double"
+    if not len(centroids):
+        return _ranked(index.sparkSession.createDataFrame([], schema), query, key, k)
+    stats = index.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("widest"))
+    widest = np.zeros(len(centroids))
+    for r in stats.collect():  # a row for each list
+        widest[r["list"]] = r["widest"]
     parts = F.ceil(F.col("size") / part).cast("int")
-    stored = index.select(F.col(key).alias("__key"), "vector", "list")
-    dealt = stored.join(lists.select("list", parts.alias("parts")), "list").withColumn("part", F.pmod(F.xxhash64("__key"), F.col("parts")).cast("int"))
-
-    def meet(pairs: DataFrame) -> DataFrame:
-        spread = pairs.select("__id", "list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).join(q, "__id")
-        found = dealt.join(spread, ["list", "part"])
-        norm = F.sqrt(dot(F.col("vector"), F.col("vector"))) * F.sqrt(dot(F.col("__q"), F.col("__q")))
-        return found.select("__id", "__key", F.round(F.when(norm > 0, dot(F.col("vector"), F.col("__q")) / norm).otherwise(0.0), 6).alias("score"))
-
-    def best(scored: DataFrame) -> DataFrame:
-        w = Window.partitionBy("__id").orderBy(F.desc("score"), "__key")
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    named = lambda df: df.select(F.col("__id").alias(query), F.col("__key").alias(key), "score", "rank")
-    first = best(meet(asked.where(F.col("place") < probes)))
-    if not exact:
-        return named(first)
-    worst = first.groupBy("__id").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("found"))
-    # a little more than what rounding to six digits hides
-    hope = F.cos(F.greatest(F.lit(0.0), F.col("near") - F.col("widest"))) + 2e-6
-    more = asked.where(F.col("place") >= probes).join(worst, "__id", "left").where((F.coalesce("found", F.lit(0)) < k) | (hope >= F.col("worst")))
-    return named(best(first.drop("rank").unionByName(meet(more))))
+    stored = index.select(F.col(key).alias("__key"), "vector", "list").join(F.broadcast(stats.select("list", parts.alias("parts"))), "list")
+    dealt = stored.repartition("list", F.pmod(F.xxhash64("__key"), F.col("parts"))).sortWithinPartitions("list").drop("parts")
+
+    def meet(names: np.ndarray, matrix: np.ndarray, probed: np.ndarray, worst: np.ndarray | None) -> DataFrame:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            nearest, units = _Nearest(matrix, k, worst), _unit(matrix)
+            for rows in batches:
+                v, keys = _matrix(rows["vector"], matrix.shape[1]), rows["__key"].to_numpy()
+                for n, at in rows.groupby("list").indices.items():
+                    who = (probed == n).any(axis=1)
+                    if worst is not None:
+                        near = np.arccos(np.clip(units @ centroids[n], -1, 1))
+                        # a little more than what rounding to six digits hides
+                        who = ~who & ~(np.cos(np.maximum(0.0, near - widest[n])) + 2e-6 < nearest.floor)
+                    nearest.add(keys[at], v[at], np.flatnonzero(who))
+            if nearest.keys is not None:
+                yield pd.DataFrame({query: names[nearest.who], key: nearest.keys, "score": nearest.scores})
+
+        return dealt.mapInPandas(search, schema)
+
+    def some(queries: DataFrame) -> DataFrame:
+        names, matrix = _asked(queries, query)  # `asked` rows or so
+        if not matrix.any():
+            matrix = np.zeros((len(names), centroids.shape[1]))
+        units = _unit(matrix)
+        probed = np.zeros((len(names), min(probes, len(centroids))), np.int32)
+        for i in range(0, len(names), step := max(1, BLOCK // len(centroids))):
+            probed[i : i + step] = np.argsort(-(units[i : i + step] @ centroids.T), axis=1, kind="stable")[:, : probed.shape[1]]
+        first = _ranked(meet(names, matrix, probed, None), query, key, k)
+        if not exact:
+            return first
+        first = writer(index.sparkSession)(first)
+        worst = {r[0]: r[1] for r in first.groupBy(query).agg(F.min("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).collect()}
+        worst = np.nan_to_num(np.array([worst.get(n, -np.inf) for n in names], dtype=float), nan=-np.inf, neginf=-np.inf)
+        return _ranked(first.drop("rank").unionByName(meet(names, matrix, probed, worst)), query, key, k)
+
+    groups = max(1, -(-queries.count() // asked))
+    found = [some(queries.where(F.pmod(F.xxhash64(query), F.lit(groups)) == i)) for i in range(groups)]
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0]

@@ -138,6 +138,19 @@ def test_vector_search_with_many_equal_vectors(spark):
         retrieval.vector_search(v, spark.createDataFrame([(1, [1.0])], "q int, vector array<float>"), "id", "e", "q").collect()
 
 
+def test_index_search_takes_any_number_of_queries(spark):
+    """Queries go to the lists some at a time, and no row is made for a query and a list."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    queries = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+    index, centroids = retrieval.vector_index(e, "vec_id", "embedding")
+    index = writer(spark)(index)
+    rows = lambda df: {(r["q"], r["vec_id"], r["score"], r["rank"]) for r in df.collect()}
+    want = rows(retrieval.vector_search(e, queries, "vec_id", "embedding", "q"))
+    for asked in (7, 10_000):
+        got = retrieval.index_search(index, centroids, queries, "vec_id", "q", exact=True, asked=asked)
+        assert rows(got) == want and len(want) == 5 * queries.count()
+
+
 def test_embedding_by_a_callable(spark):
     texts = spark.createDataFrame([(1, "abc"), (2, None), (3, "aab")], "id int, t string")
     got = {r["id"]: list(r["vector"]) for r in retrieval.embed_texts(texts, "id", "t", lambda ts: [[t.count("a"), len(t)] for t in ts], batch=2).collect()}
