@@ -13,8 +13,8 @@ from ledgerlens.operators.keep import writer
 
 
 def postings(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, token, tf)."""
-    return texts.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, token, tf). The texts are dealt out by key, so that a text's tokens are counted where it lies, and postings are not shuffled."""
+    return texts.repartition(key).select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int = 5, block: int = 200_000, max_postings: int = 2_000_000, keep=None) -> DataFrame:
@@ -22,22 +22,23 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k:
 
     corpus and queries are postings. A token that no document has counts with idf 1 in the query's norm. The queries are a stated set of checked size (`max_postings`; more are an error: run them in parts) and
     go to all tasks. The postings are dealt out by ranges of documents (hashed, so many that a range has some `block` postings), so a very frequent token is spread over all ranges; a range scores its
-    documents for all queries in arrays and hands on k of each query. So no row is made for a query and a document that share a token but for k in each range. Postings and weights are read more than once and
-    written by `keep` (tables of the shared folder).
+    documents for all queries in arrays and hands on k of each query. So no row is made for a query and a document that share a token but for k in each range. Only postings of tokens of queries go to the ranges; those of
+    others only count in their document's norm. Postings and idf are read more than once and written by `keep` (tables of the shared folder).
     """
     keep = keep or writer(corpus.sparkSession)
     corpus = keep(corpus)
     sizes = corpus.agg(F.count_distinct(doc).alias("n"), F.count(F.lit(1)).alias("postings"))
     n, postings_ = sizes.first()
     df = corpus.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = keep(df.select("token", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
-    q = queries.join(idf, "token", "left").select(query, "token", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("qw"))
+    idf = keep(df.select("token", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+    q = queries.join(idf, "token", "left").select(query, "token", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("qw"), "idf")
     rows = q.limit(max_postings + 1).collect()  # bounded by max_postings
     if len(rows) > max_postings:
         raise ValueError(f"more than {max_postings} postings of queries: run them in parts")
     wanted: dict = {}
-    for name, token, weight in rows:
+    for name, token, weight, _ in rows:
         wanted.setdefault(name, []).append((token, weight))
+    known = {token: w for _, token, _, w in rows if w is not None}
     numbers = {t: i for i, t in enumerate(sorted({t for r in wanted.values() for t, _ in r}))}
     asked = []
     for name, parts in wanted.items():
@@ -48,6 +49,9 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k:
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         docs, at = np.unique(rows[doc].to_numpy(), return_inverse=True)
         number, weight = rows["number"].to_numpy(np.int64), rows["weight"].to_numpy()
+        norm, own = np.ones(len(docs)), number < 0
+        norm[at[own]] = weight[own]
+        number, at, weight = number[~own], at[~own], weight[~own] / norm[at[~own]]
         order = np.argsort(number, kind="stable")
         number, at, weight = number[order], at[order], weight[order]
         begin = np.searchsorted(number, np.arange(len(numbers) + 1))
@@ -66,11 +70,16 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k:
         return pd.DataFrame(out, columns=[query, doc, "score"])
 
     ranges = max(1, -(-postings_ // block))
-    weighed = keep(corpus.join(idf, "token").select(doc, "token", (F.col("tf") * F.col("idf")).alias("dw")))
-    norms = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
-    # only tokens of queries go on, as numbers
-    asked_for = corpus.sparkSession.createDataFrame([(t, i) for t, i in numbers.items()], "token string, number bigint")
-    parts = weighed.join(asked_for, "token").join(norms, doc).select(doc, "number", (F.col("dw") / F.col("dn")).alias("weight"), F.pmod(F.xxhash64(doc), F.lit(ranges)).alias("range"))
+    # of tokens in one document of a thousand, there are at most a thousand times those of a mean document; the rest of the postings meet their tokens in a shuffle
+    common = F.col("df") * 1000 >= n
+    often = F.broadcast(idf.where(common).select("token", "idf"))
+    square = (F.col("tf") * F.col("idf") * (F.col("tf") * F.col("idf"))).alias("square")
+    rest = corpus.join(often.select("token"), "token", "left_anti").join(idf.where(~common).select("token", "idf"), "token")
+    norms = corpus.join(often, "token").select(doc, square).unionByName(rest.select(doc, square)).groupBy(doc).agg(F.sqrt(F.sum("square")).alias("weight"))
+    # only tokens of queries go on, as numbers; a document's norm has number -1
+    asked_for = F.broadcast(corpus.sparkSession.createDataFrame([(t, i, known[t]) for t, i in numbers.items() if t in known], "token string, number bigint, idf double"))
+    weighed = corpus.join(asked_for, "token").select(doc, "number", (F.col("tf") * F.col("idf")).alias("weight"))
+    parts = weighed.unionByName(norms.select(doc, F.lit(-1).cast("bigint").alias("number"), "weight")).withColumn("range", F.pmod(F.xxhash64(doc), F.lit(ranges)))
     scored = parts.groupBy("range").applyInPandas(score, f"{query} {kinds[1]}, {doc} {kinds[0]}, score double")
     w = Window.partitionBy(query).orderBy(F.desc("score"), doc)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -85,6 +85,28 @@ def test_tfidf_in_ranges(spark):
         retrieval.tfidf_search(corpus, queries, "doc", "q", max_postings=3)
 
 
+def test_tfidf_writes_postings_once(spark):
+    """Texts meet their key before they become postings, only postings and idf are written, and rare tokens (less than one document of a thousand) count in the norms."""
+    rng = random.Random(8)
+    texts = {i: [f"c{rng.randint(0, 20)}" for _ in range(4)] + [f"r{i}", f"s{i // 2}"] for i in range(2500)}
+    df = spark.createDataFrame([(i, w[a::2]) for i, w in texts.items() for a in (0, 1)], "doc int, w array<string>").repartition(3)  # two rows for each
+    asked = {1: ["c1", "r7", "none"], 2: ["s40"]}
+    corpus, queries = retrieval.postings(df, "doc", F.col("w")), retrieval.postings(spark.createDataFrame(list(asked.items()), "q int, w array<string>"), "q", F.col("w"))
+    assert not [x for x in corpus._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and "token" in x]
+    kept = []
+    keep = writer(spark)
+    got = retrieval.tfidf_search(corpus, queries, "doc", "q", keep=lambda d: kept.append(d.columns) or keep(d))
+    n = Counter(t for w in texts.values() for t in set(w))
+    vector = lambda ws: {t: k * (math.log((1 + len(texts)) / (1 + n[t])) + 1 if n[t] else 1.0) for t, k in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = set()
+    for q, ws in asked.items():
+        v = vector(ws)
+        scores = sorted((-round(sum(v[t] * d.get(t, 0) for t in v) / norm(v) / norm(d), 6), i) for i, d in ((i, vector(w)) for i, w in texts.items()))
+        want |= {(q, i, -x, k + 1) for k, (x, i) in enumerate([x for x in scores if x[0] < 0][:5])}
+    assert {(r["q"], r["doc"], round(r["score"], 6), r["rank"]) for r in got.collect()} == want and len(kept) == 2
+
+
 def test_vector_index_against_all_vectors(spark):
     rng = np.random.default_rng(4)
     middles = rng.standard_normal((30, 24))
