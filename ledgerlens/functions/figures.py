@@ -16,6 +16,10 @@ CN_NUMERAL = "[零一二三四五六七八九十百千万亿两]+"
 CN_FOLLOWERS = r"^(?:[千百％]|\s*[元万亿个股人家名倍%])"
 #: A numeral that ends in, or whose following characters make it, a unit of the table of units, with a bar between the two.
 CN_UNIT = "^(?:" + "|".join(f"{u[:k]}\\|{u[k:]}" for u in UNITS for k in range(1, len(u) + 1) if re.fullmatch(CN_NUMERAL, u[:k])) + ")"
+#: What before a figure makes it a scale mark.
+SCALE_MARK = "['’′]$"
+#: A text that is one figure from end to end, and what a text without any figure has none of.
+PLAIN, SIGN = r"^\(?[-+]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?\)?\z", CN_NUMERAL[:-2] + "0-9０-９]"
 #: What stands beside a figure of a date.
 DATE_AFTER, DATE_BEFORE, MONTH = r"^\s*(?:月|日|号|年|月份)", r"(?:年|月|日|号|第)\s*$", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sept?|oct|nov|dec)"
 
@@ -66,7 +70,7 @@ def figures(df: DataFrame, text_col: str, keys: list[str], hint: Column | None =
     window = lambda at, n: F.substr("__text", at, n)
     before = window(F.greatest(F.col("start") - 9, F.lit(1)), F.least(F.col("start"), F.lit(10)))
     rows = rows.withColumn("__before", before).withColumn("__after", window(F.col("end") + 1, F.when(F.col("cn"), 6).otherwise(12)))
-    rows = rows.where(~F.col("__before").rlike("['’′]$") | F.col("cn"))
+    rows = rows.where(~F.col("__before").rlike(SCALE_MARK) | F.col("cn"))
     rows = rows.withColumn("__unit", resolve_unit(F.col("raw"), F.when(F.col("cn"), "").otherwise(F.col("__before")), F.col("__after"), F.col("__hint")))
     value = F.when(F.col("cn"), chinese_numeral(F.col("raw")).cast("double")).otherwise(value_of(F.col("raw")))
     round_ = F.when(F.col("cn"), 10).otherwise(14)
@@ -82,6 +86,18 @@ def _tagged(found: Column, cn: bool) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), F.lit(cn).alias("cn")))
 
 
+def raw_figures(text: Column) -> Column:
+    """Array of the raw figures of a text, just those that figures() has for it. Texts without any, or that are one plain figure, need no search."""
+
+    def found(t: Column) -> Column:
+        own = lambda s: s["cn"] | ~F.substr(t, F.greatest(s["start"] - 9, F.lit(1)), F.least(s["start"], F.lit(10))).rlike(SCALE_MARK)
+        both = lambda d: F.array_sort(F.concat(_tagged(d, False), _tagged(chinese_spans(t, d), True)))
+        return F.transform(F.filter(_let(spans(t), both), own), lambda s: F.trim(s["raw"]))
+
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(PLAIN), F.array(text)).when(text.rlike(SIGN), _let(normalize_width(text), found)).otherwise(none)
+
+
 def figure_list(text: Column) -> Column:
     """Array of the raw figures of a text, digits and Chinese numerals, as figures() finds them but for scale marks."""
     return _let(text, _figures_of)

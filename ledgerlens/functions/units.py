@@ -61,7 +61,7 @@ def unit_from_note(note: Column) -> Column:
     """The unit that a table's note states for its figures; null without one."""
     note = normalize_width(F.coalesce(note, F.lit("")))
     thousand, million = note.rlike(r"'\s*000") | note.rlike(r"\b000\b"), note.rlike(r"(?i)\bmillion\b")
-    return _first([(thousand, _entry("thousand", MONEY, 1e3)), (million, _entry("million", MONEY, 1e6)), (F.lit(True), parse_unit(note))])
+    return F.when(note != "", _first([(thousand, _entry("thousand", MONEY, 1e3)), (million, _entry("million", MONEY, 1e6)), (F.lit(True), parse_unit(note))]))
 
 
 #: What tells, in the other language, that a note of this multiplier is kept.
@@ -98,7 +98,8 @@ def resolve_unit(raw: Column, before: Column, after: Column, hint: Column) -> Co
     none = F.struct(F.lit("").alias("unit"), F.when(small, RATIO).otherwise(UNKNOWN).alias("dimension"), F.lit(1.0).alias("multiplier"))
     percent = F.when(after.rlike(r"(?i)^\s*(?:%|％|percent|per cent)") | before.rlike(r"百分之\s*$"), _entry("%", RATIO, 0.01))
     points = F.when(after.rlike(r"(?i)^\s*(?:bps?|个?基点)(?![A-Za-z0-9])"), _entry("bp", RATIO, 1e-4))
-    return F.coalesce(percent, points, leading_unit(after), F.when(before.rlike(marks), money), hint, none)
+    bare = (before == "") & (after == "")  # nothing to search
+    return F.when(bare, F.coalesce(hint, none)).otherwise(F.coalesce(percent, points, leading_unit(after), F.when(before.rlike(marks), money), hint, none))
 
 
 def chinese_numeral(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.figures import figures
+from ledgerlens.functions.figures import figures, raw_figures
 from ledgerlens.functions.units import UNKNOWN, mentions_note, unit_from_note
 from ledgerlens.operators.keep import writer
 
@@ -19,7 +19,7 @@ KINDS = ("matched", "mismatched", "missing", "added")
 
 
 def outer(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
-    """source and target fully outer-joined on key: key, __s and __t (structs of the other columns of each side, null where a side has no row).
+    """source and target fully outer-joined on key: key, __s and __t (structs of the other columns of each side, null where a side has no row), and __alone: whether no side has a second row of that key.
 
     Both sides go through one sort by key rather than a join, so that rows that are dealt out by a part of the key already stay where they are. Rows with a null in the key meet none, as in a join.
     """
@@ -35,7 +35,8 @@ def outer(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     own = F.array(F.col("__t"))  # of one side alone: its row as it is
     met = both.withColumn("__ts", F.collect_list("__t").over(w)).withColumn("__n", F.count("__s").over(w)).where(F.col("__s").isNotNull() | (F.col("__n") == 0) | ~whole)
     targets = F.when(F.col("__s").isNull() | ~whole, own).when(F.size("__ts") == 0, own).otherwise(F.col("__ts"))
-    return met.select(*key, "__s", F.explode(targets).alias("__t"))
+    alone = (F.size("__ts") <= 1) & (F.col("__n") <= 1)
+    return met.select(*key, "__s", F.explode(targets).alias("__t"), alone.alias("__alone"))
 
 
 def match_exact(source: DataFrame, target: DataFrame, owner: list[str]) -> DataFrame:
@@ -167,6 +168,20 @@ def pair_figures(source: list[dict], target: list[dict], near: float = NEAR) ->
     return out + [{"kind": "added", "source_at": None, "target_at": j, "edits": None, "change": None} for j in sorted(free)]
 
 
+def pair_of_figures(source: Column, target: Column, near: float = NEAR) -> Column:
+    """What pair_figures gives for one figure a side, or none (null), without Python."""
+    a, b = source["base_value"], target["base_value"]
+    at, no = F.lit(0), F.lit(None).cast("int")
+    finding = lambda kind, s, t, edits, change: F.struct(F.lit(kind).alias("kind"), s.alias("source_at"), t.alias("target_at"), edits.alias("edits"), change.cast("double").alias("change"))
+    change = F.when(a != 0, F.abs(b - a) / F.abs(a)).when(b != 0, F.lit(float("inf"))).otherwise(0.0)
+    edits = F.levenshtein(source["digits"], target["digits"])
+    missing, added = finding("missing", at, no, no, no), finding("added", no, at, no, no)
+    equal = (a == b) & ((source["dimension"] == target["dimension"]) | source["dimension"].eqNullSafe(F.lit(UNKNOWN)) | target["dimension"].eqNullSafe(F.lit(UNKNOWN)))
+    alike = (source["dimension"] == target["dimension"]) & (F.length(source["digits"]) == F.length(target["digits"])) & ((edits <= SLIP) | (change <= near))
+    met = F.when(equal, F.array(finding("matched", at, at, F.lit(0), F.lit(0.0)))).when(alike, F.array(finding("mismatched", at, at, edits, change))).otherwise(F.array(missing, added))
+    return F.when(source.isNotNull() & target.isNotNull(), met).when(source.isNotNull(), F.array(missing)).when(target.isNotNull(), F.array(added)).cast(FINDING)
+
+
 def compare(source: DataFrame, target: DataFrame, owner: list[str], near: float = NEAR) -> DataFrame:
     """Findings (owner, kind, source_raw, target_raw, reason) of all figures of two sides, as pair_figures gives them.
 
@@ -189,8 +204,10 @@ def _findings(both: DataFrame, owner: list[str], near: float) -> DataFrame:
         return pd.Series([pair_figures(list(s), list(t), near) for s, t in zip(source, target, strict=True)], dtype=object)
 
     none = F.array().cast(kind)
-    both = both.select(*owner, F.coalesce("s", none).cast(kind).alias("s"), F.coalesce("t", none).cast(kind).alias("t"))
-    found = both.select(*owner, "s", "t", F.explode(paired("s", "t")).alias("f"))
+    both = both.select(*owner, F.coalesce("s", none).cast(kind).alias("s"), F.coalesce("t", none).cast(kind).alias("t")).withColumn("few", (F.size("s") <= 1) & (F.size("t") <= 1))
+    several = lambda c: F.when(F.col("few"), none).otherwise(F.col(c))
+    both = both.withColumn("paired", paired(several("s"), several("t")))
+    found = both.select(*owner, "s", "t", F.explode(F.when(F.col("few"), pair_of_figures(F.get("s", F.lit(0)), F.get("t", F.lit(0)), near)).otherwise(F.col("paired"))).alias("f"))
     slip = F.format_string("digit slip (edit distance %d)", "f.edits")
     reason = F.when(F.col("f.kind") != "mismatched", "").when(F.col("f.edits") <= SLIP, slip).otherwise(F.format_string("value changed by %.3f%%", F.col("f.change") * 100))
     return found.select(*owner, "f.kind", F.get("s", F.col("f.source_at"))["raw"].alias("source_raw"), F.get("t", F.col("f.target_at"))["raw"].alias("target_raw"), reason.alias("reason"))
@@ -215,34 +232,66 @@ def check_texts(pairs: DataFrame, keys: list[str], source: str, target: str, not
     return found.union(structural(lost, keys, F.concat(F.lit("unit note not found in the target: "), F.col("n"))))
 
 
-def check_table_pairs(source: DataFrame, target: DataFrame, source_tables: DataFrame, target_tables: DataFrame, table: str = "table_id", near: float = NEAR) -> DataFrame:
+def check_table_pairs(source: DataFrame, target: DataFrame, source_tables: DataFrame, target_tables: DataFrame, table: str = "table_id", near: float = NEAR, keep=lambda df: df) -> DataFrame:
     """Findings (table, row, col, kind, source_raw, target_raw, reason) of tables against their counterparts, slot by slot.
 
     cells: (table, row, col, text); tables: (table, n_rows, n_cols, units_note). Structural findings (null row and col for those of a whole table):
     another shape, a slot of one side only, a dropped unit note. Figures are compared in each slot that both have; the target's take its own note, else the source's.
     A slot of equal texts under equal units has equal figures on both sides, each of which pair_figures matches with itself: they are read once and need no pairing.
+    `keep` writes what has met, which is read twice, and reads it again; without it both sides meet twice.
+    """
+    slot = [table, "row", "col"]
+    met = outer(source.select(*slot, "text"), target.select(*slot, "text"), slot)
+    met = met.select(*slot, F.col("__s.text").alias("s"), F.col("__t.text").alias("t"), F.col("__s").isNotNull().alias("in_s"), F.col("__t").isNotNull().alias("in_t"), F.col("__alone").alias("alone"))
+    return _check(met, lambda df: df, source_tables, target_tables, table, near, keep)
+
+
+def check_row_pairs(source: DataFrame, target: DataFrame, source_tables: DataFrame, target_tables: DataFrame, table: str = "table_id", near: float = NEAR, keep=lambda df: df) -> DataFrame:
+    """What check_table_pairs finds, for tables kept by rows: (table, row, texts), the texts being those of the columns from 0 on; no cell stands beyond their end.
+
+    Rows meet whole, so that a sort has one entry for a row and not one for each of its cells; their slots are parted after that.
+    """
+    row = [table, "row"]
+    met = outer(source.select(*row, "texts"), target.select(*row, "texts"), row)
+    texts = lambda side: F.coalesce(F.col(side)["texts"], F.array().cast("array<string>"))
+    met = met.select(*row, texts("__s").alias("s"), texts("__t").alias("t"), F.col("__alone").alias("alone"))
+
+    def slots(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("s", "t")]
+        parted = df.select(*rest, F.size("s").alias("__sn"), F.size("t").alias("__tn"), F.posexplode(F.arrays_zip("s", "t")).alias("col", "x"))
+        return parted.select(*rest, "col", "x.s", "x.t", (F.col("col") < F.col("__sn")).alias("in_s"), (F.col("col") < F.col("__tn")).alias("in_t"))
+
+    return _check(met, slots, source_tables, target_tables, table, near, keep)
+
+
+def _check(met: DataFrame, slots, source_tables: DataFrame, target_tables: DataFrame, table: str, near: float, keep) -> DataFrame:
+    """Findings of what has met: its rows (table, s, t, alone) become slots (table, row, col, s, t, in_s, in_t) by `slots`.
+
+    Slots that need no pairing are told in one pass, those that do in another, which leaves out equal rows before they are parted.
     """
     slot = [table, "row", "col"]
     shape = lambda df, p: df.select(table, F.col("n_rows").alias(f"{p}r"), F.col("n_cols").alias(f"{p}c"), F.trim(F.coalesce("units_note", F.lit(""))).alias(f"{p}n"))
     shapes = shape(source_tables, "s").join(shape(target_tables, "t"), table)
-    met = outer(source.select(*slot, "text"), target.select(*slot, "text"), slot)
-    both = met.select(*slot, F.col("__s.text").alias("s"), F.col("__t.text").alias("t"), F.col("__s").isNotNull().alias("in_s"), F.col("__t").isNotNull().alias("in_t")).join(shapes.select(table, "sn", "tn"), table)
+    # several cells of a side in one slot, or several shapes of a table, are compared all together, as one owner
+    notes = shapes.select(table, "sn", "tn", (F.count(F.lit(1)).over(Window.partitionBy(table)) == 1).alias("once"))
     s_note, t_note = F.col("sn"), F.coalesce(F.nullif("tn", F.lit("")), "sn")
-    met = both.where("in_s and in_t")
-    # several cells of a side in one slot are compared all together, as one owner
-    alone = F.count(F.lit(1)).over(Window.partitionBy(*slot)) == 1
-    met = met.withColumn("same", alone & F.col("s").eqNullSafe(F.col("t")) & (s_note == t_note))
-    equal = figures(met.where("same"), "s", slot, unit_from_note(s_note)).select(*slot, F.lit("matched").alias("kind"), F.col("raw").alias("source_raw"), F.col("raw").alias("target_raw"), F.lit("").alias("reason"))
+    same = F.col("only") & F.col("s").eqNullSafe(F.col("t"))
+    met = met.join(notes, table).withColumn("only", F.col("alone") & F.col("once") & (s_note == t_note)).drop("alone", "once")
+    met = keep(met.withColumn("equal", same).withColumn("t", F.when(~F.col("equal"), F.col("t")))).withColumn("t", F.when(F.col("equal"), F.col("s")).otherwise(F.col("t")))
+    gone = F.when(~F.col("in_t"), "cell exists in the source but not the target").when(~F.col("in_s"), "cell exists in the target but not the source")
+    own = slots(met).select(*slot, gone.alias("gone"), F.when(F.col("in_s") & F.col("in_t") & same, raw_figures(F.coalesce("s", F.lit("")))).alias("raws"))
+    # outer, or a filter on what is found would find it twice
+    own = own.select(*slot, "gone", F.explode_outer("raws").alias("raw")).where("gone is not null or raw is not null")
+    kind = F.when(F.col("gone").isNotNull(), "structural").otherwise("matched")
+    found = own.select(*slot, kind.alias("kind"), F.col("raw").alias("source_raw"), F.col("raw").alias("target_raw"), F.coalesce("gone", F.lit("")).alias("reason"))
     sides = F.array(F.struct(F.lit(True).alias("first"), F.col("s").alias("text"), s_note.alias("note")), F.struct(F.lit(False).alias("first"), F.col("t").alias("text"), t_note.alias("note")))
-    told = met.where("not same").select(*slot, F.inline(sides))
-    own = lambda first: F.array_sort(F.collect_list(F.when(F.col("first") == first, _facts())))
-    found = equal.union(_findings(figures(told, "text", [*slot, "first"], unit_from_note(F.col("note"))).groupBy(*slot).agg(own(True).alias("s"), own(False).alias("t")), slot, near))
-    lone = both.where("not in_s or not in_t")
+    told = slots(met.where("not equal")).where(F.col("in_s") & F.col("in_t") & ~same).select(*slot, F.inline(sides))
+    per_side = lambda first: F.array_sort(F.collect_list(F.when(F.col("first") == first, _facts())))
+    found = found.union(_findings(figures(told, "text", [*slot, "first"], unit_from_note(F.col("note"))).groupBy(*slot).agg(per_side(True).alias("s"), per_side(False).alias("t")), slot, near))
     whole = shapes.withColumn("row", F.lit(None).cast("int")).withColumn("col", F.lit(None).cast("int"))
     changed = whole.where("sr <> tr or sc <> tc")
     dropped = whole.where("sn <> '' and tn = ''")
     parts = [
-        structural(lone, slot, F.when(~F.col("in_t"), "cell exists in the source but not the target").otherwise("cell exists in the target but not the source")),
         structural(changed, slot, F.format_string("shape changed %dx%d -> %dx%d", "sr", "sc", "tr", "tc")),
         structural(dropped, slot, F.concat(F.lit("table unit note dropped in the target: "), F.col("sn"))),
     ]

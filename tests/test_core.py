@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerlens.functions import text as tx
-from ledgerlens.functions.figures import FIGURE, figures, spans
+from ledgerlens.functions.figures import FIGURE, figures, raw_figures, spans
 from ledgerlens.functions.units import UNIT, chinese_numeral, unit_from_note
 from ledgerlens.operators import glossary, numdiff, retrieval, review, risk, sections, tables, translate
+from ledgerlens.operators.keep import writer
 from ledgerlens.plans import catalogue
 from ledgerlens.sources import html_tables, layout
 
@@ -311,6 +312,50 @@ def test_equal_slots_need_no_pairing(spark):
     assert (got["matched"], got["mismatched"], got["missing"], got["added"], got["structural"]) == (4, 2, 0, 1, 1)
 
 
+ODD_TEXTS = ["12.50", "1,234", "(1,234.5)", "-7", "5)", "7\n", "1,2345", "'000", "5 '000", "'\n12", "a", "", None, "１２", "十二万元", "3万", "5 of 7", "1.2.3", " 8 ", "(5", "二", ".5", "+4%"]
+
+
+def test_raw_figures_are_those_of_figures(spark):
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id int, text string")
+    rows = {}
+    for r in figures(df, "text", ["id"]).orderBy("id", "ordinal").collect():
+        rows.setdefault(r["id"], []).append(r["raw"])
+    got = df.select("id", raw_figures(F.coalesce("text", F.lit(""))).alias("raws")).collect()
+    assert {r["id"]: r["raws"] for r in got if r["raws"]} == rows
+
+
+def test_a_pair_of_figures_needs_no_python(spark):
+    """One figure a side gives what pair_figures gives."""
+    some = [None, *[{"ordinal": 0, "raw": d, "dimension": n, "base_value": v, "digits": d} for n in ("money", "count", "unknown") for v, d in ((0.0, "0"), (100.0, "100"), (101.0, "101"), (900.0, "900"), (999.0, "999"), (20.0, ""), (1234.0, "1234"), (5678.0, "5678"))]]
+    kind = "struct<ordinal: int, raw: string, dimension: string, base_value: double, digits: string>"
+    df = spark.createDataFrame([(s, t) for s in some for t in some], f"s {kind}, t {kind}")
+    for r in df.withColumn("f", numdiff.pair_of_figures(F.col("s"), F.col("t"))).collect():
+        side = lambda c: [r[c].asDict()] if r[c] else []  # noqa: B023, E731
+        assert [f.asDict() for f in r["f"] or []] == numdiff.pair_figures(side("s"), side("t")), r
+
+
+def test_rows_meet_whole(spark):
+    """Tables by rows give the findings of their cells: rows of one side, unlike lengths, repeated rows, keys with null, notes, several shapes of a table."""
+    row = "table_id int, row int, texts array<string>"
+    odd = lambda i: [(1, n, ODD_TEXTS[n + i : n + i + 4]) for n in range(18)]
+    s = spark.createDataFrame([*odd(0), (2, 1, ["5", "6 and 7", None]), (2, 1, ["5", "8"]), (2, 2, []), (2, 3, None), (2, None, ["4"]), (3, 0, ["100", "7%"]), (4, 0, ["1"]), (5, 0, ["9", "12.50"]), (None, 0, ["1"])], row)
+    t = spark.createDataFrame([*odd(0)[:6], *odd(1)[6:], (2, 1, ["5", "6 and 9"]), (2, 2, ["3"]), (2, 3, ["4", "5"]), (2, None, ["4"]), (3, 0, ["100", "7%"]), (3, 1, ["2"]), (5, 0, ["9", "12.60", "x"]), (None, 0, ["1"])], row)
+    shape = "table_id int, n_rows int, n_cols int, units_note string"
+    left = spark.createDataFrame([(1, 18, 4, None), (2, 4, 3, ""), (3, 1, 2, "RMB'000"), (5, 1, 2, ""), (5, 2, 2, "RMB'000")], shape)
+    right = spark.createDataFrame([(1, 18, 4, ""), (2, 4, 3, ""), (3, 2, 2, "million"), (5, 1, 2, "")], shape)
+    cells = lambda df: df.select("table_id", "row", F.posexplode("texts").alias("col", "text"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(numdiff.check_table_pairs(cells(s), cells(t), left, right))
+    assert len(want) > 80 and rows(numdiff.check_row_pairs(s, t, left, right)) == want
+    assert rows(numdiff.check_row_pairs(s, t, left, right, keep=writer(spark))) == want
+
+
+def test_table_pairs_meet_once(spark, sf):
+    """Both sides are written where they have met; what reads them sorts and numbers no line again."""
+    plan = catalogue.q_table_pairs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "lineitem" in plan  # the tables' keys
+
+
 def test_slots_are_read_once(spark):
     """Renderings of a table with holes, a span and a slot claimed twice; texts are bound once, not looked up in a map for each slot."""
     cell = "table_id int, row int, col int, row_span int, col_span int, text string, ord int"
